@@ -6,13 +6,14 @@ compacted to paths through Spark joins, and source coordinates then verify the s
 1. Records with the same text are one class; a class of several records is shared as a whole.
 2. Every class emits the k-mers of its tokens that are the least (by hash) of some ``REACH`` characters. Two texts that share ``SPAN``
    characters select the same k-mer inside them: token starts depend on the characters before them by at most ``LONG`` characters, so
-   beyond the first ``LONG`` both texts are cut alike. About one k-mer in six is emitted, with its successor along the text.
-3. An aggregate by k-mer (map-side combine) keeps those found in two classes, and whether all their occurrences go on alike. A join
-   brings that back to the occurrences; unbranched neighbours become one path. All occurrences of a path of ``SPAN`` characters hold
-   the same text, so it is shared without further work.
-4. Around each path every window of ``SPAN`` characters that holds one of its k-mers but isn't inside the path is hashed; windows found
-   in two classes are shared. An aggregate and a join again; no pairs of records are ever formed, so a stretch that a third of all
-   records hold costs no more than one that two hold.
+   beyond the first ``LONG`` both texts are cut alike. Each k-mer is an edge twice, with half of the remaining ``SPAN`` characters after it
+   and with half before it; a shared stretch holds at least one of the two, and edges that long seldom repeat by chance.
+3. An aggregate by edge (map-side combine) keeps those found in two classes, and a join brings them back to their places. A second one
+   tells whether all occurrences of an edge come from and go on to the same next k-mer; neighbours without a branch between them become
+   one path. Two classes hold the whole text of a path, so one of ``SPAN`` characters or more is shared for certain.
+4. Along each path every window of ``SPAN`` characters that holds one of its edges is hashed at its place in the source; windows found in
+   two classes are shared, which settles the ends of stretches to the character. An aggregate and a join again; no pairs of records are ever formed, so a stretch that a third of all records hold costs no
+   more than one that two hold.
 
 Hashes are 64 bits of a polynomial over mixed characters; equal hashes are taken as equal text (for a thousand million windows, one
 chance in forty of a single wrong window).
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import cut_lineage
+
 SPAN = 100
 K = 3
 LONG = 12
@@ -56,10 +59,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Coded:
-    """Code points of one text with prefix sums from which the hash of any stretch follows."""
-
-    def __init__(self, text: str):
-        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Code points of some texts, one after another with a zero between, and prefix sums from which the hash of any stretch follows."""
+
+    def __init__(self, texts: list[str]):
+        parts = [np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for text in texts]
+        sizes = np.array([len(part) + 1 for part in parts], dtype=np.int64)
+        self.ends = np.cumsum(sizes) - 1
+        self.starts = self.ends - sizes + 1
+        zero = np.zeros(1, dtype=np.uint32)
+        self.codes = np.concatenate([piece for part in parts for piece in (part, zero)] or [zero])
         size = len(self.codes)
         steps = np.full(size + 1, _BASE, dtype=np.uint64)
         steps[0] = 1
@@ -68,58 +76,88 @@ class Coded:
         self.inverse = np.cumprod(steps, dtype=np.uint64)
         self.prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(self.codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        return _mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) + np.uint64(salt << 40)).view(np.int64)
 
     def token_starts(self) -> np.ndarray:
         word, codes = _is_word(self.codes), self.codes
         before = np.concatenate([[False], word[:-1]])
-        blank = codes == 32
-        after_word = before.copy()
         at = np.arange(len(codes))
         run = at - np.maximum.accumulate(np.where(word & ~before, at, 0))
-        return np.flatnonzero((word & (~before | (run >= LONG))) | (~word & ~(blank & after_word)))
+        starts = (word & (~before | (run >= LONG))) | (~word & ~((codes == 32) & before))
+        starts[self.ends] = False
+        return np.flatnonzero(starts)
 
     def selected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and hashes of the k-mers that are the least of some ``REACH`` characters."""
+        """Starts and ends of the k-mers that are the least of some ``REACH`` characters, and the text each is of."""
         starts = self.token_starts()
-        if len(starts) <= K:
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, none
-        begin, end = starts[:-K], starts[K:]
+        owner = np.searchsorted(self.ends, starts)
+        whole = np.flatnonzero(owner[:-K] == owner[K:]) if len(starts) > K else np.zeros(0, dtype=np.int64)
+        begin, end, owner = starts[whole], starts[whole + K], owner[whole]
+        if not len(begin):
+            return begin, end, owner
         hashed = self.hashes(begin, end)
-        last = np.searchsorted(end, begin + REACH, side="right") - 1
+        last = np.minimum(np.searchsorted(end, begin + REACH, side="right") - 1, np.searchsorted(owner, owner, side="right") - 1)
         least, index, step = hashed.copy(), np.arange(len(begin)), 1
-        while True:
-            inside = np.flatnonzero(index + step <= last)
-            if not len(inside):
-                break
+        inside = index[index + 1 <= last]
+        while len(inside):
             least[inside] = np.minimum(least[inside], hashed[inside + step])
             step += 1
+            inside = inside[inside + step <= last[inside]]
         keep = hashed == least
         for back in range(1, step):
-            inside = np.flatnonzero(index + back <= last)
-            hit = inside[hashed[inside + back] == least[inside]]
-            keep[hit + back] = True
-        return begin[keep], end[keep], hashed[keep]
+            inside = index[index + back <= last]
+            keep[inside[hashed[inside + back] == least[inside]] + back] = True
+        return begin[keep], end[keep], owner[keep]
+
+    def edges(self) -> dict[str, np.ndarray]:
+        """The selected k-mers as edges: each with its right and its left reach, so long that a shared stretch holds one of the two."""
+        begin, end, owner = self.selected()
+        reach = (SPAN - (end - begin)) // 2
+        same = owner[1:] == owner[:-1]
+        follow = np.zeros(len(begin), dtype=np.int64)
+        if len(begin) > 1:
+            follow[:-1][same] = self.hashes(begin[:-1][same], end[1:][same])
+        before = np.zeros(len(begin), dtype=np.int64)
+        before[1:][same] = follow[:-1][same]
+        right = np.flatnonzero(end + reach <= self.ends[owner])
+        left = np.flatnonzero(begin - reach >= self.starts[owner])
+        shift = self.starts[owner]
+        place = lambda x: np.concatenate([x[right], x[left]])
+        return {
+            "owner": place(owner),
+            "h": np.concatenate([self.hashes(begin[right], (end + reach)[right], 1), self.hashes((begin - reach)[left], end[left], 2)]),
+            "begin": place(begin - shift).astype(np.int32),
+            "end": place(end - shift).astype(np.int32),
+            "side": np.concatenate([np.ones(len(right), dtype=np.int8), np.zeros(len(left), dtype=np.int8)]),
+            "prev": place(before),
+            "next": place(follow),
+        }
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Coded]]:
+    """The texts of a batch (class, text), a million characters or so at a time."""
+    classes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+    first, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text)
+        if size > 1_000_000 or at + 1 == len(texts):
+            yield classes[first : at + 1], Coded(texts[first : at + 1])
+            first, size = at + 1, 0
+
+
+def _edge_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for classes, coded in _pieces(batch):
+            edges = coded.edges()
+            yield pa.RecordBatch.from_arrays([pa.array(edges["h"]), pa.array(classes[edges["owner"]])], ["h", "cls"])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            coded = Coded(text)
-            begin, end, hashed = coded.selected()
-            if not len(begin):
-                continue
-            follow = np.zeros(len(begin), dtype=np.int64)
-            follow[:-1] = coded.hashes(begin[:-1], end[1:])
-            before = np.zeros(len(begin), dtype=np.int64)
-            before[1:] = follow[:-1]
-            for column, values in zip(columns, (np.full(len(begin), cls, dtype=np.int64), hashed, begin.astype(np.int32), end.astype(np.int32), before, follow), strict=True):
-                column.append(values)
-        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, dtype=k)) for c, k in zip(columns, kinds, strict=True)], ["cls", "h", "begin", "end", "prev", "next"])
+        for classes, coded in _pieces(batch):
+            edges = coded.edges()
+            yield pa.RecordBatch.from_arrays([pa.array(classes[edges["owner"]]), *(pa.array(edges[c]) for c in ("h", "begin", "end", "side", "prev", "next"))], ["cls", "h", "begin", "end", "side", "prev", "next"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,18 +166,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts: list[np.ndarray] = []
         hashes: list[np.ndarray] = []
         for cls, text, paths in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            coded = Coded(text)
-            room = len(coded.codes) - SPAN + 1
+            coded = Coded([text])
+            room = len(coded.codes) - SPAN
             if room <= 0:
                 continue
             wanted = np.zeros(room, dtype=bool)
-            inside = np.zeros(room, dtype=bool)
             for path in paths:
-                first, first_end, last, last_end = path["a"], path["b"], path["c"], path["d"]
-                wanted[max(0, first_end - SPAN) : max(0, last + 1)] = True
-                if last_end - first >= SPAN:
-                    inside[first : last_end - SPAN + 1] = True
-            at = np.flatnonzero(wanted & ~inside)
+                for lo, hi in ((path["r0"], path["r1"]), (path["l0"], path["l1"])):
+                    if lo is not None:
+                        wanted[max(0, lo) : max(0, hi + 1)] = True
+            at = np.flatnonzero(wanted)
             names.append(np.full(len(at), cls, dtype=np.int64))
             starts.append(at.astype(np.int32))
             hashes.append(coded.hashes(at, at + SPAN))
@@ -155,26 +191,28 @@ def shared_spans(records: DataFrame) -> DataFrame:
     classes = members.groupBy("cls", "text", "size").agg(F.count("*").alias("copies"))
     texts = classes.select("cls", "text")
 
-    anchors = texts.mapInArrow(_anchors, "cls bigint, h bigint, begin int, end int, prev bigint, next bigint")
-    repeated = anchors.groupBy("h").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.min("next").alias("n0"), F.max("next").alias("n1")).where("c0 < c1")
-    repeated = repeated.select("h", F.expr("p0 = p1 and p0 <> 0").alias("one_in"), F.expr("n0 = n1 and n0 <> 0").alias("one_out"))
-    edges = anchors.select("cls", "h", "begin", "end", "prev").join(repeated, "h")
-
-    along = Window.partitionBy("cls").orderBy("begin")
-    previous_hash = F.lag(F.struct("one_out", "begin", "end")).over(along)
-    linked = edges.withColumn("before", previous_hash)
-    joins = F.coalesce(F.col("one_in") & F.col("before.one_out") & (F.col("begin") - F.col("before.begin") < REACH), F.lit(False))
-    numbered = linked.withColumn("path", F.sum(F.when(joins, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct("begin", "end"))
-    last = F.max(F.struct("begin", "end"))
-    paths = numbered.groupBy("cls", "path").agg(first.alias("f"), last.alias("l"))
-    paths = paths.select("cls", F.col("f.begin").alias("a"), F.col("f.end").alias("b"), F.col("l.begin").alias("c"), F.col("l.end").alias("d"))
-
-    sides = paths.groupBy("cls").agg(F.collect_list(F.struct("a", "b", "c", "d")).alias("paths"))
+    hashed = texts.mapInArrow(_edge_hashes, "h bigint, cls bigint")
+    repeated = hashed.groupBy("h").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 < c1").select("h")
+    edges = texts.mapInArrow(_edges, "cls bigint, h bigint, begin int, end int, side tinyint, prev bigint, next bigint").join(repeated, "h", "left_semi")
+    edges = cut_lineage(edges)
+    branches = edges.where("side = 1").groupBy("h").agg(F.expr("min(prev) = max(prev) and min(prev) <> 0").alias("one_in"), F.expr("min(next) = max(next) and min(next) <> 0").alias("one_out"))
+
+    reach = F.floor((SPAN - (F.col("end") - F.col("begin"))) / 2).cast("int")
+    along = Window.partitionBy("cls").orderBy("begin", "end")
+    rights = edges.where("side = 1").join(branches, "h").withColumn("to", F.col("end") + reach).withColumn("before", F.lag(F.struct("one_out", "begin", "next")).over(along))
+    joins = F.coalesce(F.col("one_in") & F.col("before.one_out") & (F.col("before.next") == F.col("prev")), F.lit(False))
+    numbered = rights.withColumn("path", F.sum(F.when(joins, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    none = F.lit(None).cast("int")
+    compact = numbered.groupBy("cls", "path").agg(F.min("begin").alias("a"), F.max("to").alias("b"), F.min(F.col("to") - SPAN).alias("r0"), F.max("begin").alias("r1"))
+    compact = compact.select("cls", "a", "b", "r0", "r1", none.alias("l0"), none.alias("l1"))
+    lefts = edges.where("side = 0").select("cls", none.alias("a"), none.alias("b"), none.alias("r0"), none.alias("r1"), (F.col("end") - SPAN).alias("l0"), (F.col("begin") - reach).alias("l1"))
+    paths = compact.unionByName(lefts)
+
+    sides = paths.groupBy("cls").agg(F.collect_list(F.struct("r0", "r1", "l0", "l1")).alias("paths"))
     windows = texts.join(sides, "cls").select("cls", "text", "paths").mapInArrow(_windows, "cls bigint, w bigint, start int")
     common = windows.groupBy("w").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 < c1").select("w")
     verified = windows.join(common, "w", "left_semi").select("cls", F.col("start").alias("a"), (F.col("start") + SPAN).alias("b"))
-    certain = paths.where(F.col("d") - F.col("a") >= SPAN).select("cls", "a", F.col("d").alias("b"))
+    certain = compact.where(F.col("b") - F.col("a") >= SPAN).select("cls", "a", "b")
     runs = _islands(verified.unionByName(certain))
 
     whole = classes.where("copies > 1").select("cls", F.lit(0).alias("a"), F.col("size").alias("b"))
