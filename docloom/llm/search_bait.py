@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import cut_lineage
 from docloom.llm.word_lists import FUNCTION_WORDS
 
 SEGMENT = 80
@@ -110,7 +111,7 @@ def curves(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")).otherwise(F.lit(0.0))
     rest = F.when(F.col("sxx") > 0, F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")).otherwise(F.lit(0.0))
     fitted = sums.select("doc", "seg", "lang", "n", "size", "total", "ranks", (F.col("functional") / F.col("n")).alias("functional"), (F.col("links") / F.col("n")).alias("links"), slope.alias("slope"), F.sqrt(F.greatest(rest, F.lit(0.0)) / F.col("ranks")).alias("residual"))
-    return fitted.withColumn("length", F.floor(F.log2("n") * 2).cast("int"))
+    return cut_lineage(fitted.withColumn("length", F.floor(F.log2("n") * 2).cast("int")))
 
 
 def judge_segments(fitted: DataFrame) -> DataFrame:
