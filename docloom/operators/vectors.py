@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +30,32 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def hashed_counts(words: Column, dim: int = 64) -> Column:
-    """Bag-of-words counts by md5 modulo ``dim`` (a power of two up to 256, so the last two digits decide)."""
-    places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 31, 2), 16, 10).cast("int"), F.lit(dim)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+def hash_slot(word: Column, dim: int = 64) -> Column:
+    """md5 modulo ``dim`` (a power of two up to 256, so the last two digits decide)."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 31, 2), 16, 10).cast("int"), F.lit(dim))
+
+
+def embedded(text: Column, dim: int = 64) -> Column:
+    """The default embedder as an Arrow UDF: unit bag-of-words counts by ``hash_slot``; null texts give zero vectors."""
+    memo: dict[str, int] = {}
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = re.compile("[a-z0-9]+").findall
+        for texts in batches:
+            rows = np.zeros((len(texts), dim))
+            for at, value in enumerate(texts):
+                for word in find((value or "").lower()):
+                    slot = memo.get(word)
+                    if slot is None:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        slot = memo[word] = int(hashlib.md5(word.encode()).hexdigest()[-2:], 16) % dim
+                    rows[at, slot] += 1
+            size = np.linalg.norm(rows, axis=1, keepdims=True)
+            yield pd.Series(list(rows / np.where(size > 0, size, 1)))
+
+    return embed(text)
 
 
 def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, query: str = "query_id") -> DataFrame:
