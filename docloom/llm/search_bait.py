@@ -33,6 +33,8 @@ EXTREME = 6.0
 FEW_RANKS = 0.6
 BARE = 0.4
 LINKED = 0.22
+#: Growth of a text's distinct words with its length, as a power.
+HEAPS = 0.85
 SHARE = 0.5
 _LINK = re.compile(r"(?:https?://|www\.)[^\s)\]>]+", re.I)
 _TOKEN = re.compile(r"\x01|\d+(?:[.,]\d+)*|[^\W\d_]+")
@@ -99,6 +101,7 @@ def curves(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     counted = kept.mapInArrow(_counts, f"doc {kind}, seg int, lang string, n int, functional int, links int, size int, total int, freq array<int>, types array<int>")
     points = counted.select("doc", "seg", "lang", "n", "functional", "links", "size", "total", F.explode(F.arrays_zip("freq", "types")).alias("p"))
     points = points.select("doc", "seg", "lang", "n", "functional", "links", "size", "total", F.col("p.freq").alias("freq"), F.col("p.types").alias("types"))
+    points = points.repartition("doc", "seg").dropDuplicates(["doc", "seg", "freq"])  # repeated pages count once; the windows use the same partitioning
     down = Window.partitionBy("doc", "seg").orderBy(F.desc("freq"))
     ranked = points.withColumn("upto", F.sum("types").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     x = F.ln(F.col("upto") - (F.col("types") - 1) / 2)
@@ -119,9 +122,12 @@ def judge_segments(fitted: DataFrame) -> DataFrame:
     half = lambda c: F.percentile_approx(c, 0.5, 1000)
     middle = fitted.groupBy("lang", "length").agg(half(F.ln("ranks")).alias("m_ranks"), half("slope").alias("m_slope"), half("residual").alias("m_residual"), half("functional").alias("m_functional"), F.count("*").alias("seen"))
     every = fitted.groupBy("length").agg(half(F.ln("ranks")).alias("a_ranks"), half("slope").alias("a_slope"), half("residual").alias("a_residual"), half("functional").alias("a_functional"))
-    near = fitted.join(middle, ["lang", "length"], "left").join(every, "length")
+    overall = fitted.agg(half(F.ln("ranks") - HEAPS * F.ln("n")).alias("o_ranks"), half("functional").alias("o_functional"))
+    near = fitted.join(middle, ["lang", "length"], "left").join(every, "length").join(F.broadcast(overall))
     own = (F.col("seen") >= 30) & (F.col("lang") != "none") & (F.col("m_ranks") >= F.col("a_ranks") - 0.1)
-    near = near.select(*fitted.columns, *(F.when(own, F.col(f"m_{c}")).otherwise(F.col(f"a_{c}")).alias(f"at_{c}") for c in ("ranks", "slope", "residual", "functional")))
+    # Where a length is mostly bait, the growth of all segments' ranks with their length still says what prose would have.
+    least = {"ranks": F.col("o_ranks") + HEAPS * F.ln("n") - 0.2, "functional": 0.7 * F.col("o_functional")}
+    near = near.select(*fitted.columns, *(F.greatest(F.when(own, F.col(f"m_{c}")).otherwise(F.col(f"a_{c}")), *([least[c]] if c in least else [F.lit(-1e9)])).alias(f"at_{c}") for c in ("ranks", "slope", "residual", "functional")))
     spread = near.groupBy("length").agg(*(F.percentile_approx(F.abs(v - F.col(f"at_{c}")), 0.5, 1000).alias(f"s_{c}") for c, v in (("slope", F.col("slope")), ("residual", F.col("residual")))))
     near = near.join(spread, "length")
     steep = (F.col("at_slope") - F.col("slope")) / F.greatest(F.col("s_slope"), F.lit(0.02))
