@@ -6,7 +6,8 @@ scores edits (keep, replace, delete, insert, join a line) of a word by the piece
 edited word is. Both are trained on clean texts of the corpus, into which the printer's lines and the scanner's slips are put on purpose:
 at most ``SAMPLE`` texts, those with the least hash of their id.
 
-Whatever depends on the corpus covers all of it: the words of all texts are counted; candidate edits of all word forms of scanned pages
+Whatever depends on the corpus covers all of it: the words of all texts are counted, a scanned text (case and blanks aside) once however
+many ids it has, so that its copies don't vouch for its slips, other files each; candidate edits of all word forms of scanned pages
 are generated, joined with the counts and scored once per form, not once per occurrence; the forms found to be misread are joined back to
 the documents. The models are a few thousand weights; no word list is collected or broadcast.
 
@@ -271,7 +272,7 @@ def corrections(word: str, most: int = 3) -> dict[str, tuple[tuple[int, str, str
 
 
 def edit_features(word: str, fixed: str, edits: tuple[tuple[int, str, str], ...], seen: int, common: int) -> list[str]:
-    """Features of one edit path of the character editor; ``seen`` and ``common`` are the documents with either form."""
+    """Features of one edit path of the character editor; ``seen`` and ``common`` are the texts with either form, copies of a scan aside."""
     ratio = common / max(1, seen)
     step = "none" if common < 1 else "less" if ratio < 1 else "even" if ratio < 3 else "more" if ratio < 10 else "much" if ratio < 40 else "far"
     low = f" {word.lower()} "
@@ -438,11 +439,12 @@ def _forms(model):
         for batch in batches:
             docs, kinds, forms = [], [], []
             counted: Counter[tuple[str, str]] = Counter()
-            for doc, text, scanned in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, text, scanned, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 skip = furniture_of(text, lines) if scanned else {}
                 words, divided, compounds = words_of(text, set(skip))
-                counted.update(("l", w) for w in {w.lower() for w in words})
-                counted.update(("c", c) for c in {c.lower() for c in compounds})
+                if first:
+                    counted.update(("l", w) for w in {w.lower() for w in words})
+                    counted.update(("c", c) for c in {c.lower() for c in compounds})
                 if scanned:
                     own = [("w", w) for w in words if _case_ok(w)] + [("j", f"{a}\t{b}") for a, b in divided] + [("f", k) for k in set(skip.values())]
                     docs += [doc] * len(own)
@@ -493,12 +495,15 @@ def _decide(model):
 
 
 def best_edit(form: str, seen: dict[str, int], model: Perceptron) -> str | None:
-    """The edited form the editor prefers to keeping a word, if any; ``seen``: documents with each form."""
+    """The edited form the editor prefers to keeping a word, if any; ``seen``: texts with each form, copies of a scan aside.
+
+    A form needs ``LEAST_COMMON`` texts to be meant; how much more common than the word it has to be is for the model to say.
+    """
     own = max(1, seen.get(form.lower(), 0))
     best, top = None, 0.0
     for fixed, edits in corrections(form).items():
         common = seen.get(fixed, 0)
-        if common < LEAST_COMMON or common < 5 * own:
+        if common < LEAST_COMMON:
             continue
         scores = model.scores(edit_features(form, fixed, edits, own, common))
         margin = scores["edit"] - scores["keep"]
@@ -513,6 +518,10 @@ def _plan(sources: DataFrame, models: dict[str, Perceptron] | None = None) -> tu
     """(forms of all documents, decided edits and joins, broadcast models)."""
     shared = sources.sparkSession.sparkContext.broadcast(models or fit(sources))
     texts = _texts(sources).groupBy("doc_id").agg(F.min(F.struct("text", "scanned")).alias("t")).select(F.col("doc_id").alias("doc"), F.col("t.text").alias("text"), F.col("t.scanned").alias("scanned"))
+    keys = texts.select("doc", "scanned", F.md5(F.regexp_replace(F.trim(F.lower("text")), r"\s+", " ")).alias("key"))
+    scans = keys.where("scanned").groupBy("key").agg(F.min("doc").alias("first"))
+    copies = keys.join(scans, "key").where("doc != first").select("doc", F.lit(True).alias("copy"))
+    texts = texts.join(copies, "doc", "left").select("doc", "text", "scanned", F.col("copy").isNull().alias("first"))
     forms = cut_lineage(texts.mapInArrow(_forms(shared), "doc string, kind string, form string, n int"))
     counts = forms.where("kind in ('l', 'c')").groupBy("form").agg(F.sum("n").cast("int").alias("docs"))
     asked = forms.where("kind in ('w', 'j')").select("kind", "form").distinct().mapInArrow(_candidates, "kind string, form string, other string")

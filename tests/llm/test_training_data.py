@@ -54,6 +54,15 @@ def test_scan_noise_and_repair(spark):
     assert scan_noise.find_noise(src.limit(0)).count() == 0
 
 
+def test_copies_of_a_scan_keep_its_misreads(spark):
+    words = "system supplier reports measured several important results during regular official committee sessions throughout northern districts"
+    clean = [(f"c{i}", "txt", None, f"Notes on the season {i}\n\nThe {words} before winter. The {words} after winter.\n\nEvery {words} again and again for years.") for i in range(40)]
+    copies = [(f"p{i}", "pdf", None, "The systern supplier reports measured several important results before winter." + " " * (i % 3)) for i in range(20)]
+    src = frame(spark, clean + copies, "doc_id string, file_type string, origin string, raw_text string")
+    assert {d for d, kind in scan_noise.find_noise(src).collect() if kind == "misread"} == {d for d, *_ in copies}
+    assert all("The system supplier" in r.clean_text for r in scan_noise.repair(src).collect())
+
+
 def brute_spans(records):
     seen = {}
     for key, text in records.items():
