@@ -358,11 +358,9 @@ def rerank_mmr(spark, root):
 
 @query()
 def rerank_sentences(spark, root):
-    """Cited passages by the best cosine of their sentences (20 characters or more) to the question, hashed vectors."""
-    asked = _questions(spark, root).select("query_id", vectors.embedded(F.col("question")).alias("q"))
-    rows = _passages(spark, root).select("query_id", "chunk_id", F.explode(F.filter(T.sentence_spans(F.col("text")), lambda s: F.length(s) >= 20)).alias("s")).withColumn("v", vectors.embedded(F.col("s"))).join(asked, "query_id")
-    scored = rows.withColumn("score", vectors.dot(F.col("q"), F.col("v")))
-    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.greatest(F.max("score"), F.lit(0.0)), 6).alias("score"))
+    """Cited passages by the best cosine of their sentences (20 characters or more) to the question, hashed vectors; keyword scores where a query has no sentence."""
+    rows = _passages(spark, root).drop("score").join(_questions(spark, root).select("query_id", "question"), "query_id")
+    return ranking.sentence_scores(rows, "question", "text", "section").select("query_id", "chunk_id", "score")
 
 
 @query(f"""with {_LISTS}, ce as (select query_id, chunk_id, rank, case when min(score) over w >= 0 and max(score) over w <= 1 then score else 1 / (1 + exp(-score)) end as p from ranked where scorer = 'cross-encoder' window w as (partition by query_id)),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators import vectors
 
 RRF_K = 60
 #: Passages kept by answer style.
@@ -36,6 +37,20 @@ def keyword_scores(candidates: DataFrame, question: str, text: str, section: str
     return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")))
 
 
+def sentence_scores(candidates: DataFrame, question: str, text: str, section: str, least: int = 20) -> DataFrame:
+    """Adds ``score``: the best cosine of a passage's sentences of ``least`` characters or more to the question, 0 for a passage without one.
+
+    A query none of whose passages has such a sentence gets its keyword scores.
+    """
+    rows = keyword_scores(candidates, question, text, section).drop("new_rank").withColumnRenamed("score", "keyword_score")
+    asked = rows.groupBy("query_id").agg(F.min(question).alias("question")).select("query_id", vectors.embedded(F.col("question")).alias("q"))
+    sentences = candidates.select("query_id", "chunk_id", F.explode(F.filter(T.sentence_spans(F.col(text)), lambda s: F.length(s) >= least)).alias("s")).withColumn("v", vectors.embedded(F.col("s"))).join(asked, "query_id")
+    best = sentences.withColumn("sim", vectors.dot(F.col("q"), F.col("v"))).groupBy("query_id", "chunk_id").agg(F.max("sim").alias("sim"), F.lit(True).alias("judged"))
+    joined = rows.join(best, ["query_id", "chunk_id"], "left").withColumn("any", F.max("judged").over(Window.partitionBy("query_id")))
+    score = F.when(F.col("any"), F.round(F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)), 6)).otherwise(F.col("keyword_score"))
+    return joined.withColumn("score", score).drop("sim", "judged", "any", "keyword_score")
+
+
 def calibrated(score: Column, query: str) -> Column:
     """Scores as probabilities: squashed only where a query's list leaves [0, 1]."""
     own = Window.partitionBy(query)

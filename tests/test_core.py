@@ -159,3 +159,13 @@ def test_entry_names_its_queries():
     import __spark_entry__ as entry
 
     assert "hybrid_answers" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sentence_scores_keep_passages_without_sentences(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 1, "what drives solar power prices", "Solar power prices are driven by panels.", None), (1, "b", 2, "what drives solar power prices", "Too short.", None), (1, "c", 3, "what drives solar power prices", None, None), (2, "d", 1, "solar power", "Solar.", "Power"), (2, "e", 2, "solar power", None, None)],
+        "query_id bigint, chunk_id string, rank int, question string, text string, section string",
+    )
+    got = {(r.query_id, r.chunk_id): r.score for r in ranking.sentence_scores(rows, "question", "text", "section").collect()}
+    assert len(got) == 5 and got[1, "a"] > 0 and got[1, "b"] == got[1, "c"] == 0
+    assert got[2, "d"] == 1.0 and got[2, "e"] == 0.01
