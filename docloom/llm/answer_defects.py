@@ -10,14 +10,16 @@ All checks look at one pair at a time, so the job is one narrow stage over the p
 rows of a record one row.
 
 Defined cases: a null or blank answer is empty_answer; a null or blank question can be neither copied nor differ in language; null
-record ids are left out; whole texts are read, however long (tiling is limited to answers no longer than a few questions, as longer ones
-hold more than the question); rows of one record that disagree give the first defect of the order above.
+record ids are left out; whole texts are read, however long; a question of one or two words is copied only by an answer that says nothing
+else; rows of one record that disagree give the first defect of the order above.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,11 +73,9 @@ def says_nothing(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Whether every sentence that says something declines to answer."""
-    if len(answer) > 1500:
-        return False
     text = answer.replace("’", "'")
     declined = False
-    for sentence in (s.strip() for s in _SENTENCE.findall(text)):
+    for sentence in (m.group().strip() for m in _SENTENCE.finditer(text)):
         if not _WORD.search(sentence):
             continue
         if _BARE.search(sentence) or (_SELF.search(sentence) and _DECLINE.search(sentence)) or re.search(r"\btopic i avoid\b|\bbeyond my\b|\boutside (?:of )?my\b|\bagainst my\b", sentence, re.I):
@@ -95,21 +95,27 @@ def tiled(answer: list[str], question: list[str], least: int = TILE) -> tuple[in
     places: dict[str, list[int]] = {}
     for at, word in enumerate(question):
         places.setdefault(word, []).append(at)
-    while True:
-        best = (0, 0, 0)
-        for a, word in enumerate(answer):
-            if covered[a]:
-                continue
-            for q in places.get(word, ()):
-                size = 0
-                while a + size < len(answer) and q + size < len(question) and not covered[a + size] and answer[a + size] == question[q + size]:
-                    size += 1
-                if size > best[0]:
-                    best = (size, a, q)
-        if best[0] < min(least, len(question)) or not best[0]:
-            break
-        size, a, q = best
+    longest, after = [0] * len(answer), {}
+    for a in range(len(answer) - 1, -1, -1):
+        after = {q: 1 + after.get(q + 1, 0) for q in places.get(answer[a], ())}
+        longest[a] = max(after.values(), default=0)
+    enough = max(1, min(least, len(question)))
+    waiting = [(-size, a) for a, size in enumerate(longest) if size >= enough]
+    heapify(waiting)
+    starts: list[int] = []
+    while waiting:
+        size, a = -waiting[0][0], heappop(waiting)[1]
+        if covered[a]:
+            continue
+        near = bisect_left(starts, a)
+        free = min(size, starts[near] - a) if near < len(starts) else size
+        if free < size:  # a tile laid since then cuts this stretch short
+            if free >= enough:
+                heappush(waiting, (-free, a))
+            continue
+        q = next(q for q in places[answer[a]] if answer[a : a + size] == question[q : q + size])
         covered[a : a + size] = [True] * size
+        insort(starts, a)
         used.update(range(q, q + size))
     return sum(covered), len(used)
 
@@ -118,11 +124,11 @@ def copies(answer: str, question: str | None) -> bool:
     """Whether the answer is the question again, with no more than a lead-in of a few words."""
     asked = [w.lower() for w in _WORD.findall(question or "")]
     said = [w.lower() for w in _WORD.findall(answer)]
-    if len(asked) < 3 or not said or len(said) > 6 * len(asked) + REST_WORDS:
-        return False
+    most, known = min(REST_WORDS, max(2, len(asked) // 2)) if len(asked) >= TILE else 0, set(asked)
+    if not asked or not said or sum(w not in known for w in said) > most:
+        return False  # words the question doesn't have lie in no tile
     inside, used = tiled(said, asked)
-    rest = len(said) - inside
-    return inside >= 0.5 * len(said) and rest <= min(REST_WORDS, max(2, len(asked) // 2)) and used >= 0.6 * len(asked)
+    return inside >= 0.5 * len(said) and len(said) - inside <= most and used >= 0.6 * len(asked)
 
 
 def _script(text: str) -> str:

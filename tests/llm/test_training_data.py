@@ -124,6 +124,15 @@ def test_answer_defects(question, answer, defect):
     assert answer_defects.defect_of(question, answer) == defect
 
 
+def test_long_refusals_and_repeated_questions():
+    assert answer_defects.is_refusal("I am sorry, but I cannot help with that part. " * 40)
+    assert not answer_defects.is_refusal("I am sorry, but I cannot help with that part. " * 40 + "The plant opened in 1990.")
+    assert answer_defects.copies("How tall is the old tower? " * 20, "How tall is the old tower?")
+    assert answer_defects.copies("How tall is the old tower? " * 20_000, "How tall is the old tower?")
+    assert answer_defects.copies("Solar power?", "solar power") and answer_defects.copies("Why?", "Why?")
+    assert not answer_defects.copies("Solar power works.", "Solar power?")
+
+
 def test_defects_of_records(spark):
     rows = frame(spark, [("t", "1", "q", None), ("t", "1", "q", ""), ("t", None, "q", ""), ("t", "2", None, "All is well in the town.")], "record_table string, record_id string, question string, answer string")
     assert [tuple(r) for r in answer_defects.find_defects(rows).collect()] == [("t", "1", "empty_answer")]
