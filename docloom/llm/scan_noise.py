@@ -4,11 +4,12 @@ Method: averaged perceptrons trained here. A line model tells body lines from ru
 (breaks in the sentence around a line, how alike lines come back, what stands next to them, whether numbers count up). A character editor
 scores edits (keep, replace, delete, insert, join a line) of a word by the pieces edited, their neighbours and how much more common the
 edited word is. Both are trained on clean texts of the corpus, into which the printer's lines and the scanner's slips are put on purpose:
-at most ``SAMPLE`` texts, those with the least hash of their id.
+the first 20,000 characters of at most ``SAMPLE`` texts, those with the least hash of their id.
 
 Whatever depends on the corpus covers all of it: the words of all texts are counted, a scanned text (case and blanks aside) once however
 many ids it has, so that its copies don't vouch for its slips, other files each; candidate edits of all word forms of scanned pages
-are generated, joined with the counts and scored once per form, not once per occurrence; the forms found to be misread are joined back to
+are generated, joined with the counts and scored once per form, not once per occurrence (edits of words of over
+``WRITTEN_OUT`` letters by a key that no edit changes; up to ``SLIPS`` slips in a word of any length); the forms found to be misread are joined back to
 the documents. The models are a few thousand weights; no word list is collected or broadcast.
 
 Defined cases: null and blank texts and files other than ``pdf`` have no noise; a text of one page without repeated lines can't have a
@@ -47,6 +48,13 @@ _FOLD = ((re.compile("vv"), "w"), (re.compile("cl"), "d"), (re.compile("rn|ri"),
 _FOLD_SIGNS = str.maketrans({"c": "e", "f": "t", "0": "a", "o": "a", "l": "i", "1": "i", "j": "i", "5": "s", "q": "g", "9": "g", "b": "h", "6": "h", "n": "m", "2": "z", "v": "y"})
 
 
+_BY_FIRST = {(meant[0], read[0]): (meant, read) for meant, read in CONFUSIONS}
+_BONES = str.maketrans({"n": "r", "c": "e", "d": "e", "f": "t", "o": "a", "0": "a", "5": "s", "q": "g", "9": "g", "2": "z", "v": "y", **dict.fromkeys("il1uhb6")})
+SLIPS = 3
+#: Letters from which on a word's edits are searched among the counted forms instead of written out.
+WRITTEN_OUT = 24
+
+
 class Perceptron:
     """An averaged perceptron over named features; ``labels[0]`` wins ties."""
 
@@ -251,19 +259,20 @@ def _case_ok(word: str) -> bool:
     return len(word) >= 3 and word[1:] == word[1:].lower() and letters >= 2 and letters * 2 > len(word) and not re.search(r"\d\d", word) and not re.fullmatch(r"\d+\w{1,3}|\w\d+", word)
 
 
-def corrections(word: str, most: int = 3) -> dict[str, tuple[tuple[int, str, str], ...]]:
-    """Edited forms of a word with their edits (place, piece read, piece meant), of up to ``most`` edits."""
+def corrections(word: str, most: int = SLIPS) -> dict[str, tuple[tuple[int, str, str], ...]]:
+    """All edited forms of a word with their edits (place, piece read, piece meant), of up to ``most`` edits; their number grows with the
+    word's length to the power of ``most``, so longer words are compared with the forms of their ``skeleton`` instead."""
     low = word.lower()
     out: dict[str, tuple] = {}
     frontier: list[tuple[str, int, tuple]] = [(low, 0, ())]
-    for _ in range(most if len(low) <= 24 else 1):
+    for _ in range(most):
         grown: list[tuple[str, int, tuple]] = []
         for text, begin, edits in frontier:
             for meant, read in CONFUSIONS:
                 at = text.find(read, begin)
                 while at >= 0:
                     fixed = text[:at] + meant + text[at + len(read) :]
-                    if fixed not in out and fixed != low and len(grown) < 600:
+                    if fixed not in out and fixed != low:
                         out[fixed] = (*edits, (at, read, meant))
                         grown.append((fixed, at + len(meant), out[fixed]))
                     at = text.find(read, at + 1)
@@ -271,6 +280,30 @@ def corrections(word: str, most: int = 3) -> dict[str, tuple[tuple[int, str, str
     return out
 
 
+def edits_between(word: str, fixed: str, most: int = SLIPS) -> tuple[tuple[int, str, str], ...] | None:
+    """The edits that make ``fixed`` of a word, None if it takes more than ``most`` or other ones.
+
+    The pieces of a confusion differ in their first sign, and no two confusions share both first signs: each place where the words part
+    is an edit, and only one can stand there.
+    """
+    low, edits, i, j = word.lower(), [], 0, 0
+    while True:
+        while i < len(low) and j < len(fixed) and low[i] == fixed[j]:
+            i, j = i + 1, j + 1
+        if i == len(low) and j == len(fixed):
+            return tuple(edits)
+        meant, read = _BY_FIRST.get((fixed[j : j + 1], low[i : i + 1]), ("", ""))
+        if not meant or len(edits) == most or not fixed.startswith(meant, j) or not low.startswith(read, i):
+            return None
+        edits.append((j, read, meant))
+        i, j = i + len(read), j + len(meant)
+
+
+def skeleton(word: str) -> str:
+    """What no edit changes: both pieces of each confusion have the same skeleton."""
+    return word.replace("m", "nn").replace("w", "vv").translate(_BONES)
+
+
 def edit_features(word: str, fixed: str, edits: tuple[tuple[int, str, str], ...], seen: int, common: int) -> list[str]:
     """Features of one edit path of the character editor; ``seen`` and ``common`` are the texts with either form, copies of a scan aside."""
     ratio = common / max(1, seen)
@@ -390,15 +423,24 @@ def train(texts: list[str], counts: Counter[str]) -> dict[str, Perceptron]:
             line_rows.append((features, labels.get(i, "body") if labels.get(i, "body") in ("body", kind) else "body"))
     known = sorted(w for w, n in counts.items() if n >= LEAST_COMMON and w.isalpha() and len(w) >= 3)
     rare = sorted(w for w, n in counts.items() if n <= 2 and w.isalpha() and len(w) >= 4)
+    long = defaultdict(list)
+    for other in sorted(w for w in counts if len(w) > WRITTEN_OUT - SLIPS):
+        long[skeleton(other)].append(other)
+
+    def variants(word: str, most: int) -> dict[str, tuple[tuple[int, str, str], ...]]:
+        if len(word) <= WRITTEN_OUT:
+            return corrections(word, most)
+        return {other: edits for other in long.get(skeleton(word), ()) if (edits := edits_between(word, other, most))}
+
     rng.shuffle(known)
     for word in known[:3000]:
         bad = _misread(rng, _misread(rng, word, 1.0), 0.12)
         if bad != word and counts[bad] * 10 <= counts[word]:
-            for fixed, edits in corrections(bad).items():
+            for fixed, edits in variants(bad, SLIPS).items():
                 if fixed == word or counts[fixed]:
                     edit_rows.append((edit_features(bad, fixed, edits, max(1, counts[bad]), counts[fixed]), "edit" if fixed == word else "keep"))
     for word in known[:3000] + rare[:3000]:
-        for fixed, edits in corrections(word, 2).items():
+        for fixed, edits in variants(word, 2).items():
             if counts[fixed]:
                 edit_rows.append((edit_features(word, fixed, edits, counts[word], counts[fixed]), "keep"))
     for word in known[:1500] + rare[:1500]:
@@ -461,14 +503,24 @@ def _forms(model):
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple[str, str, str]] = []
+        rows: list[tuple[str, str, str | None, str | None]] = []
         for kind, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if kind == "w":
-                rows += [(kind, form, form.lower())] + [(kind, form, fixed) for fixed in corrections(form)]
+            low = form.lower()
+            if kind == "j":
+                left, right = low.split("\t")
+                rows += [(kind, form, x, None) for x in {left + right, f"{left}-{right}", left, right, *corrections(left + right, 1)}]
+            elif len(low) <= WRITTEN_OUT:
+                rows += [(kind, form, x, None) for x in (low, *corrections(low))]
             else:
-                left, right = form.lower().split("\t")
-                rows += [(kind, form, x) for x in {left + right, f"{left}-{right}", left, right}] + [(kind, form, fixed) for fixed in corrections(left + right, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "form", "other"])
+                rows += [(kind, form, low, None), (kind, form, low, skeleton(low))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["kind", "form", "other", "bones"])
+
+
+def _near_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long words beside counted forms of their skeleton: those an edit or more away."""
+    for batch in batches:
+        lows, others = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        yield batch.filter(pa.array([bool(edits_between(low, other)) for low, other in zip(lows, others, strict=True)], pa.bool_())).select(["kind", "form", "other", "docs"])
 
 
 def _decide(model):
@@ -501,9 +553,9 @@ def best_edit(form: str, seen: dict[str, int], model: Perceptron) -> str | None:
     """
     own = max(1, seen.get(form.lower(), 0))
     best, top = None, 0.0
-    for fixed, edits in corrections(form).items():
-        common = seen.get(fixed, 0)
-        if common < LEAST_COMMON:
+    for fixed, common in seen.items():
+        edits = edits_between(form, fixed) if common >= LEAST_COMMON else None
+        if not edits:
             continue
         scores = model.scores(edit_features(form, fixed, edits, own, common))
         margin = scores["edit"] - scores["keep"]
@@ -524,8 +576,13 @@ def _plan(sources: DataFrame, models: dict[str, Perceptron] | None = None) -> tu
     texts = texts.join(copies, "doc", "left").select("doc", "text", "scanned", F.col("copy").isNull().alias("first"))
     forms = cut_lineage(texts.mapInArrow(_forms(shared), "doc string, kind string, form string, n int"))
     counts = forms.where("kind in ('l', 'c')").groupBy("form").agg(F.sum("n").cast("int").alias("docs"))
-    asked = forms.where("kind in ('w', 'j')").select("kind", "form").distinct().mapInArrow(_candidates, "kind string, form string, other string")
-    known = asked.join(counts.withColumnRenamed("form", "other"), "other")
+    asked = forms.where("kind in ('w', 'j')").select("kind", "form").distinct().mapInArrow(_candidates, "kind string, form string, other string, bones string")
+    counts = counts.withColumnRenamed("form", "other")
+    known = asked.where("bones is null").join(counts, "other").select("kind", "form", "other", "docs")
+    bones = F.udf(skeleton, "string")
+    long = counts.where((F.length("other") > WRITTEN_OUT - SLIPS) & (F.col("docs") >= LEAST_COMMON)).withColumn("bones", bones("other"))
+    pairs = asked.where("bones is not null").withColumnRenamed("other", "low").join(long, "bones").where("abs(length(low) - length(other)) <= %d" % SLIPS)
+    known = known.unionByName(pairs.select("kind", "form", "low", "other", "docs").mapInArrow(_near_long, "kind string, form string, other string, docs int"))
     found = known.groupBy("kind", "form").agg(F.collect_list(F.struct("other", "docs")).alias("found")).select("kind", "form", "found")
     pairs = forms.where("kind = 'j'").select("kind", "form").distinct().join(found, ["kind", "form"], "left").select("kind", "form", F.coalesce("found", F.array().cast("array<struct<other:string,docs:int>>")).alias("found"))
     decided = found.where("kind = 'w'").unionByName(pairs).mapInArrow(_decide(shared), "kind string, form string, fixed string")

@@ -54,6 +54,19 @@ def test_scan_noise_and_repair(spark):
     assert scan_noise.find_noise(src.limit(0)).count() == 0
 
 
+def test_edits_of_long_words(spark):
+    rng = random.Random(3)
+    for _ in range(300):
+        word = "".join(rng.choice("eictfdclrnmuvwhbi0") for _ in range(rng.randint(3, 12)))
+        for fixed, edits in scan_noise.corrections(word).items():
+            assert scan_noise.edits_between(word, fixed) == edits and scan_noise.skeleton(word) == scan_noise.skeleton(fixed)
+    words = "the district authorities measured several important results throughout Donaudampfschifffahrtsgesellschaft during regular sessions"
+    clean = [(f"c{i}", "txt", None, f"Notes on the season {i}\n\nAfter the winter {words} before spring came. The {words} after summer.\n\nEvery {words} again and again for years.") for i in range(40)]
+    page = words.replace("dampf", "darnpf").replace("gesell", "gcsell") + " before winter."
+    src = frame(spark, [*clean, ("p", "pdf", None, page)], "doc_id string, file_type string, origin string, raw_text string")
+    assert "Donaudampfschifffahrtsgesellschaft" in scan_noise.repair(src).first().clean_text
+
+
 def test_copies_of_a_scan_keep_its_misreads(spark):
     words = "system supplier reports measured several important results during regular official committee sessions throughout northern districts"
     clean = [(f"c{i}", "txt", None, f"Notes on the season {i}\n\nThe {words} before winter. The {words} after winter.\n\nEvery {words} again and again for years.") for i in range(40)]
