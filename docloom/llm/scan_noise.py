@@ -433,12 +433,18 @@ def train(texts: list[str], counts: Counter[str]) -> dict[str, Perceptron]:
         return {other: edits for other in long.get(skeleton(word), ()) if (edits := edits_between(word, other, most))}
 
     rng.shuffle(known)
+    drawn = random.Random(SEED)
     for word in known[:3000]:
         bad = _misread(rng, _misread(rng, word, 1.0), 0.12)
         if bad != word and counts[bad] * 10 <= counts[word]:
             for fixed, edits in variants(bad, SLIPS).items():
                 if fixed == word or counts[fixed]:
                     edit_rows.append((edit_features(bad, fixed, edits, max(1, counts[bad]), counts[fixed]), "edit" if fixed == word else "keep"))
+            if (edits := edits_between(bad, word)) and not counts[bad]:  # a slip that several texts have is still one, and never what its word means
+                slips = int(max(1, counts[word] / 3) ** drawn.random())
+                edit_rows.append((edit_features(bad, word, edits, slips, counts[word]), "edit"))
+                if back := edits_between(word, bad):
+                    edit_rows += [(edit_features(word, bad, back, counts[word], n), "keep") for n in (max(LEAST_COMMON, slips), max(LEAST_COMMON, counts[word]))]
     for word in known[:3000] + rare[:3000]:
         for fixed, edits in variants(word, 2).items():
             if counts[fixed]:
