@@ -2,9 +2,11 @@
 
 Method: averaged perceptrons trained here. A line model tells body lines from running heads and page numbers by page-position features
 (breaks in the sentence around a line, how alike lines come back, what stands next to them, whether numbers count up). A character editor
-scores edits (keep, replace, delete, insert, join a line) of a word by the pieces edited, their neighbours and how much more common the
-edited word is. Both are trained on clean texts of the corpus, into which the printer's lines and the scanner's slips are put on purpose:
-the first 20,000 characters of at most ``SAMPLE`` texts, those with the least hash of their id.
+predicts for each place of a word that may have been misread, and each word divided at a line end, one of ``ACTIONS``: keep, replace, delete,
+insert, join. Its features are the signs read and meant, their neighbours, and how many texts have the word as it stands and as it would
+become. A word is edited if the editor would rather make each of its edits than keep what stands there. Both are trained on clean texts of
+the corpus, into which the printer's lines and the scanner's slips are put on purpose: at most ``SAMPLE`` texts, whole, those with the least hash of
+their id.
 
 Whatever depends on the corpus covers all of it: the words of all texts are counted, a scanned text (case and blanks aside) once however
 many ids it has, so that its copies don't vouch for its slips, other files each; candidate edits of all word forms of scanned pages
@@ -43,6 +45,7 @@ _PAGE_WORDS = r"(?:pages?|p|pp|pag|pág|página|seite|s|blatt|folio|f|hoja|sheet
 _NUMBER = re.compile(rf"^[\W_]*(?:{_PAGE_WORDS}[.:]?\s*)?[\W_]*(\d{{1,4}}|[ivxlc]{{1,7}})[\W_]*(?:(?:/|of|von|de|sur|\|)\s*\d{{1,4}}|{_PAGE_WORDS}\.?)?[\W_]*$", re.I)
 _PIECE = re.compile(r"[^\W_]+(?:[-'’_.][^\W_]+)*")
 _HYPHEN = re.compile(r"([^\W\d_]+)[-­‐‑¬][ \t]*$")
+_HYPHENS = frozenset("-\u00ad\u2010\u2011\u00ac")
 _OPENING = re.compile(r"^\s*([^\W\d_]+)")
 _FOLD = ((re.compile("vv"), "w"), (re.compile("cl"), "d"), (re.compile("rn|ri"), "m"), (re.compile("ii"), "u"))
 _FOLD_SIGNS = str.maketrans({"c": "e", "f": "t", "0": "a", "o": "a", "l": "i", "1": "i", "j": "i", "5": "s", "q": "g", "9": "g", "b": "h", "6": "h", "n": "m", "2": "z", "v": "y"})
@@ -51,6 +54,10 @@ _FOLD_SIGNS = str.maketrans({"c": "e", "f": "t", "0": "a", "o": "a", "l": "i", "
 _BY_FIRST = {(meant[0], read[0]): (meant, read) for meant, read in CONFUSIONS}
 _BONES = str.maketrans({"n": "r", "c": "e", "d": "e", "f": "t", "o": "a", "0": "a", "5": "s", "q": "g", "9": "g", "2": "z", "v": "y", **dict.fromkeys("il1uhb6")})
 SLIPS = 3
+#: What the editor can do at a place of a word, and at the end of a line.
+ACTIONS = ("keep", "replace", "delete", "insert", "join")
+#: Signs of a folded title from which on it may be blurred; shorter ones have to be equal.
+LEAST_BLURRED = 8
 #: Letters from which on a word's edits are searched among the counted forms instead of written out.
 WRITTEN_OUT = 24
 
@@ -134,87 +141,104 @@ def _alike(a: str, b: str, left: set[str], right: set[str]) -> bool:
     return len(left & right) >= 0.6 * len(left | right)
 
 
+def _title_groups(folded: dict[int, str]) -> dict[int, list[int]]:
+    """For each title line with others like it, the lines of its group: equal folded titles, and those like the first of the group.
+
+    Titles are compared only where they share one of their rarer grams (any two that are alike do), or where one begins or ends with the
+    other; a title that joins a group isn't compared with later ones, so a head blurred in a thousand ways costs one comparison each.
+    """
+    by_text: dict[str, list[int]] = defaultdict(list)
+    for i, key in folded.items():
+        by_text[key].append(i)
+    grams = {key: {key[j : j + 3] for j in range(len(key) - 2)} for key in by_text if len(key) >= LEAST_BLURRED}
+    seen = Counter(g for own in grams.values() for g in own)
+    leads: dict[str, list[str]] = defaultdict(list)
+    starts: dict[str, str] = {}
+    ends: dict[str, str] = {}
+    group: dict[str, str] = {key: key for key in by_text}
+    for key in sorted(grams, key=lambda k: (len(k), k)):
+        own = grams[key]
+        rare = sorted(own, key=lambda g: (seen[g], g))[: len(own) - -(-6 * len(own) // 10) + 1]
+        found = next((starts[key[:j]] for j in range(len(key) - 6, LEAST_BLURRED - 3, -1) if key[:j] in starts), None)
+        found = found or next((ends[key[j:]] for j in range(6, len(key) - LEAST_BLURRED + 3) if key[j:] in ends), None)
+        if not found:
+            tried = {o for g in rare for o in leads[g]}
+            found = next((o for o in sorted(tried) if _alike(o, key, grams[o], own)), None)
+        if found:
+            group[key] = found
+            continue
+        for g in rare:
+            leads[g].append(key)
+        starts.setdefault(key[:-2], key)
+        ends.setdefault(key[2:], key)
+    members: dict[str, list[int]] = defaultdict(list)
+    for key, lines in by_text.items():
+        members[group[key]] += lines
+    return {i: sorted(lines) for lines in members.values() if len(lines) > 1 for i in lines}
+
+
 def line_features(lines: list[str]) -> list[tuple[int, list[str], str]]:
-    """(line index, features, candidate kind) of the lines that may be page furniture."""
+    """(line index, features, candidate kind) of the lines that may be page furniture; the work grows with the lines, not their pairs."""
     stripped = [x.strip() for x in lines]
     values = [_number_value(x) if x else None for x in stripped]
     numbers = [i for i, v in enumerate(values) if v is not None]
-    shapes = Counter(_notation(stripped[i]) for i in numbers)
-    titled = [i for i, x in enumerate(stripped) if x and values[i] is None and 8 <= len(x) <= 130 and not re.search(r"[.!?;]$", x) and re.match(r"[\W_]*[^\W_]", x)]
-    folded = {i: fold(stripped[i]) for i in titled}
-    twin: dict[int, list[int]] = {}
-    by_text: dict[str, list[int]] = defaultdict(list)
-    by_end: dict[str, set[str]] = defaultdict(set)
-    for i in titled:
-        by_text[folded[i]].append(i)
-    grams = {key: {key[i : i + 3] for i in range(len(key) - 2)} for key in by_text if len(key) >= 8}
-    for key in grams:
-        for part in {key[:5], "$" + key[-5:], *(w for w in key.split() if len(w) >= 5)}:
-            by_end[part].add(key)
-    alike: dict[str, list[str]] = {}
-    for key, own in grams.items():
-        beside = set().union(*(by_end[part] for part in {key[:5], "$" + key[-5:], *(w for w in key.split() if len(w) >= 5)}))
-        alike[key] = [o for o in beside if o != key and _alike(key, o, own, grams[o])]
-    for i in titled:
-        same = [j for j in by_text[folded[i]] if j != i]
-        for other in alike.get(folded[i], ()):
-            same += by_text[other]
-        if same:
-            twin[i] = same
-    furniture = set(numbers) | set(twin)
-
-    def text_before(i: int) -> str:
-        i -= 1
-        while i >= 0 and (not stripped[i] or i in furniture):
-            i -= 1
-        return stripped[i] if i >= 0 else ""
-
-    def text_after(i: int) -> str:
-        i += 1
-        while i < len(stripped) and (not stripped[i] or i in furniture):
-            i += 1
-        return stripped[i] if i < len(stripped) else ""
+    numbered = set(numbers)
+    titled = {i for i, x in enumerate(stripped) if sum(c.isalpha() for c in x) >= 3 and i not in numbered and x[-1] not in ".!?;" and re.match(r"[\W_]*[^\W_]", x)}
+    folded = {i: fold(stripped[i]) for i in sorted(titled)}
+    twin = _title_groups(folded)
+    furniture = numbered | set(twin)
+    befores, afters, last = [""] * len(lines), [""] * len(lines), ""
+    for i, x in enumerate(stripped):
+        befores[i] = last
+        last = x if x and i not in furniture else last
+    last = ""
+    for i in range(len(stripped) - 1, -1, -1):
+        afters[i] = last
+        last = stripped[i] if stripped[i] and i not in furniture else last
 
     def broken(i: int) -> bool:
-        before, after = text_before(i), text_after(i)
+        before, after = befores[i], afters[i]
         return bool(before) and bool(after) and (after[0].islower() or (not re.search(r"[.!?:;…]\W*$", before) and len(before) > 25))
 
     sizes = sorted(len(x) for x in stripped if x and len(x) > 30)
     wrapped = bool(sizes) and sizes[-1 - len(sizes) // 10] <= 100
     near = lambda i: [j for j in (i - 3, i - 2, i - 1, i + 1, i + 2, i + 3) if 0 <= j < len(stripped)]
     out: list[tuple[int, list[str], str]] = []
-    seen_numbers = [(i, values[i]) for i in numbers]
-    for place, i in enumerate(numbers):
-        value, shape = values[i], _notation(stripped[i])
-        same = [(j, v) for j, v in seen_numbers if _notation(stripped[j]) == shape]
-        at = next(k for k, (j, _) in enumerate(same) if j == i)
-        counts = (at > 0 and same[at - 1][1] in (value - 1, value - 2)) + (at + 1 < len(same) and same[at + 1][1] in (value + 1, value + 2))
-        up = sum(b[1] == a[1] + 1 for a, b in zip(same, same[1:], strict=False))
-        features = ["number", f"counts={counts}", f"decorated={shape != '0'}", f"counts={counts},decorated={shape != '0'}", f"series={'all' if same[1:] and up == len(same) - 1 else 'most' if up * 2 >= len(same) > 1 else 'few' if up else 'none'}", f"alone={len(same) == 1}", f"broken={broken(i)}", f"broken={broken(i)},counts={counts}", f"wrapped={wrapped}", f"wrapped={wrapped},counts={counts}", f"page={bool(re.search(_PAGE_WORDS + r'\b', shape)) and shape != '0'}", f"head={any(j in twin for j in near(i))}", f"blank={sum(not stripped[j] for j in (i - 1, i + 1) if 0 <= j < len(stripped))}", f"short={any(j in titled and j not in twin for j in (i - 1, i + 1))}"]
-        out.append((i, features, "page_number"))
-    for i, same in twin.items():
-        group = sorted({i, *same})
-        cut = sum(broken(j) for j in group)
-        afters = {text_after(j) for j in group}
-        befores = {text_before(j) for j in group}
-        beside = sum(any(k in numbers for k in near(j)) for j in group)
-        fresh = "own" if len(afters) > 1 and len(befores) > 1 else "copy"
+    by_shape: dict[str, list[int]] = defaultdict(list)
+    for i in numbers:
+        by_shape[_notation(stripped[i])].append(i)
+    for shape, same in by_shape.items():
+        up = sum(values[b] == values[a] + 1 for a, b in zip(same, same[1:], strict=False))
+        series = "all" if same[1:] and up == len(same) - 1 else "most" if up * 2 >= len(same) > 1 else "few" if up else "none"
+        page = bool(re.search(_PAGE_WORDS + r"\b", shape)) and shape != "0"
+        bare = shape == "0"
+        for at, i in enumerate(same):
+            value = values[i]
+            counts = (at > 0 and values[same[at - 1]] in (value - 1, value - 2)) + (at + 1 < len(same) and values[same[at + 1]] in (value + 1, value + 2))
+            cut = broken(i)
+            features = ["number", f"counts={counts}", f"decorated={not bare}", f"counts={counts},decorated={not bare}", f"series={series}", f"alone={len(same) == 1}", f"alone={len(same) == 1},decorated={not bare}", f"broken={cut}", f"broken={cut},counts={counts}", f"wrapped={wrapped}", f"wrapped={wrapped},counts={counts}", f"page={page}", f"head={any(j in twin for j in near(i))}", f"blank={sum(not stripped[j] for j in (i - 1, i + 1) if 0 <= j < len(stripped))}", f"short={any(j in titled and j not in twin for j in (i - 1, i + 1))}"]
+            out.append((i, features, "page_number"))
+    about: dict[int, tuple] = {}
+    for i in twin:
+        group = twin[i]
+        if group[0] not in about:
+            cut = sum(broken(j) for j in group)
+            own = "own" if len({afters[j] for j in group}) > 1 and len({befores[j] for j in group}) > 1 else "copy"
+            about[group[0]] = cut, own, sum(any(k in numbered for k in near(j)) for j in group), len({folded[j] for j in group})
+        cut, own, beside, forms = about[group[0]]
         paired = bool(re.search(r" \| |\s{2,}", stripped[i]))
         mark = bool(re.match(r"^\s*(?:[-*•+]|\w[.)]|\d+[.)])\s", lines[i]))
-        features = ["title", f"times={min(len(group), 4)}", f"cut={'none' if not cut else 'some' if cut * 3 < len(group) else 'many'}", f"cut1={broken(i)}", f"context={fresh}", f"cut={cut > 0},context={fresh}", f"numbered={'none' if not beside else 'some' if beside * 2 < len(group) else 'most'}", f"numbered={beside > 0},cut={cut > 0}", f"caps={stripped[i].isupper()}", f"upper={stripped[i][0].isupper() or not stripped[i][0].isalpha()}", f"mark={mark}", f"words={min(len(stripped[i].split()), 12) // 3}", f"next={'lower' if text_after(i)[:1].islower() else 'upper'}", f"comma={stripped[i].count(',') > 0 and not stripped[i].endswith(',')}", f"mark={mark},cut={cut > 0}", f"wrapped={wrapped}", f"wrapped={wrapped},cut={cut > 0}", f"numbered={beside * 2 >= len(group)},context={fresh}", f"pair={paired}", f"full={len(stripped[i]) * 10 > 9 * sizes[len(sizes) // 2] if sizes else False}", f"ends={bool(re.search(r'[ ][0-9]+$', stripped[i]))}", f"groups={len({folded[j] for j in group}) > 1},pair={paired}"]
+        features = ["title", f"times={min(len(group), 4)}", f"cut={'none' if not cut else 'some' if cut * 3 < len(group) else 'many'}", f"cut1={broken(i)}", f"context={own}", f"cut={cut > 0},context={own}", f"numbered={'none' if not beside else 'some' if beside * 2 < len(group) else 'most'}", f"numbered={beside > 0},cut={cut > 0}", f"caps={stripped[i].isupper()}", f"upper={stripped[i][0].isupper() or not stripped[i][0].isalpha()}", f"mark={mark}", f"words={min(len(stripped[i].split()), 12) // 3}", f"letters={min(len(stripped[i]), 16) // 4}", f"next={'lower' if afters[i][:1].islower() else 'upper'}", f"comma={stripped[i].count(',') > 0 and not stripped[i].endswith(',')}", f"mark={mark},cut={cut > 0}", f"wrapped={wrapped}", f"wrapped={wrapped},cut={cut > 0}", f"numbered={beside * 2 >= len(group)},context={own}", f"pair={paired}", f"full={len(stripped[i]) * 10 > 9 * sizes[len(sizes) // 2] if sizes else False}", f"ends={bool(re.search(r'[ ][0-9]+$', stripped[i]))}", f"groups={forms > 1},pair={paired}"]
         out.append((i, features, "running_head"))
     return out
 
 
 def furniture_of(text: str, model: Perceptron) -> dict[int, str]:
-    """The lines that are page furniture, with their kind; a lone bare number or title isn't taken for any."""
+    """The lines that are page furniture, with their kind, as the line model says; a head comes back, so one line alone is none."""
     lines = text.split("\n")
     if len(lines) < 3:
         return {}
     found = {i: kind for i, features, kind in line_features(lines) if model.label(features) == kind}
-    numbers = [i for i, k in found.items() if k == "page_number"]
-    if len(numbers) == 1 and _notation(lines[numbers[0]].strip()) == "0":
-        del found[numbers[0]]
     if sum(k == "running_head" for k in found.values()) == 1:
         found = {i: k for i, k in found.items() if k != "running_head"}
     return found
@@ -225,31 +249,29 @@ def furniture_of(text: str, model: Perceptron) -> dict[int, str]:
 
 def words_of(text: str, skip: set[int] = frozenset()) -> tuple[set[str], set[tuple[str, str]], set[str]]:
     """(plain words, pairs divided at line ends, hyphenated compounds) of a text, furniture lines left out; case is kept."""
-    lines = text.split("\n")
-    body = [(i, x) for i, x in enumerate(lines) if i not in skip and x.strip()]
-    words: set[str] = set()
-    compounds: set[str] = set()
+    body = [x for i, x in enumerate(text.split("\n")) if i not in skip and x.strip()]
     divided: set[tuple[str, str]] = set()
-    carried = ""
-    for at, (_, line) in enumerate(body):
-        last = at + 1 == len(body)
-        pieces = [m.group() for m in _PIECE.finditer(line)]
-        end = _HYPHEN.search(line)
-        start = 0
-        if carried:
-            opening = _OPENING.match(line)
-            if opening and (opening.group(1)[0].islower() or carried.isupper()):
-                divided.add((carried, opening.group(1)))
-                start = 1
-        carried = ""
-        if end and not last:
-            carried = end.group(1)
-        stop = len(pieces) - (1 if (end or last) and pieces else 0)
-        for piece in pieces[start:stop]:
-            if "-" in piece:
-                compounds.add(piece)
-            elif not re.search(r"[._]", piece):
-                words.update(re.split(r"['’]", piece))
+    ends = {i: m for i, x in enumerate(body[:-1]) if x.rstrip()[-1:] in _HYPHENS and (m := _HYPHEN.search(x))}
+    for i, end in ends.items():
+        opening = _OPENING.match(body[i + 1])
+        body[i] = body[i][: end.start()]  # the parts of a divided word are no words
+        if opening and (opening.group(1)[0].islower() or end.group(1).isupper()):
+            divided.add((end.group(1), opening.group(1)))
+            body[i + 1] = re.sub(r"^\s*\w+(?:[-'’_.][^\W_]+)*", "", body[i + 1])
+            if i + 1 in ends:
+                again = _HYPHEN.search(body[i + 1])
+                ends[i + 1] = again if again else ends[i + 1]
+    if body:
+        found = list(_PIECE.finditer(body[-1]))
+        body[-1] = body[-1][: found[-1].start()] if found else body[-1]  # the last word may be cut off
+    pieces = set(_PIECE.findall("\n".join(body)))
+    words = {w for w in pieces if w.isalnum()}
+    compounds: set[str] = set()
+    for piece in pieces - words:
+        if "-" in piece:
+            compounds.add(piece)
+        elif "." not in piece and "_" not in piece:
+            words.update(re.split(r"['’]", piece))
     return {w for w in words if len(w) >= 2}, divided, compounds
 
 
@@ -304,16 +326,18 @@ def skeleton(word: str) -> str:
     return word.replace("m", "nn").replace("w", "vv").translate(_BONES)
 
 
-def edit_features(word: str, fixed: str, edits: tuple[tuple[int, str, str], ...], seen: int, common: int) -> list[str]:
-    """Features of one edit path of the character editor; ``seen`` and ``common`` are the texts with either form, copies of a scan aside."""
+def action_of(read: str, meant: str) -> str:
+    return "replace" if len(read) == len(meant) else "delete" if len(read) > len(meant) else "insert"
+
+
+def place_features(word: str, edit: tuple[int, str, str], edits: int, seen: int, common: int) -> list[str]:
+    """Features of one place of a word the editor looks at; ``seen`` and ``common``: texts with the word and with what it would become."""
     ratio = common / max(1, seen)
     step = "none" if common < 1 else "less" if ratio < 1 else "even" if ratio < 3 else "more" if ratio < 10 else "much" if ratio < 40 else "far"
+    at, read, meant = edit
     low = f" {word.lower()} "
-    out = ["edit", f"ratio={step}", f"edits={len(edits)}", f"ratio={step},edits={min(len(edits), 2)}", f"common={min(common, LEAST_COMMON)}", f"capital={word[0].isupper()}", f"digit={any(c.isdigit() for c in word)}", f"size={min(len(word), 8)}", f"capital={word[0].isupper()},ratio={step}"]
-    for at, read, meant in edits:
-        action = "replace" if len(read) == len(meant) else "delete" if len(read) > len(meant) else "insert"
-        out += [f"op={action}:{read}>{meant}", f"op={read}>{meant},left={low[max(0, at) : at + 1]}", f"op={read}>{meant},right={low[at + 1 + len(read) : at + 2 + len(read)]}", f"op={read}>{meant},ratio={step}"]
-    return out
+    digit, capital = any(c.isdigit() for c in read), word[0].isupper()
+    return ["edit", f"ratio={step}", f"edits={edits}", f"ratio={step},edits={min(edits, 2)}", f"common={min(common, LEAST_COMMON)}", f"common={min(common, LEAST_COMMON)},seen={min(seen, 2)}", f"capital={capital}", f"digit={digit}", f"size={min(len(word), 8)}", f"size={min(len(word), 8)},edits={edits}", f"capital={capital},ratio={step}", f"op={read}>{meant}", f"op={read}>{meant},left={low[max(0, at) : at + 1]}", f"op={read}>{meant},right={low[at + 1 + len(read) : at + 2 + len(read)]}", f"op={read}>{meant},ratio={step}"]
 
 
 def join_features(left: str, right: str, joined: int, compound: int, left_seen: int, right_seen: int) -> list[str]:
@@ -427,6 +451,10 @@ def train(texts: list[str], counts: Counter[str]) -> dict[str, Perceptron]:
     for other in sorted(w for w in counts if len(w) > WRITTEN_OUT - SLIPS):
         long[skeleton(other)].append(other)
 
+    def places(word: str, fixed: str, edits: tuple, seen: int, common: int, meant: bool) -> None:
+        for edit in edits:
+            edit_rows.append((place_features(word, edit, len(edits), seen, common), action_of(*edit[1:]) if meant else "keep"))
+
     def variants(word: str, most: int) -> dict[str, tuple[tuple[int, str, str], ...]]:
         if len(word) <= WRITTEN_OUT:
             return corrections(word, most)
@@ -439,16 +467,17 @@ def train(texts: list[str], counts: Counter[str]) -> dict[str, Perceptron]:
         if bad != word and counts[bad] * 10 <= counts[word]:
             for fixed, edits in variants(bad, SLIPS).items():
                 if fixed == word or counts[fixed]:
-                    edit_rows.append((edit_features(bad, fixed, edits, max(1, counts[bad]), counts[fixed]), "edit" if fixed == word else "keep"))
+                    places(bad, fixed, edits, max(1, counts[bad]), counts[fixed], fixed == word)
             if (edits := edits_between(bad, word)) and not counts[bad]:  # a slip that several texts have is still one, and never what its word means
                 slips = int(max(1, counts[word] / 3) ** drawn.random())
-                edit_rows.append((edit_features(bad, word, edits, slips, counts[word]), "edit"))
+                places(bad, word, edits, slips, counts[word], True)
                 if back := edits_between(word, bad):
-                    edit_rows += [(edit_features(word, bad, back, counts[word], n), "keep") for n in (max(LEAST_COMMON, slips), max(LEAST_COMMON, counts[word]))]
+                    for n in (1, slips, max(LEAST_COMMON, slips), max(LEAST_COMMON, counts[word])):
+                        places(word, bad, back, counts[word], n, False)
     for word in known[:3000] + rare[:3000]:
         for fixed, edits in variants(word, 2).items():
             if counts[fixed]:
-                edit_rows.append((edit_features(word, fixed, edits, counts[word], counts[fixed]), "keep"))
+                places(word, fixed, edits, counts[word], counts[fixed], False)
     for word in known[:1500] + rare[:1500]:
         if len(word) >= 6:
             at = rng.randint(2, len(word) - 2)
@@ -457,8 +486,9 @@ def train(texts: list[str], counts: Counter[str]) -> dict[str, Perceptron]:
     for _ in range(1200 if known else 0):
         left, right = rng.choice(known), rng.choice(known)
         seen = rng.choice([0, 1, 2, 5])
-        join_rows.append((join_features(left, right, 0, seen, counts[left], counts[right]), "keep"))
-    return {"lines": Perceptron(("body", "running_head", "page_number")).train(line_rows), "edits": Perceptron(("keep", "edit")).train(edit_rows), "joins": Perceptron(("join", "keep")).train(join_rows)}
+        apart = seen == 0 or rng.random() < 0.5  # the parts of a compound may be words of their own or not
+        join_rows.append((join_features(left, right, 0, seen, counts[left] * apart, counts[right] * apart), "keep"))
+    return {"lines": Perceptron(("body", "running_head", "page_number")).train(line_rows), "editor": Perceptron(ACTIONS).train(edit_rows + join_rows)}
 
 
 # ---------------------------------------------------------------- plans
@@ -474,7 +504,7 @@ def fit(sources: DataFrame) -> dict[str, Perceptron]:
     """Models trained on at most ``SAMPLE`` clean texts of the corpus (files other than scans and web pages)."""
     clean = sources.where(F.col("raw_text").rlike(r"\S") & ~F.coalesce(F.lower("file_type") == "pdf", F.lit(False)) & F.col("origin").isNull())
     chosen = clean.select("doc_id", "raw_text").withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(SAMPLE)
-    texts = [r["raw_text"][:20000] for r in chosen.collect()]
+    texts = [r["raw_text"] for r in chosen.collect()]
     counts: Counter[str] = Counter()
     for text in texts:
         counts.update({w.lower() for w in words_of(text)[0]})
@@ -531,13 +561,13 @@ def _near_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _decide(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edits, joins = model.value["edits"], model.value["joins"]
+        editor = model.value["editor"]
         for batch in batches:
             out: list[tuple[str, str, str]] = []
             for kind, form, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 seen = {x["other"]: x["docs"] for x in found}
                 if kind == "w":
-                    fixed = best_edit(form, seen, edits)
+                    fixed = best_edit(form, seen, editor)
                     if fixed:
                         out.append((kind, form, fixed))
                     continue
@@ -545,7 +575,7 @@ def _decide(model):
                 low = (left + right).lower()
                 known = max([seen.get(low, 0), *(n for other, n in seen.items() if n >= LEAST_COMMON and len(other) >= len(low) - 1 and "-" not in other and other not in (left.lower(), right.lower()))])
                 features = join_features(left, right, known, seen.get(f"{left}-{right}".lower(), 0), seen.get(left.lower(), 0), seen.get(right.lower(), 0))
-                if joins.label(features) == "join":
+                if editor.label(features) == "join":
                     out.append((kind, form, left + right))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], ["kind", "form", "fixed"])
 
@@ -553,20 +583,20 @@ def _decide(model):
 
 
 def best_edit(form: str, seen: dict[str, int], model: Perceptron) -> str | None:
-    """The edited form the editor prefers to keeping a word, if any; ``seen``: texts with each form, copies of a scan aside.
-
-    A form needs ``LEAST_COMMON`` texts to be meant; how much more common than the word it has to be is for the model to say.
-    """
+    """The form whose edits the editor would all rather make than keep what stands there, if any; ``seen``: texts with each form, copies of
+    a scan aside. Of several the one with the highest sum."""
     own = max(1, seen.get(form.lower(), 0))
     best, top = None, 0.0
     for fixed, common in seen.items():
-        edits = edits_between(form, fixed) if common >= LEAST_COMMON else None
+        edits = edits_between(form, fixed)
         if not edits:
             continue
-        scores = model.scores(edit_features(form, fixed, edits, own, common))
-        margin = scores["edit"] - scores["keep"]
-        if margin > top or (best and margin == top and fixed < best):
-            best, top = fixed, margin
+        margins = []
+        for edit in edits:
+            scores = model.scores(place_features(form, edit, len(edits), own, common))
+            margins.append(scores[action_of(*edit[1:])] - scores["keep"])
+        if min(margins) > 0 and (sum(margins) > top or (best and sum(margins) == top and fixed < best)):
+            best, top = fixed, sum(margins)
     if best and form[0].isupper():
         best = best[0].upper() + best[1:]
     return best
@@ -586,7 +616,7 @@ def _plan(sources: DataFrame, models: dict[str, Perceptron] | None = None) -> tu
     counts = counts.withColumnRenamed("form", "other")
     known = asked.where("bones is null").join(counts, "other").select("kind", "form", "other", "docs")
     bones = F.udf(skeleton, "string")
-    long = counts.where((F.length("other") > WRITTEN_OUT - SLIPS) & (F.col("docs") >= LEAST_COMMON)).withColumn("bones", bones("other"))
+    long = counts.where(F.length("other") > WRITTEN_OUT - SLIPS).withColumn("bones", bones("other"))
     pairs = asked.where("bones is not null").withColumnRenamed("other", "low").join(long, "bones").where("abs(length(low) - length(other)) <= %d" % SLIPS)
     known = known.unionByName(pairs.select("kind", "form", "low", "other", "docs").mapInArrow(_near_long, "kind string, form string, other string, docs int"))
     found = known.groupBy("kind", "form").agg(F.collect_list(F.struct("other", "docs")).alias("found")).select("kind", "form", "found")

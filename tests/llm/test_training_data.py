@@ -58,7 +58,7 @@ def test_scan_noise_and_repair(spark):
 def test_repeated_slips_are_left_to_the_model():
     words = "system supplier reports measured several important results during regular official committee sessions throughout northern districts number members summer remember common"
     texts = [f"Notes on the season {i}\n\nThe {words} before winter. The {words} after winter.\n\nEvery {words} again and again for years." for i in range(40)]
-    model = scan_noise.train(texts, Counter({w: 40 for w in words.split()}))["edits"]
+    model = scan_noise.train(texts, Counter({w: 40 for w in words.split()}))["editor"]
     assert scan_noise.best_edit("systern", {"systern": 9, "system": 40}, model) == "system"
     assert scan_noise.best_edit("system", {"systern": 9, "system": 40}, model) is None
 
