@@ -5,22 +5,28 @@ classifier's two costs (of calling it markup, of calling it plain text) become t
 one another closely, or that open and close the same element, are joined by smoothness edges. The maximum flow then separates markup from
 plain text: a weak sign (an indented line, a rule of stars, a colon list) goes with the clear ones around it and stays plain alone.
 
+The classifier is a logistic regression over a node's form and surroundings, trained here on ``WRITTEN`` short texts that ``written_text`` writes
+with and without markup (look-alikes of plain text among them); its few hundred weights go to all tasks.
+
 Texts without any such sign are passed over by one character scan. Each text is one row's work, so the job is narrow; only the kinds found
 are shuffled, to give repeated rows of a record one row.
 
-Clean text keeps headings (``#`` lines), lists (``- `` lines), code (fenced), formulas (between dollar signs) and tables (rows with
-``|``), and drops tags, comments, templates, emphasis and link targets.
+Clean text is made node by node, and only from nodes the cut calls markup: all other text stays as it is. It keeps headings (``#`` lines), lists
+(``- `` lines where markup made them), code (fenced or in ticks), formulas (between dollar signs) and tables (rows with ``|``), and drops tags, comments, templates, emphasis and
+link targets.
 
-Defined cases: null and blank texts have no markup and stay as they are; whole texts are read; records without an id are left out; the
-kinds of rows of one record are united; the clean text of a record with several texts is that of its smallest.
+Defined cases: null and blank texts have no markup and stay as they are; whole texts are read, and constructs may have any length; records
+without an id are left out; the kinds of rows of one record are united; the clean text of a record with several texts is that of its
+smallest.
 """
 
 from __future__ import annotations
 
 import html as _html
 import math
+import random
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -31,6 +37,10 @@ from pyspark.sql import functions as F
 KINDS = ("html", "markdown", "wiki", "latex")
 NEAR = 400
 SMOOTH = 1.6
+#: Texts the classifier is trained on, and its passes over them.
+WRITTEN = 1500
+PASSES = 8
+SEED = 5
 
 #: Element names of HTML.
 _ELEMENTS = "a abbr address article aside audio b base blockquote body br button canvas caption center cite code col colgroup dd del details div dl dt em embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark meta nav noscript object ol optgroup option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr".split()
@@ -41,58 +51,59 @@ _ENTITY = re.compile(r"&(?:#\d{2,7};|#x[0-9a-f]{2,6};|[A-Za-z][A-Za-z0-9]{1,30};
 _DUNDERS = {n.strip("_") for kind in (object, int, float, str, list, dict, set, type, BaseException, type(len), type(lambda: 0), type(re)) for n in dir(kind) if n.startswith("__")} | {"main", "all", "enter", "exit", "del", "call", "slots", "path", "file", "next", "await", "aiter", "anext", "version", "author", "builtins", "import", "missing", "bytes", "post_init", "name", "annotations"}
 _NUMERIC = re.compile(r"\[\[\s*[-+]?[\d.]+\s*[],]")
 
-_RULES: dict[str, list[tuple[str, re.Pattern, float, str]]] = {}
+_RULES: dict[str, list[tuple[str, str, re.Pattern, str]]] = {}
 
 
-def _rule(signs: str, kind: str, pattern: str, weight: float, role: str = "", flags: int = 0) -> None:
+def _rule(signs: str, kind: str, form: str, pattern: str, role: str = "", flags: int = 0) -> None:
     for sign in signs:
-        _RULES.setdefault(sign, []).append((kind, re.compile(pattern, flags), weight, role))
-
-
-# weight: how much surer the classifier is of markup than of plain text (log odds); negative weights are weak signs.
-_rule("[", "wiki", r"\[\[(?!\s)[^\[\]\n]{1,300}\]\]", 5)
-_rule("[", "wiki", r"\[\[(?!\s)[^\[\]\n]{1,300}\]?\Z", 3)
-_rule("[", "markdown", r"\[\^[\w-]{1,30}\]", 5)
-_rule("[", "markdown", r"\[[^\[\]\n]{1,300}\]\([^()\s]{1,500}(?:\s+\"[^\"\n]*\")?\)", 5)
-_rule("[", "markdown", r"\[[^\[\]\n]{1,300}\]\((?:\.{0,2}/|https?:|img/|#)[^()\s]{0,500}\Z", 3)
-_rule("!", "markdown", r"!\[[^\[\]\n]{0,300}\]\([^()\n]{0,500}\)?", 5)
-_rule("{", "wiki", r"\{\{[A-Za-z#][^{}\n]{0,400}\}\}", 5)
-_rule("{", "wiki", r"\{\{[A-Za-z#][^{}]{0,400}(?:\}?\Z|\}\})", 3)
-_rule("{", "wiki", r"\{\|(?=\s|\Z)[^\n]*", 5, "open:table")
-_rule("|", "wiki", r"\|\}(?=\s|\Z)", 4, "close:table")
-_rule("|", "wiki", r"(?m:^)\|-+[ \t]*(?=\n|\Z)", 4)
-_rule("|", "wiki", r"(?m:^)\|(?!\|)[^|\n]*(?=\n|\Z)", -1)
-_rule("!", "wiki", r"(?m:^)! ?[^\n]+", -2)
-_rule("'", "wiki", r"'''(?=\S)[^'\n]{1,200}'''|(?<!')''(?=[^\s'])[^'\n]{1,200}''(?!')", 5)
-_rule("=", "wiki", r"(?m:^)(={2,6})[ \t]*[^=\n][^\n]*?[ \t]*\1[ \t]*(?=\n|\Z)", 5)
-_rule("#", "wiki", r"(?m:^)#(?:REDIRECT|WEITERLEITUNG|REDIRECTION|REDIRECCIÓN)\b[^\n]*", 5, "", re.I)
-_rule("*", "wiki", r"(?m:^)\*{2,6}[ ]?[^\s*][^\n*]*(?=\n|\Z)", -1.5)
-_rule(":", "wiki", r"(?m:^):{1,6} ?\S[^\n]*", -1.5)
-_rule(";", "wiki", r"(?m:^);+ ?\S[^\n]*", -3)
-_rule("#", "markdown", r"(?m:^)#{1,6}[ \t]+\S[^\n]*", 4)
-_rule("=", "markdown", r"(?m:^)={4,}[ \t]*(?=\n|\Z)", 3, "underline")
-_rule("-", "markdown", r"(?m:^)-{4,}[ \t]*(?=\n|\Z)", -1, "underline")
-_rule("-", "markdown", r"(?m:^)-{3}[ \t]*(?=\n|\Z)", -2.5)
-_rule("*", "markdown", r"(?m:^)(?:\*[ \t]*){3,}(?=\n|\Z)", 2)
-_rule("_", "markdown", r"(?m:^)_{3,}[ \t]*(?=\n|\Z)", -2)
-_rule("*", "markdown", r"\*\*(?=[^\s*])[^*\n]{0,200}?[^\s*]\*\*(?!\*)", 5)
-_rule("*", "markdown", r"(?<![\w*])\*(?=[^\s*])[^*\n]{0,120}?[^\s*]\*(?![\w*])", 2)
-_rule("_", "markdown", r"(?<![\w_])__(?=[^\s_])[^\n]{0,200}?[^\s_]__(?![\w_])", 5, "under")
-_rule("~", "markdown", r"~~(?=\S)[^~\n]{1,200}~~", 5)
-_rule("`", "markdown", r"(?m:^)[ ]{0,3}```[^\n`]*(?=\n|\Z)", 4, "fence")
-_rule("`", "markdown", r"(?<!`)`(?!`)[^`\n]{1,200}`(?!`)", 4)
-_rule(">", "markdown", r"(?m:^)> ?(?=[^\s>])[^\n]*", 2.5)
-_rule("|", "markdown", r"(?m:^)\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*(?=\n|\Z)", 5)
-_rule("|", "markdown", r"(?m:^)\|[^|\n]+\|[^\n]*\|[ \t]*(?=\n|\Z)", 1.5)
-_rule("\\", "latex", r"\\(?:begin|end)\{[A-Za-z]+\*?\}|\\(?:(?:sub)*section|chapter|paragraph|part|caption|label|ref|eqref|pageref|cite[a-z]*|footnote|emph|text[a-z]{2}|url|href|title|author|date|documentclass|usepackage|includegraphics|mathrm|mathbf|frac|sqrt|underline|input|include)\*?(?:\[[^\]\n]*\])?\{", 5)
-_rule("\\", "latex", r"\\(?:item|maketitle|noindent|newline|hline|centering|par|quad|qquad|ldots|cdots|times|cdot|alpha|beta|gamma|delta|lambda|sigma|sum|int|prod|le|leq|ge|geq|infty|tableofcontents|newpage|it|bf|em|tt|sc|large|small|LaTeX|TeX)(?![A-Za-z])", 3.5)
-_rule("\\", "latex", r"\\[\[\]()](?=[\s\S])", 3, "math")
-_rule("\\", "latex", r"\\(?:begin|end|(?:sub)*section|cite|ref|emph|footnote|text(?:bf|it|tt)|label|chapter)\*?(?:\{[A-Za-z]*)?\Z", 3)
-_rule("\\", "latex", r"\\[&%$#_{}](?!\w)|\\\\(?=\s)", 0.5)
-_rule("{", "latex", r"\{\\(?:it|bf|em|tt|sc|sl|rm)\b[^{}\n]*\}?", 5)
-_rule("~", "latex", r"~\\[a-z]+", 4)
-_rule("%", "latex", r"(?m:^)% ?[A-Za-z][^\n]*", 1.5)
-_rule("$", "latex", r"\$\$[^$]{1,500}\$\$|\$(?=[^\s$])(?:[^$\n]{0,200}?[^\s$\\])?\$(?!\d)", 4, "dollar")
+        _RULES.setdefault(sign, []).append((kind, form, re.compile(pattern, flags), role))
+
+
+# Every class between two signs excludes the closing one, so that a match takes time in proportion to its length.
+_rule("[", "wiki", "link", r"\[\[(?!\s)[^\[\]\n]+\]\]")
+_rule("[", "wiki", "cut link", r"\[\[(?!\s)[^\[\]\n]+\]?\Z")
+_rule("[", "markdown", "footnote", r"\[\^[\w-]+\]")
+_rule("[", "markdown", "link", r"\[[^\[\]\n]+\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)")
+_rule("[", "markdown", "cut link", r"\[[^\[\]\n]+\]\((?:\.{0,2}/|https?:|img/|#)[^()\s]*\Z")
+_rule("!", "markdown", "image", r"!\[[^\[\]\n]*\]\([^()\n]*\)?")
+_rule("{", "wiki", "template", r"\{\{[A-Za-z#][^{}]*\}\}")
+_rule("{", "wiki", "cut template", r"\{\{[A-Za-z#][^{}]*\}?\Z")
+_rule("{", "wiki", "table", r"\{\|(?=\s|\Z)[^\n]*", "open:table")
+_rule("|", "wiki", "table end", r"\|\}(?=\s|\Z)", "close:table")
+_rule("|", "wiki", "table row", r"(?m:^)\|-+[ \t]*(?=\n|\Z)")
+_rule("|", "wiki", "table cell", r"(?m:^)\|(?!\|)[^|\n]*(?=\n|\Z)")
+_rule("|", "wiki", "table cells", r"(?m:^)\|(?![|-])[^|\n]*\|\|[^\n]*")
+_rule("!", "wiki", "table head", r"(?m:^)! ?[^\n]+")
+_rule("'", "wiki", "emphasis", r"'''(?=\S)[^'\n]+'''|(?<!')''(?=[^\s'])[^'\n]+''(?!')")
+_rule("=", "wiki", "heading", r"(?m:^)(={2,6})[ \t]*[^=\n][^\n]*?[ \t]*\1[ \t]*(?=\n|\Z)")
+_rule("#", "wiki", "redirect", r"(?m:^)#(?:REDIRECT|WEITERLEITUNG|REDIRECTION|REDIRECCIÓN)\b[^\n]*", "", re.I)
+_rule("*", "wiki", "stars", r"(?m:^)\*{2,6}[ ]?[^\s*][^\n*]*(?=\n|\Z)")
+_rule(":", "wiki", "indent", r"(?m:^):{1,6} ?\S[^\n]*")
+_rule(";", "wiki", "term", r"(?m:^);+ ?\S[^\n]*")
+_rule("#", "markdown", "heading", r"(?m:^)#{1,6}[ \t]+\S[^\n]*")
+_rule("=", "markdown", "underline =", r"(?m:^)={4,}[ \t]*(?=\n|\Z)", "underline")
+_rule("-", "markdown", "underline -", r"(?m:^)-{4,}[ \t]*(?=\n|\Z)", "underline")
+_rule("-", "markdown", "rule -", r"(?m:^)-{3}[ \t]*(?=\n|\Z)")
+_rule("*", "markdown", "rule *", r"(?m:^)(?:\*[ \t]*){3,}(?=\n|\Z)")
+_rule("_", "markdown", "rule _", r"(?m:^)_{3,}[ \t]*(?=\n|\Z)")
+_rule("*", "markdown", "bold", r"\*\*(?=[^\s*])[^*\n]*?[^\s*]\*\*(?!\*)")
+_rule("*", "markdown", "italic", r"(?<![\w*])\*(?=[^\s*])[^*\n]*?[^\s*]\*(?![\w*])")
+_rule("_", "markdown", "bold _", r"(?<![\w_])__(?=[^\s_])(?:(?!__)[^\n])*[^\s_]__(?![\w_])", "under")
+_rule("~", "markdown", "strike", r"~~(?=\S)[^~\n]+~~")
+_rule("`", "markdown", "fence", r"(?m:^)[ ]{0,3}```[^\n`]*(?=\n|\Z)", "fence")
+_rule("`", "markdown", "code", r"(?<!`)`(?!`)[^`\n]+`(?!`)")
+_rule(">", "markdown", "quote", r"(?m:^)> ?(?=[^\s>])[^\n]*")
+_rule("|", "markdown", "table rule", r"(?m:^)\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*(?=\n|\Z)")
+_rule("|", "markdown", "table row", r"(?m:^)\|[^|\n]+\|[^\n]*\|[ \t]*(?=\n|\Z)")
+_rule("\\", "latex", "command", r"\\(?:begin|end)\{[A-Za-z]+\*?\}|\\(?:(?:sub)*section|chapter|paragraph|part|caption|label|ref|eqref|pageref|cite[a-z]*|footnote|emph|text[a-z]{2}|url|href|title|author|date|documentclass|usepackage|includegraphics|mathrm|mathbf|frac|sqrt|underline|input|include)\*?(?:\[[^\]\n]*\])?\{")
+_rule("\\", "latex", "sign", r"\\(?:item|maketitle|noindent|newline|hline|centering|par|quad|qquad|ldots|cdots|times|cdot|alpha|beta|gamma|delta|lambda|sigma|sum|int|prod|le|leq|ge|geq|infty|tableofcontents|newpage|it|bf|em|tt|sc|large|small|LaTeX|TeX)(?![A-Za-z])")
+_rule("\\", "latex", "math", r"\\[\[\]()](?=[\s\S])", "math")
+_rule("\\", "latex", "cut command", r"\\(?:begin|end|(?:sub)*section|cite|ref|emph|footnote|text(?:bf|it|tt)|label|chapter)\*?(?:\{[A-Za-z]*)?\Z")
+_rule("\\", "latex", "escape", r"\\[&%$#_{}](?!\w)|\\\\(?=\s)")
+_rule("{", "latex", "group", r"\{\\(?:it|bf|em|tt|sc|sl|rm)\b[^{}\n]*\}?")
+_rule("~", "latex", "tie", r"~(?=\\[a-z]+)")
+_rule("%", "latex", "comment", r"(?m:^)% ?[A-Za-z][^\n]*")
+_rule("$", "latex", "formula", r"\$\$[^$]+\$\$|\$(?=[^\s$])(?:[^$\n]*?[^\s$\\])?\$(?!\d)", "dollar")
 
 _SIGNS = re.compile(r"[<&\[{'=\\$*_`>|%~!#]|^[:;]|^-(?=--)|^(?: {4}|\t)(?=\S)", re.M)
 _INDENTED = re.compile(r"(?: {4}|\t)\S[^\n]*")
@@ -101,14 +112,19 @@ _PROSE_WORDS = re.compile(r"[^\W\d_]{4,}")
 
 
 class Node:
-    """One possible construct: where it stands, of which kind, and the classifier's costs of either label."""
+    """One possible construct: where it stands, of which kind and form, and the classifier's costs of either label."""
+
+    __slots__ = ("start", "end", "kind", "form", "role", "features", "as_markup", "as_plain")
 
-    __slots__ = ("start", "end", "kind", "role", "as_markup", "as_plain")
+    def __init__(self, start: int, end: int, kind: str, form: str, role: str = "", marks: tuple[str, ...] = ()):
+        self.start, self.end, self.kind, self.form, self.role = start, end, kind, form, role
+        name = f"{kind}:{form}"
+        self.features = ("any", name, *(f"{name},{m}" for m in marks))
+        self.as_markup = self.as_plain = 0.0
 
-    def __init__(self, start: int, end: int, kind: str, weight: float, role: str = ""):
-        self.start, self.end, self.kind, self.role = start, end, kind, role
-        self.as_markup = math.log1p(math.exp(-weight))
-        self.as_plain = math.log1p(math.exp(weight))
+    def weigh(self, weights: dict[str, float]) -> None:
+        odds = max(-20.0, min(20.0, sum(weights.get(f, 0.0) for f in self.features)))
+        self.as_markup, self.as_plain = math.log1p(math.exp(-odds)), math.log1p(math.exp(odds))
 
 
 def candidates(text: str) -> list[Node]:
@@ -121,48 +137,110 @@ def candidates(text: str) -> list[Node]:
             match = _TAG.match(text, at)
             if match or (match := _CUT_TAG.match(text, at)):
                 if at >= until["html"] and match.end() > at + 1:
-                    name = re.match(r"</?([A-Za-z0-9]*)", match.group()).group(1).lower()
-                    role = ("close:" if match.group().startswith("</") else "open:") + name
-                    nodes.append(Node(at, match.end(), "html", 5 if match.group().endswith(">") else 2.5, role))
+                    body = match.group()
+                    name = re.match(r"</?([A-Za-z0-9]*)", body).group(1).lower()
+                    nodes.append(Node(at, match.end(), "html", "tag" if body.endswith(">") else "cut tag", ("close:" if body.startswith("</") else "open:") + name))
                     until["html"] = match.end()
             continue
         if sign == "&":
             match = _ENTITY.match(text, at)
             if match and (match.group().startswith("&#") or match.group()[1:] in html5 or match.group()[1:].lower() in html5):
-                nodes.append(Node(at, match.end(), "html", 5 if match.group().endswith(";") else 2.5))
+                nodes.append(Node(at, match.end(), "html", "entity" if match.group().endswith(";") else "open entity"))
             continue
         if sign in " \t":
             match = _INDENTED.match(text, at)
             if match and at >= until["markdown"]:
-                blank_before = at == 0 or text[:at].endswith("\n\n")
-                code = bool(_CODE.search(match.group()))
-                nodes.append(Node(at, match.end(), "markdown", -1.0 if blank_before and code else -3.0))
+                after_blank = at == 0 or text.endswith("\n\n", 0, at)
+                nodes.append(Node(at, match.end(), "markdown", "indented", "", (f"blank={after_blank}", f"code={bool(_CODE.search(match.group()))}", f"blank={after_blank},code={bool(_CODE.search(match.group()))}")))
                 until["markdown"] = match.end()
             continue
-        for kind, pattern, weight, role in _RULES.get(sign, ()):
+        for kind, form, pattern, role in _RULES.get(sign, ()):
             if at < until[kind]:
                 continue
             match = pattern.match(text, at)
             if not match:
                 continue
-            body = match.group()
+            body, marks = match.group(), ()
             if kind == "wiki" and body.startswith("[[") and _NUMERIC.match(body):
                 continue
             if role == "under" and body.strip("_") in _DUNDERS:
                 until["markdown"] = match.end()
                 break
-            if role == "underline" and (at == 0 or not text[:at].rsplit("\n", 2)[-2].strip()):
-                weight = min(weight, -2.5)
+            if role == "underline":
+                line = text[text.rfind("\n", 0, max(0, at - 1)) + 1 : max(0, at - 1)] if at else ""
+                marks = (f"under={bool(line.strip())}",)
             if role == "dollar" and not body.startswith("$$"):
                 inner = body[1:-1]
                 if not inner or _PROSE_WORDS.search(re.sub(r"\\[A-Za-z]+", "", inner)) or not re.search(r"[\\_^=<>+*/|-]|^[A-Za-z]$", inner) or re.match(r"\d[\d.,]*\s", inner):
                     continue
-            nodes.append(Node(at, match.end(), kind, weight, role))
+            nodes.append(Node(at, match.end(), kind, form, role, marks))
             until[kind] = match.end() if role not in ("open:table",) and not body.startswith(">") else at + 1
             break
     return nodes
 
 
+# ---------------------------------------------------------------- classifier
+
+#: What markup is written with, "%" standing for some words; of each form of a node at least one.
+_MARKUP = {
+    "html": ("<p>%</p>", "<b>%</b> %", "<a href=\"https://a.test/b\">%</a>", "<!-- % -->", "%<br>%", "% &amp; %", "%&nbsp;%", "% &#39;% ", "% &copy %", "<ul><li>%</li><li>%</li></ul>", "<h2>%</h2>", "<div class=\"a\">%</div>", "% <span class=\"no"),
+    "markdown": ("# %", "## %", "**%** %", "*%* %", "[%](https://a.test/b)", "![%](img/a.png)", "[^1] %", "~~%~~", "`%` %", "```\n%\n```", "> %", "> %\n> %", "| % | % |\n|---|---|\n| % | % |\n| % | % |", "%\n=====", "%\n-----", "***", "* * *", "__%__ %", "% [%](https://a.t", "---", "___", "%\n\n    x = f(%)"),
+    "wiki": ("== % ==", "=== % ===", "[[%|%]] %", "[[%]] %", "{{cite|%}} %", "'''%''' %", "''%'' %", "{| class=a\n! %\n! %\n|-\n| %\n| % || %\n|}", "#REDIRECT [[%]]", "** %\n** %", ": %", "; %", "% [[%", "% {{cite|%", "{{Infobox\n|a=%\n}}"),
+    "latex": ("\\section{%}", "\\emph{%} %", "\\begin{itemize}\n\\item %\n\\item %\n\\end{itemize}", "$x_{1} = y^2$ %", "$$a + b$$", "\\[ a = b \\]", "%~\\ref{a} %", "{\\it %} %", "% \\% %", "% \\alpha %", "\\begin{equation}\na = b\n\\end{equation}", "% note %", "% \\cite{", "% \\cite{a} \\& %"),
+}
+#: Plain text that looks like markup.
+_ALIKE = ("----", "-----\n%", "%\n\n-----", "---", "___", "____", "    %", "%\n    %", "for % in %:\n    total += %.size", "def f(%):\n    return g(%)", "\n\n    % %", "% \\& %", ": %", "; %", ": % : %", "| % | %", "| %", "** %", "! %", "% *", "> 3 %", "% * 3 * 4", "*) %", "% $5 and $6 %", "a < 3 and b > 2 %", "% R&D %", "% _a_ %", "f(*args) %", "[1] %", "[[1, 2], [3, 4]]", "% <name> %", "=====\n%", "% ~ %", "100 % of %", "* %", "1. %", "- %", "C:\\new\\% ")
+#: How often a text is plain.
+_PLAIN = 0.5
+
+
+def written_text(rng: random.Random) -> tuple[str, str, list[tuple[int, int]]]:
+    """(text, its kind of markup or "", stretches written as markup) of one text to train on."""
+    words = lambda: " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 7)))
+    fill = lambda form: re.sub(r"(?<!\\)%(?! note)", lambda m: words(), form)
+    kind = "" if rng.random() < _PLAIN else rng.choice(KINDS)
+    text, spans = "", []
+    for _ in range(rng.randint(3, 9)):
+        turn = rng.random()
+        if kind and turn < 0.5:
+            piece = fill(rng.choice(_MARKUP[kind]))
+            if re.search(r"(?:class=\"no|https://a\.t|\[\[[^\]]*|\{\{[^}]*|\\cite\{)\Z", piece):
+                return text + piece, kind, [*spans, (len(text), len(text) + len(piece))]  # cut off
+            spans.append((len(text), len(text) + len(piece)))
+        elif turn < 0.75 and (not kind or turn < 0.6):
+            piece = fill(rng.choice(_ALIKE))
+        else:
+            piece = ". ".join(words() for _ in range(rng.randint(1, 3))) + "."
+        text += piece + ("\n\n" if rng.random() < 0.7 else "\n")
+    return text, kind, spans
+
+
+_TRAINED: list[dict[str, float]] = []
+
+
+def classifier() -> dict[str, float]:
+    """The weights of a node's features, trained once a process; a construct of another kind than its text's, or outside its markup, is plain."""
+    if _TRAINED:
+        return _TRAINED[0]
+    rng, rows = random.Random(SEED), []
+    for _ in range(WRITTEN):
+        text, kind, spans = written_text(rng)
+        for node in candidates(text):
+            rows.append((node.features, float(node.kind == kind and any(a <= node.start < b for a, b in spans))))
+    weights: dict[str, float] = defaultdict(float)
+    for turn in range(PASSES):
+        rng.shuffle(rows)
+        for features, gold in rows:
+            miss = gold - 1.0 / (1.0 + math.exp(-max(-20.0, min(20.0, sum(weights[f] for f in features)))))
+            for f in features:
+                weights[f] += 0.3 / (1 + turn) * miss
+    _TRAINED.append(dict(weights))
+    return _TRAINED[0]
+
+
+# ---------------------------------------------------------------- labels
+
+
 def _max_flow(size: int, arcs: list[tuple[int, int, float, float]]) -> list[bool]:
     """Dinic's maximum flow from node ``size`` to node ``size + 1``; whether each node stays on the source's side of the minimum cut."""
     source, sink = size, size + 1
@@ -216,6 +294,8 @@ def _max_flow(size: int, arcs: list[tuple[int, int, float, float]]) -> list[bool
 
 def labelled(nodes: list[Node]) -> list[bool]:
     """Whether each construct is markup: the minimum cut over the constructs of each kind."""
+    for node in nodes:
+        node.weigh(classifier())
     out = [n.as_markup < n.as_plain for n in nodes]
     for kind in KINDS:
         own = [i for i, n in enumerate(nodes) if n.kind == kind]
@@ -274,92 +354,262 @@ def source_and_cited(sources: DataFrame, citations: DataFrame) -> DataFrame:
     return raw.unionByName(citations.select(F.lit("citation_text").alias("field_name"), F.col("chunk_id").alias("record_id"), "text"))
 
 
-def _clean_html(text: str) -> str:
-    text = re.sub(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", "", text, flags=re.I | re.S)
-    text = re.sub(r"<pre\b[^>]*>\s*(?:<code\b[^>]*>)?(.*?)(?:</code>\s*)?</pre\s*>", lambda m: "\n```\n" + m.group(1).strip("\n") + "\n```\n", text, flags=re.I | re.S)
-    text = re.sub(r"<h([1-6])\b[^>]*>\s*", lambda m: "\n" + "#" * int(m.group(1)) + " ", text, flags=re.I)
-    text = re.sub(r"<li\b[^>]*>\s*", "\n- ", text, flags=re.I)
-    text = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ", text, flags=re.I)
-    text = re.sub(r"<code\b[^>]*>(.*?)</code\s*>", r"`\1`", text, flags=re.I | re.S)
-    text = re.sub(r"<(?:br|hr)\b[^>]*>|</?(?:p|div|ul|ol|table|tr|h[1-6]|section|article|blockquote)\b[^>]*>", "\n", text, flags=re.I)
-    text = _CUT_TAG.sub("", _TAG.sub("", text))
-    return _html.unescape(text).replace("\xa0", " ")
-
-
-def _clean_wiki(text: str) -> str:
-    text = re.sub(r"(?im)^#REDIRECT[^\n]*\[\[([^\]|\n]*)[^\n]*", r"\1", text)
-    text = re.sub(r"(?m)^(={1,6})[ \t]*([^=\n].*?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m.group(1)) + " " + m.group(2), text)
-    for _ in range(4):
-        text = re.sub(r"\{\{[^{}]*(?:\}\}|\}?\Z)", "", text)
-    text = re.sub(r"\[\[(?:[A-Za-zÀ-ÿ]+:)[^\[\]\n|]*(?:\|[^\[\]\n|]*)*\|([^\[\]\n|]*)\]\]", r"\1", text)
-    text = re.sub(r"\[\[[A-Z][\w]+:[^\[\]\n]*\]\]", "", text)
-    text = re.sub(r"\[\[(?!\s*[\d.+-]+\s*[],])(?:[^\[\]\n|]*\|)?([^\[\]\n|]*)(?:\]\]|\]?\Z)", r"\1", text)
-    text = re.sub(r"(?m)^\{\|[^\n]*$|^\|\}[ \t]*$|^\|-+[ \t]*$", "", text)
-    text = re.sub(r"(?m)^[!|][ \t]?([^\n]+)$", lambda m: re.sub(r"\s*(?:\|\||!!)\s*", " | ", m.group(1)), text)
-    text = re.sub(r"'''''|'''|''", "", text)
-    return re.sub(r"(?m)^[*#:;]+[ ]?(?=\S)", "- ", text)
-
-
-def _clean_markdown(text: str) -> str:
-    parts = re.split(r"(?m)(^[ ]{0,3}```[^\n]*\n(?:.*?\n)?[ ]{0,3}```[ \t]*$)", text, flags=re.S)
-    for at in range(0, len(parts), 2):
-        part = re.sub(r"(?m)^(\S[^\n]*)\n=+[ \t]*$", r"# \1", parts[at])
-        part = re.sub(r"(?m)^(\S[^\n]*)\n-{4,}[ \t]*$", r"## \1", part)
-        part = re.sub(r"(?m)^[ \t]*(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|_{3,}[ \t]*)$", "", part)
-        part = re.sub(r"(?m)^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$\n?", "", part)
-        part = re.sub(r"!\[([^\[\]\n]*)\]\([^()\n]*\)", r"\1", part)
-        part = re.sub(r"\[([^\[\]\n^][^\[\]\n]*)\]\([^()\n]*\)", r"\1", part)
-        part = re.sub(r"\[\^[\w-]+\]:?", "", part)
-        part = re.sub(r"\*\*(?=[^\s*])([^*\n]*?[^\s*])\*\*", r"\1", part)
-        part = re.sub(r"(?<![\w_])__(?=[^\s_])([^\n]*?[^\s_])__(?![\w_])", lambda m: m.group(0) if m.group(1) in _DUNDERS else m.group(1), part)
-        part = re.sub(r"(?<![\w*])\*(?=[^\s*])([^*\n]*?[^\s*])\*(?![\w*])", r"\1", part)
-        part = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", part)
-        part = re.sub(r"(?m)^> ?", "", part)
-        part = re.sub(r"(?m)^([ \t]*)[*+][ \t]+(?=\S)", r"\1- ", part)
-        parts[at] = part
-    return "".join(parts)
-
-
-_LATEX_HEADS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "title": 1}
-
-
-def _clean_latex(text: str) -> str:
-    text = re.sub(r"\\begin\{(?:verbatim|lstlisting)\}[^\n]*\n?(.*?)(?:\\end\{(?:verbatim|lstlisting)\}|\Z)", lambda m: "\n```\n" + m.group(1).strip("\n") + "\n```\n", text, flags=re.S)
-    text = re.sub(r"(?m)^%[^\n]*\n?", "", text)
-    text = re.sub(r"\\(part|chapter|(?:sub){0,2}section|paragraph|title)\*?\{([^{}\n]*)\}", lambda m: "#" * _LATEX_HEADS[m.group(1)] + " " + m.group(2), text)
-    text = re.sub(r"\\begin\{(?:equation|align|displaymath)\*?\}(.*?)\\end\{(?:equation|align|displaymath)\*?\}", lambda m: "$" + m.group(1).strip() + "$", text, flags=re.S)
-    text = re.sub(r"\\\[(.*?)\\\]|\\\((.*?)\\\)", lambda m: "$" + (m.group(1) or m.group(2) or "").strip() + "$", text, flags=re.S)
-    text = re.sub(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?", "", text)
-    text = re.sub(r"[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*", "- ", text)
-    kept = re.split(r"(\$[^$\n]+\$)", text)
-    for at in range(0, len(kept), 2):
-        part = re.sub(r"~?\\(?:ref|eqref|pageref|cite[a-z]*|label|footnote|input|include|includegraphics|usepackage|documentclass)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*(?:\}|\Z)", "", kept[at])
-        part = re.sub(r"\{\\(?:it|bf|em|tt|sc|sl|rm)\b[ ]?([^{}\n]*)\}", r"\1", part)
-        for _ in range(3):
-            part = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", part)
-        part = re.sub(r"\\([&%$#_{}])", r"\1", part)
-        kept[at] = re.sub(r"\\(?:newline|maketitle|noindent|centering|hline|par|newpage)\b[ ]?|\\\\", "", part).replace("~", " ")
-    return "".join(kept)
+# ---------------------------------------------------------------- clean text
+
+_LATEX_HEADS = {"part": 1, "chapter": 1, "title": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
+_LATEX_DROPPED = frozenset("ref eqref pageref cite citep citet citeauthor citeyear label input include includegraphics usepackage documentclass footnote".split())
+_LATEX_SIGNS = frozenset("maketitle noindent newline hline centering par newpage tableofcontents it bf em tt sc large small".split())
+_CODE_BLOCKS = frozenset(("verbatim", "lstlisting"))
+_FORMULA_BLOCKS = frozenset(("equation", "align", "displaymath", "math"))
+_BREAKING = frozenset("address article aside blockquote body br details div dl dt dd fieldset figcaption figure footer form head header hr html li main nav ol p pre section summary table tbody tfoot thead title tr ul h1 h2 h3 h4 h5 h6".split())
+_HIDDEN = frozenset(("script", "style"))
+
+
+class Edits:
+    """Changes of a text: stretches to replace, and stretches to keep as they are, whatever is found inside."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.changes: list[tuple[int, int, str]] = []
+        self.kept: list[tuple[int, int]] = []
+
+    def put(self, start: int, end: int, new: str = "") -> None:
+        self.changes.append((start, end, new))
+
+    def keep(self, start: int, end: int) -> None:
+        self.kept.append((start, end))
+
+    def line(self, start: int, end: int) -> None:
+        """Drops a stretch that has its line for itself, with the line's end."""
+        self.put(start, end + 1 if self.text[end : end + 1] == "\n" else end)
+
+    def applied(self) -> str:
+        out, at, kept, k = [], 0, _merged(self.kept), 0
+        for start, end, new in sorted(self.changes, key=lambda c: (c[0], -c[1])):
+            while k < len(kept) and kept[k][1] <= start:
+                k += 1
+            if start < at or (k < len(kept) and kept[k][0] < end and kept[k][0] <= start):
+                continue
+            if not new and self.text[start - 1 : start] in ("", " ", "\n") and self.text[end : end + 1] == " ":
+                end += 1  # what is left out leaves one blank
+            out += (self.text[at:start], new)
+            at = end
+        return "".join(out) + self.text[at:]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _closing_brace(text: str, at: int) -> int:
+    """The place of the brace that closes the one before ``at``, or the end of the text."""
+    depth = 1
+    for found in re.compile(r"(?<!\\)[{}]").finditer(text, at):
+        depth += 1 if found.group() == "{" else -1
+        if not depth:
+            return found.start()
+    return len(text)
+
+
+def _edit_html(nodes: list[Node], edits: Edits) -> None:
+    text, fenced, hidden, cells = edits.text, -1, -1, 0
+    for node in nodes:
+        body = text[node.start : node.end]
+        if node.form in ("entity", "open entity"):
+            edits.put(node.start, node.end, _html.unescape(body).replace("\xa0", " "))
+            continue
+        step, _, name = node.role.partition(":")
+        opens = step == "open"
+        if name in _HIDDEN:
+            if opens:
+                hidden = node.start
+            elif hidden >= 0:
+                edits.put(hidden, node.end)
+                hidden = -1
+            new = ""
+        elif name == "pre":
+            fenced = node.end if opens else -1
+            new = "\n```\n"
+        elif name == "code":
+            new = "" if fenced >= 0 else "`"
+        elif re.fullmatch("h[1-6]", name):
+            new = "\n" + "#" * int(name[1]) + " " if opens else "\n"
+        elif name == "li":
+            new = "\n- " if opens else ""
+        elif name in ("td", "th"):
+            new, cells = (" | " if opens and cells else ""), cells + opens
+        else:
+            new = "\n" if name in _BREAKING else ""
+        if name == "tr":
+            cells = 0
+        edits.put(node.start, node.end, new)
+    if hidden >= 0:
+        edits.put(hidden, len(text))
+
+
+def _edit_wiki(nodes: list[Node], edits: Edits) -> None:
+    text = edits.text
+    for node in nodes:
+        body = text[node.start : node.end]
+        if node.form in ("link", "cut link"):
+            inner = body.strip("[]")
+            target, bar, label = inner.rpartition("|")
+            colon = re.match(r"[A-Za-zÀ-ÿ]+:", inner)
+            if colon and not bar:
+                edits.put(node.start, node.end)
+            else:
+                edits.put(node.start, node.end - len(label) - (len(body) - len(body.rstrip("]"))))
+                edits.put(node.end - (len(body) - len(body.rstrip("]"))), node.end)
+        elif node.form == "heading":
+            level = len(body) - len(body.lstrip("="))
+            lead = re.match(r"=+[ \t]*", body).end()
+            trail = re.search(r"[ \t]*=+[ \t]*$", body).start()
+            edits.put(node.start, node.start + lead, "#" * level + " ")
+            edits.put(node.start + trail, node.end)
+        elif node.form == "emphasis":
+            marks = 3 if body.startswith("'''") else 2
+            edits.put(node.start, node.start + marks)
+            edits.put(node.end - marks, node.end)
+        elif node.form in ("template", "cut template"):
+            edits.put(node.start, node.end)
+        elif node.form in ("table", "table end", "table row"):
+            edits.line(node.start, node.end)
+        elif node.form in ("table cell", "table cells", "table head"):
+            edits.put(node.start, node.end, re.sub(r"\s*(?:\|\||!!)\s*", " | ", re.sub(r"^[|!][ \t]?", "", body)))
+        elif node.form == "redirect":
+            target = re.search(r"\[\[([^\]|\n]*)", body)
+            edits.put(node.start, node.end, target.group(1) if target else body.partition(" ")[2])
+        else:  # stars, indent, term: lists
+            edits.put(node.start, node.start + re.match(r"[*:;]+[ ]?", body).end(), "- ")
+
+
+def _edit_markdown(nodes: list[Node], edits: Edits) -> None:
+    text, fence = edits.text, -1
+    for node in nodes:
+        body = text[node.start : node.end]
+        if node.form == "fence":
+            if fence < 0:
+                fence = node.start
+            else:
+                edits.keep(fence, node.end)
+                fence = -1
+            continue
+        if fence >= 0:
+            continue
+        if node.form in ("link", "image", "cut link"):
+            lead = 2 if node.form == "image" else 1
+            edits.put(node.start, node.start + lead)
+            edits.put(node.start + body.index("](", lead), node.end)
+        elif node.form == "footnote":
+            edits.put(node.start, node.end + (text[node.end : node.end + 1] == ":"))
+        elif node.form in ("bold", "bold _", "strike", "italic"):
+            marks = 1 if node.form == "italic" else 2
+            edits.put(node.start, node.start + marks)
+            edits.put(node.end - marks, node.end)
+        elif node.form in ("underline =", "underline -"):
+            before = text.rfind("\n", 0, max(0, node.start - 1)) + 1
+            if node.start and text[before : node.start].strip():
+                edits.put(before, before, "# " if node.form == "underline =" else "## ")
+                edits.put(node.start - 1, node.end)
+            else:
+                edits.line(node.start, node.end)
+        elif node.form in ("rule -", "rule *", "rule _", "table rule"):
+            edits.line(node.start, node.end)
+        elif node.form == "quote":
+            edits.put(node.start, node.start + (2 if body.startswith("> ") else 1))
+        elif node.form in ("code", "indented"):
+            edits.keep(node.start, node.end)
+    if fence >= 0:
+        edits.keep(fence, len(text))
+
+
+def _edit_latex(nodes: list[Node], edits: Edits) -> None:
+    text, block = edits.text, -1
+    for node in nodes:
+        body = text[node.start : node.end]
+        if node.form == "formula":
+            edits.keep(node.start, node.end)
+        elif node.form == "math":
+            opens = body[1] in "[("
+            start, end = (node.start, re.compile(r"\s*").match(text, node.end).end()) if opens else (node.start - (text[node.start - 1 : node.start] == " "), node.end)
+            edits.put(start, end, "$")
+            if opens and text.endswith("\\" + "])"[body[1] == "("]):  # the last sign of a text is no node
+                edits.put(len(text) - 2, len(text), "$")
+        elif node.form in ("comment", "cut command"):
+            edits.line(node.start, node.end)
+        elif node.form == "escape":
+            edits.put(node.start, node.end, "" if body.startswith("\\\\") else body[1:])
+        elif node.form == "group":
+            edits.put(node.start, node.start + re.match(r"\{\\[a-z]+ ?", body).end())
+            if body.endswith("}"):
+                edits.put(node.end - 1, node.end)
+        elif node.form == "tie":
+            following = re.compile(r"\\([a-z]+)").match(text, node.end)
+            edits.put(node.start, node.end, "" if following and following.group(1) in _LATEX_DROPPED else " ")
+        elif node.form == "sign":
+            name = body[1:]
+            if name == "item":
+                end = re.compile(r"(?:\[[^\]\n]*\])?[ \t]*").match(text, node.end).end()
+                edits.put(node.start, end, "- ")
+            elif name in _LATEX_SIGNS:
+                edits.put(node.start, node.end + (text[node.end : node.end + 1] == " "))
+        elif body.startswith(("\\begin{", "\\end{")):
+            name = body[body.index("{") + 1 : -1].rstrip("*")
+            opens = body.startswith("\\begin")
+            if name in _CODE_BLOCKS:
+                edits.put(node.start, node.end, "```")
+                if opens:
+                    block = node.end
+                elif block >= 0:
+                    edits.keep(block, node.start)
+                    block = -1
+            elif name in _FORMULA_BLOCKS:
+                edits.put(node.start, node.end, "$")
+            else:
+                edits.line(node.start, re.compile(r"(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?").match(text, node.end).end())
+        else:
+            name = re.match(r"\\([a-z]+)", body).group(1)
+            close = _closing_brace(text, node.end)
+            if name in _LATEX_DROPPED:
+                edits.put(node.start, close + 1)
+            elif name in ("frac", "sqrt", "mathrm", "mathbf"):
+                continue
+            else:
+                edits.put(node.start, node.end, "#" * _LATEX_HEADS[name] + " " if name in _LATEX_HEADS else "")
+                edits.put(close, close + 1)
+
+
+def cleaned(text: str | None) -> tuple[str | None, list[str]]:
+    """(the text without the markup found in it, the kinds found). Only constructs the cut calls markup are changed."""
+    if not text or not _SIGNS.search(text):
+        return text, []
+    nodes = candidates(text)
+    found = [n for n, markup in zip(nodes, labelled(nodes), strict=True) if markup]
+    if not found:
+        return text, []
+    edits = Edits(text)
+    for kind, edit in (("html", _edit_html), ("markdown", _edit_markdown), ("wiki", _edit_wiki), ("latex", _edit_latex)):
+        edit([n for n in found if n.kind == kind], edits)
+    new = edits.applied()
+    new = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n|\Z)", "", new)).strip("\n")
+    return new, [k for k in KINDS if any(n.kind == k for n in found)]
 
 
 def clean(text: str | None) -> str | None:
-    """The text without the markup found in it."""
-    if text is None:
-        return None
-    kinds = kinds_of(text)
-    for kind, convert in (("latex", _clean_latex), ("wiki", _clean_wiki), ("markdown", _clean_markdown), ("html", _clean_html)):
-        if kind in kinds:
-            text = convert(text)
-    if kinds:
-        text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n|\Z)", "", re.sub(r"(?<=\S)[ \t]{2,}", " ", text))).strip("\n")
-    return text
+    return cleaned(text)[0]
 
 
 def _clean_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        found = pa.array([kinds_of(t) for t in texts], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([clean(t) for t in texts], pa.string()), found], ["field_name", "record_id", "clean_text", "markup"])
+        done = [cleaned(t) for t in batch.column(2).to_pylist()]
+        columns = pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["field_name", "record_id", "clean_text", "markup"])
 
 
 def clean_records(records: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ per path, over all pages of a site and over all sites; the two are fused with th
 thresholded. No word list decides: which pieces of text are widgets, menus or notices is read off the corpus.
 
 A piece is a whole line, a cell of a separated row, what stands before a colon, the first or last sentence of a line, or the form of a line
-and its first two words. Its rate is the share of its language's pages with it, counted once for each pair of sentences around it, so that
+with signs or figures and its first two words. Its rate is the share of its language's pages with it, counted once for each pair of sentences around it, so that
 copies of a page, edited ones too, don't make its headings common. Headings come back by chance, the more the fewer nouns a language's
 pages have: the rates of pieces that mostly lead into sentences tell how often, and other lines are common only beside that level. Text adds to a path's ratio by
 how rare its pieces are.
@@ -98,7 +98,9 @@ def pieces_of(line: str, shape: str) -> list[str]:
     if colon:
         out.append("c" + head)
     out += ["s" + p for p in _SENTENCES.split(text)[1:]]
-    out.append("g" + re.sub(r"(\W+w)\1+", r"\1+", re.sub(r"[^\W\d_]+", "w", text)))
+    form = re.sub(r"(\W+w)\1+", r"\1+", re.sub(r"[^\W\d_]+", "w", text))
+    if form.strip("w +"):
+        out.append("g" + form)
     out.append("g" + " ".join(text.split(" ")[:2]) + " ...")
     return list(dict.fromkeys(out))
 

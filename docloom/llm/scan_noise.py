@@ -2,9 +2,9 @@
 
 Method: averaged perceptrons trained here. A line model tells body lines from running heads and page numbers by page-position features
 (breaks in the sentence around a line, how alike lines come back, what stands next to them, whether numbers count up). A character editor
-predicts for each place of a word that may have been misread, and each word divided at a line end, one of ``ACTIONS``: keep, replace, delete,
-insert, join. Its features are the signs read and meant, their neighbours, and how many texts have the word as it stands and as it would
-become. A word is edited if the editor would rather make each of its edits than keep what stands there. Both are trained on clean texts of
+predicts for each place of a word that may have been misread, and each word divided at a line end, one of keep, replace, delete, insert and
+join: what is read and what would be meant leave one action beside keep ("act"), which is among its features, and context is learnt for all
+alike. Its features are the signs read and meant, their neighbours, and how many texts have the word as it stands and as it would become. A word is edited if the editor would rather make each of its edits than keep what stands there. Both are trained on clean texts of
 the corpus, into which the printer's lines and the scanner's slips are put on purpose: at most ``SAMPLE`` texts, whole, those with the least hash of
 their id.
 
@@ -54,8 +54,6 @@ _FOLD_SIGNS = str.maketrans({"c": "e", "f": "t", "0": "a", "o": "a", "l": "i", "
 _BY_FIRST = {(meant[0], read[0]): (meant, read) for meant, read in CONFUSIONS}
 _BONES = str.maketrans({"n": "r", "c": "e", "d": "e", "f": "t", "o": "a", "0": "a", "5": "s", "q": "g", "9": "g", "2": "z", "v": "y", **dict.fromkeys("il1uhb6")})
 SLIPS = 3
-#: What the editor can do at a place of a word, and at the end of a line.
-ACTIONS = ("keep", "replace", "delete", "insert", "join")
 #: Signs of a folded title from which on it may be blurred; shorter ones have to be equal.
 LEAST_BLURRED = 8
 #: Letters from which on a word's edits are searched among the counted forms instead of written out.
@@ -336,8 +334,8 @@ def place_features(word: str, edit: tuple[int, str, str], edits: int, seen: int,
     step = "none" if common < 1 else "less" if ratio < 1 else "even" if ratio < 3 else "more" if ratio < 10 else "much" if ratio < 40 else "far"
     at, read, meant = edit
     low = f" {word.lower()} "
-    digit, capital = any(c.isdigit() for c in read), word[0].isupper()
-    return ["edit", f"ratio={step}", f"edits={edits}", f"ratio={step},edits={min(edits, 2)}", f"common={min(common, LEAST_COMMON)}", f"common={min(common, LEAST_COMMON)},seen={min(seen, 2)}", f"capital={capital}", f"digit={digit}", f"size={min(len(word), 8)}", f"size={min(len(word), 8)},edits={edits}", f"capital={capital},ratio={step}", f"op={read}>{meant}", f"op={read}>{meant},left={low[max(0, at) : at + 1]}", f"op={read}>{meant},right={low[at + 1 + len(read) : at + 2 + len(read)]}", f"op={read}>{meant},ratio={step}"]
+    digit, capital, action = any(c.isdigit() for c in read), word[0].isupper(), action_of(read, meant)
+    return ["edit", f"action={action}", f"action={action},ratio={step}", f"ratio={step}", f"edits={edits}", f"ratio={step},edits={min(edits, 2)}", f"common={min(common, LEAST_COMMON)}", f"common={min(common, LEAST_COMMON)},seen={min(seen, 2)}", f"capital={capital}", f"digit={digit}", f"size={min(len(word), 8)}", f"size={min(len(word), 8)},edits={edits}", f"capital={capital},ratio={step}", f"op={read}>{meant}", f"op={read}>{meant},left={low[max(0, at) : at + 1]}", f"op={read}>{meant},right={low[at + 1 + len(read) : at + 2 + len(read)]}", f"op={read}>{meant},ratio={step}"]
 
 
 def join_features(left: str, right: str, joined: int, compound: int, left_seen: int, right_seen: int) -> list[str]:
@@ -453,7 +451,7 @@ def train(texts: list[str], counts: Counter[str]) -> dict[str, Perceptron]:
 
     def places(word: str, fixed: str, edits: tuple, seen: int, common: int, meant: bool) -> None:
         for edit in edits:
-            edit_rows.append((place_features(word, edit, len(edits), seen, common), action_of(*edit[1:]) if meant else "keep"))
+            edit_rows.append((place_features(word, edit, len(edits), seen, common), "act" if meant else "keep"))
 
     def variants(word: str, most: int) -> dict[str, tuple[tuple[int, str, str], ...]]:
         if len(word) <= WRITTEN_OUT:
@@ -471,6 +469,8 @@ def train(texts: list[str], counts: Counter[str]) -> dict[str, Perceptron]:
             if (edits := edits_between(bad, word)) and not counts[bad]:  # a slip that several texts have is still one, and never what its word means
                 slips = int(max(1, counts[word] / 3) ** drawn.random())
                 places(bad, word, edits, slips, counts[word], True)
+                for n in (max(1, counts[word] // 4), max(1, counts[word] // 2), counts[word]):  # a form nearly as common as what it might mean is a word of its own
+                    places(bad, word, edits, counts[word], n, False)
                 if back := edits_between(word, bad):
                     for n in (1, slips, max(LEAST_COMMON, slips), max(LEAST_COMMON, counts[word])):
                         places(word, bad, back, counts[word], n, False)
@@ -482,13 +482,13 @@ def train(texts: list[str], counts: Counter[str]) -> dict[str, Perceptron]:
         if len(word) >= 6:
             at = rng.randint(2, len(word) - 2)
             left, right = word[:at], word[at:]
-            join_rows.append((join_features(left, right, counts[word] - (rng.random() < 0.3), 0, counts[left], counts[right]), "join"))
+            join_rows.append((join_features(left, right, counts[word] - (rng.random() < 0.3), 0, counts[left], counts[right]), "act"))
     for _ in range(1200 if known else 0):
         left, right = rng.choice(known), rng.choice(known)
         seen = rng.choice([0, 1, 2, 5])
         apart = seen == 0 or rng.random() < 0.5  # the parts of a compound may be words of their own or not
         join_rows.append((join_features(left, right, 0, seen, counts[left] * apart, counts[right] * apart), "keep"))
-    return {"lines": Perceptron(("body", "running_head", "page_number")).train(line_rows), "editor": Perceptron(ACTIONS).train(edit_rows + join_rows)}
+    return {"lines": Perceptron(("body", "running_head", "page_number")).train(line_rows), "editor": Perceptron(("keep", "act")).train(edit_rows + join_rows)}
 
 
 # ---------------------------------------------------------------- plans
@@ -575,7 +575,7 @@ def _decide(model):
                 low = (left + right).lower()
                 known = max([seen.get(low, 0), *(n for other, n in seen.items() if n >= LEAST_COMMON and len(other) >= len(low) - 1 and "-" not in other and other not in (left.lower(), right.lower()))])
                 features = join_features(left, right, known, seen.get(f"{left}-{right}".lower(), 0), seen.get(left.lower(), 0), seen.get(right.lower(), 0))
-                if editor.label(features) == "join":
+                if editor.label(features) == "act":
                     out.append((kind, form, left + right))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], ["kind", "form", "fixed"])
 
@@ -594,7 +594,7 @@ def best_edit(form: str, seen: dict[str, int], model: Perceptron) -> str | None:
         margins = []
         for edit in edits:
             scores = model.scores(place_features(form, edit, len(edits), own, common))
-            margins.append(scores[action_of(*edit[1:])] - scores["keep"])
+            margins.append(scores["act"] - scores["keep"])
         if min(margins) > 0 and (sum(margins) > top or (best and sum(margins) == top and fixed < best)):
             best, top = fixed, sum(margins)
     if best and form[0].isupper():
