@@ -1,8 +1,9 @@
 """Problem 7: question and answer pairs that are unusable, with what is wrong with them.
 
-Method: a pushdown parser over fences, brackets, quotations, lists and markup says whether an answer breaks off; greedy string tiling
-says how much of it is the question again; script and function-word checks compare the languages; a small grammar per language
-recognises refusals (a first person, or none at all, with a predicate of declining).
+Method: a pushdown parser reads an answer as fences, lists, bare values and paragraphs of sentences, with code spans, brackets, quotations
+and emphasis inside; what is left on its stack at the end (a sentence without its stop, an open bracket or fence) breaks off. Greedy string
+tiling says how much of an answer is the question again; script and function-word checks compare the languages; a small grammar per
+language recognises refusals (a first person, or none at all, with a predicate of declining).
 
 Order of defects, as a record has one at most: empty_answer, refusal, copies_question, other_language, truncated.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.word_lists import FUNCTION_WORDS
+from docloom.llm.word_lists import FUNCTION_WORDS, MORE_FUNCTION_WORDS
 
 ORDER = ("empty_answer", "refusal", "copies_question", "other_language", "truncated")
 TILE = 3
@@ -37,7 +38,7 @@ _NOTHING = re.compile(r"[\s​-‍⁠﻿­]*(?:\[\d+\]|[^\w])*[\s​-‍⁠﻿­
 _NO_ANSWER = frozenset("n/a na none (none) null nil nan undefined tbd todo - empty (empty) keine keiner ninguno aucun aucune néant ninguna k.a. s/o s.o.".split()) - {"none.", "no"}
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?…\n]+(?:[.!?…]+(?=\s|$)|[.!?…]+|\n|$)")
-_QUOTED = re.compile(r"\"[^\"\n]{0,2000}\"|“[^”\n]{0,2000}”|„[^“”\n]{0,2000}[“”]|«[^»\n]{0,2000}»|‹[^›\n]{0,2000}›")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‹[^›\n]*›")
 _FENCED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 _ITEM = re.compile(r"\s*(?:[-*•+–‣]|\d{1,3}[.)]|[a-zA-Z][.)])\s+\S")
 _CITED = re.compile(r"(?:\[\d{1,3}(?:\s*[,;-]\s*\d{1,3})*\]\s*)+[.!?]?\s*$")
@@ -163,6 +164,15 @@ def votes(text: str) -> dict[str, float]:
     return points
 
 
+def foreign_words(text: str) -> int:
+    """The most words of one further language that none of the main ones has."""
+    held = {name: 0 for name in MORE_FUNCTION_WORDS}
+    for word in _WORD.findall(text.lower()):
+        for name, words in MORE_FUNCTION_WORDS.items():
+            held[name] += word in words and word not in _VOTES
+    return max(held.values())
+
+
 def _leader(points: dict[str, float], least: float, lead: float) -> str | None:
     ordered = sorted(points.items(), key=lambda x: -x[1])
     return ordered[0][0] if ordered[0][1] >= least and ordered[0][1] >= lead * max(ordered[1][1], 0.01) else None
@@ -180,6 +190,8 @@ def differs_in_language(answer: str, question: str | None) -> bool:
         return True
     asked, own = votes(question), votes(said)
     ask, say = _leader(asked, 1.0, 1.25), _leader(own, 2.0, 1.4)
+    if ask and (more := foreign_words(said)) >= 3 and more > 1.4 * own[ask] and not foreign_words(question):
+        return True
     if not ask or not say or ask == say:
         return False
     sentences = [s for s in _SENTENCE.findall(said) if len(_WORD.findall(s)) >= 4]
@@ -192,31 +204,48 @@ _DANGLING = frozenset(w for words in FUNCTION_WORDS.values() for w in words) - f
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+_STOPS = frozenset(".!?。！？")
+_CLOSERS = "\"'”’»)]}*_` "
+#: A value: figures with their signs and a unit.
+_FIGURE = re.compile(r"[\W\d]*\d[\d.,:/ -]*\s*[^\W\d]{0,12}[%€$]?")
+
+
+def is_value(text: str) -> bool:
+    """Whether a line is a bare value: figures, one word with figures, or a few words none of which is a function word."""
+    words = text.split()
+    if len(words) == 1 and any(c.isdigit() for c in text):
+        return True
+    if len(words) <= VALUE_WORDS and text[-1:].isalnum() and not _leader(votes(text), 1.0, 1.0):
+        return True
+    return bool(_FIGURE.fullmatch(text))
 
 
 def open_at_end(text: str) -> list[str]:
-    """The stack of the pushdown parser after the text: fences, code spans, brackets, quotations and emphasis still open.
+    """The stack of the pushdown parser after the text: fences, code spans, brackets, quotations, emphasis, items and sentences still open.
 
-    A line break closes code spans and emphasis, a blank line also brackets and straight quotations that no later sign closes; within a
-    fence nothing else opens.
+    A letter or figure outside code opens a sentence, a stop closes it and whatever follows a citation marker is closed with it; three stops
+    leave it open. The end of an item's line closes the item unless its last word asks for more; a blank line closes brackets and straight
+    quotations that no later sign closes; a line that is a bare value is no sentence if it is all there is; within a fence nothing opens.
     """
     stack: list[str] = []
     lines = text.split("\n")
     for number, line in enumerate(lines):
-        if line.lstrip().startswith("```") and not (line.lstrip().count("```") > 1):
-            if stack and stack[-1] == "```":
-                stack.pop()
-            else:
-                stack.append("```")
+        bare, last = line.strip(), number == len(lines) - 1
+        if bare.startswith("```") and bare.count("```") == 1:
+            stack = stack[:-1] if stack and stack[-1] == "```" else ["```"]
             continue
         if stack and stack[-1] == "```":
-            if line.rstrip().endswith("```"):
+            if bare.endswith("```"):
                 stack.pop()
             continue
-        if not line.strip():
-            stack = [s for s in stack if s == "```"]
-        start = _ITEM.match(line)
-        at = start.end() - 1 if start else 0
+        if not bare:
+            stack = []
+            continue
+        item = _ITEM.match(line)
+        if item and (number or not last):
+            stack = [s for s in stack if s != "sentence"]
+        at = item.end() - 1 if item else 0
+        value = len(lines) == 1 and is_value(bare)
         while at < len(line):
             sign = line[at]
             if stack and stack[-1] == "`":
@@ -227,60 +256,56 @@ def open_at_end(text: str) -> list[str]:
             elif sign in "([{“«":
                 stack.append(sign)
             elif sign in _PAIRS:
-                if _PAIRS[sign] in stack:
-                    while stack.pop() != _PAIRS[sign]:
-                        pass
+                _close(stack, _PAIRS[sign])
             elif sign == "„":
                 stack.append("“")
             elif sign == '"':
                 if '"' in stack:
-                    while stack.pop() != '"':
-                        pass
+                    _close(stack, '"')
                 else:
                     stack.append('"')
             elif line.startswith("**", at):
                 if "**" in stack:
-                    while stack.pop() != "**":
-                        pass
+                    _close(stack, "**")
                 elif at + 2 < len(line) and not line[at + 2].isspace():
                     stack.append("**")
                 at += 1
-            elif sign == "<" and re.match(r"<[a-z/!][^<>]*$", line[at:], re.I) and number == len(lines) - 1:
+            elif sign == "<" and last and re.compile(r"<[a-z/!][^<>]*$", re.I).match(line, at):
                 stack.append("<")
+            elif sign == "…" or line.startswith("...", at):
+                if "sentence" not in stack:
+                    stack.append("sentence")
+                at += 2 if sign == "." else 0
+            elif sign in _STOPS and not line[at + 1 : at + 2].isalnum():
+                _close(stack, "sentence", also=False)
+            elif sign.isalnum() and "sentence" not in stack and not value:
+                stack.append("sentence")
             at += 1
+        if last and (_CITED.search(line) or (line.rstrip().endswith("`") and "`" not in stack)):
+            _close(stack, "sentence", also=False)
+        if item and (number or not last):
+            words = _WORD.findall(line.lower())
+            if not (last and len(words) > 3 and line[-1:].isalpha() and words[-1] in _DANGLING):
+                _close(stack, "sentence", also=False)
     return stack
 
 
+def _close(stack: list[str], name: str, also: bool = True) -> None:
+    """Takes the last ``name`` off the stack, and with ``also`` what was opened inside it, a sentence aside."""
+    if name not in stack:
+        return
+    at = len(stack) - 1 - stack[::-1].index(name)
+    inside = stack[at + 1 :] if not also else [s for s in stack[at + 1 :] if s == "sentence"]
+    stack[at:] = inside
+
+
 def breaks_off(answer: str) -> bool:
-    """Whether the answer ends before its end."""
-    text = answer.rstrip().rstrip("​﻿")
+    """Whether the answer ends before its end: something that has to be closed is still open, straight quotations and emphasis aside."""
+    text = answer.rstrip().rstrip("\u200b\ufeff")
     stack = open_at_end(text)
-    if "```" in stack:
-        return True
-    last = text.rsplit("\n", 1)[-1]
     if text.endswith("```"):
-        return False
-    if any(s in "([{<" for s in stack):
-        return True
-    if _CITED.search(text):
-        return False
-    if _ITEM.match(last) and "\n" in text:
-        ending = _WORD.findall(last.lower())
-        return len(ending) > 3 and last[-1:].isalpha() and ending[-1] in _DANGLING
-    bare = text.rstrip("\"'”’»)]}*_` ")
-    if text.endswith("…") or re.search(r"\.\.\.$", bare) or bare.endswith("…"):
-        return True
-    if bare and bare[-1] in ".!?。！？":
-        return False
-    if len(text.split()) == 1 and any(c.isdigit() for c in text):
-        return False
-    if text.endswith("`") and not stack:
-        return False
-    if len(text.split()) <= VALUE_WORDS and "\n" not in text and text[-1:].isalnum() and not _leader(votes(text), 1.0, 1.0):
-        return False
-    if re.fullmatch(r"[\W\d]*\d[\d.,:/ -]*\s*[^\W\d]{0,12}[%€$]?", text):
-        return False
-    return True
+        return "```" in stack
+    return any(s in "([{<" or s in ("```", "sentence") for s in stack)
 
 
 def defect_of(question: str | None, answer: str | None) -> str | None:
