@@ -44,13 +44,13 @@ _ITEM = re.compile(r"\s*(?:[-*•+–‣]|\d{1,3}[.)]|[a-zA-Z][.)])\s+\S")
 _CITED = re.compile(r"(?:\[\d{1,3}(?:\s*[,;-]\s*\d{1,3})*\]\s*)+[.!?]?\s*$")
 
 #: What shows that an answer speaks of itself, by language.
-_SELF = re.compile(r"\b(?:i|i'm|i'd|i'll|i've|me|my|we|we're|our|us|let's|ich|mich|mir|mein\w*|wir|uns|unser\w*|je|j|m|me|moi|mon|ma|mes|nous|notre|yo|mi|mis|puedo|prefiero|siento|debo|podemos|lamento|quiero|deseo)\b(?![-–]\d)|\b(?:language|ai) model\b|sprachmodell|modèle de langage|modelo de lenguaje", re.I)
+_SELF = re.compile(r"\b(?:i|i'm|i'd|i'll|i've|me|my|we|we're|our|us|let's|ich|mich|mir|mein\w*|wir|uns|unser\w*|je|j|m|me|moi|mon|ma|mes|nous|notre|yo|mi|mis|puedo|prefiero|siento|debo|podemos|lamento|quiero|deseo|estoy|soy|doy|tengo|voy|assistant\w*|assistent\w*|asistente\w*|asistent\w*|chatbot|bot)\b(?![-–]\d)|\b(?:language|ai) model\b|sprachmodell|modèle de langage|modelo de lenguaje", re.I)
 #: Predicates of declining, by language.
 _DECLINE = re.compile(
-    r"\b(?:can(?:no|')t|can not|could(?: not|n't)|unable|not able|not in a position|won't|will not|do(?:es)? not|don't|must not|may not|not (?:allowed?|permitted|comfortable|something|willing|supposed)|declin\w*|refus\w*|rather not|prefer not|remit|scope|guidelines?|polic(?:y|ies) (?:of|prevents?)|inappropriate|(?:am|are) (?:permitted|allowed) to|avoid|abstain|pass on|other than|something else|no (?:comment|advice|opinion))\b"
+    r"\b(?:can(?:no|')t|can not|could(?: not|n't)|unable|not able|not in a position|not (?:designed|intended|meant|made|built|authori[sz]ed|trained)|won't|will not|do(?:es)? not|don't|must not|may not|not (?:allowed?|permitted|comfortable|something|willing|supposed)|declin\w*|refus\w*|rather not|prefer not|remit|scope|guidelines?|polic(?:y|ies) (?:of|prevents?)|inappropriate|(?:am|are) (?:permitted|allowed) to|avoid|abstain|pass on|other than|something else|no (?:comment|advice|opinion))\b"
     r"|\b(?:nicht|kein\w*|schweige\w*|außerhalb|darf|unmöglich|enthalte|verweiger\w*|ablehn\w*|lehne|untersagt|verboten)\b"
     r"|\b(?:ne|n)\b.{0,40}\b(?:pas|rien|point|aucun\w*)\b|\b(?:interdit\w*|abstien\w*|refuse\w*|hors de|impossible|décline|dépasse)\b|\bpréf\w+ ne pas\b"
-    r"|\bno (?:puedo|debo|podemos|deseo|quiero|me|es posible|doy|soy|estoy|tengo|voy|opinar|hablar|responder|se me)\b|\bprefiero no\b|\b(?:fuera de|abstengo|rechazo|declino|prohib\w+|imposible)\b",
+    r"|\bno (?:puedo|debo|podemos|deseo|quiero|me|es posible|doy|soy|estoy|tengo|voy|opinar|hablar|responder|se me)\b|\bprefiero no\b|\b(?:fuera de|abstengo|rechaz\w+|declin\w+|prohib\w+|imposible)\b",
     re.I,
 )
 #: Refusals that need no first person.
