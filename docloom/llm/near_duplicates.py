@@ -11,11 +11,17 @@ that meet in a variant are deduplicated and verified exactly.
 * File names. The canonical name is the fingerprint, the radius two letters (delete and insert): each side emits the name with each one
   letter deleted, which any two names a single mistyped letter apart have in common. Digits are never deleted.
 
-Texts with the same set of runs (and names with the same canonical form) form one class; only classes are compared. A variant with many
-classes is cut into blocks of ``HOT`` classes, and blocks are joined with blocks, so no task gathers a whole hot variant.
+Texts with the same set of runs (and names with the same canonical form) form one class; only classes are compared, by 64-bit numbers that
+are looked up again before verification, so that two classes with one number cost a comparison and lose nothing. Only variants travel at
+first: no text and no set. A variant with many classes is cut into blocks of ``HOT`` classes, and blocks are joined with blocks, so no task
+gathers a whole hot variant. The texts of classes that meet are then fetched, once each, and each pair's sets compared.
+
+Groups (``text_groups``) don't need all pairs: in each variant every class is compared with the least one, and only those that turn out
+unlike it with all others of the variant. A group of n near-copies costs n comparisons, and no link between groups is lost.
 
 Defined cases: null and blank texts or names are no cases; texts of under ``WORDS`` words have no runs and match nothing; rows of one
-document count once; a pair is one row with the smaller id (as a string) first; equal ids never pair; empty tables give no rows.
+document count once (of several texts the one whose set has the least hash); a pair is one row with the smaller id (as a string) first;
+equal ids never pair; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -120,60 +126,99 @@ class RunHasher:
         return np.unique(_mix(total))
 
 
-def _sets(words: int):
+def _minima(values: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    symbols = np.full(PRINTS * SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for first in range(0, len(values), 4096):
+        symbols = np.minimum(symbols, _mix(values[first : first + 4096, None] * times + plus).min(axis=0))
+    return symbols
+
+
+def _hashed(words: int):
+    """(id, class, number of the class, variants) of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hasher = RunHasher(words)
+        drawn = np.random.default_rng(SEED + 1)
+        times = drawn.integers(1, 1 << 62, size=PRINTS * SYMBOLS, dtype=np.uint64) | np.uint64(1)
+        plus = drawn.integers(1, 1 << 62, size=PRINTS * SYMBOLS, dtype=np.uint64)
+        kept = np.array(list(itertools.combinations(range(SYMBOLS), SYMBOLS - ERASED)))
+        places = (np.arange(PRINTS)[:, None, None] * SYMBOLS + kept[None]).reshape(-1, SYMBOLS - ERASED)
         for batch in batches:
-            names, classes, sets = [], [], []
+            names, classes, numbers, variants = [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 runs = hasher(text)
-                if len(runs):
-                    names.append(name)
-                    classes.append(xxhash.xxh3_128_digest(runs.tobytes()))
+                if not len(runs):
+                    continue
+                symbols = _minima(runs, times, plus)
+                total = np.zeros(len(places), dtype=np.uint64)
+                for at in range(places.shape[1]):
+                    total = _mix(total + symbols[places[:, at]] + places[:, at].astype(np.uint64))
+                digest = xxhash.xxh3_128_digest(runs.tobytes())
+                names.append(name)
+                classes.append(digest)
+                numbers.append(int.from_bytes(digest[:8], "little", signed=True))
+                variants.append(total.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(classes, pa.binary()), pa.array(numbers, pa.int64()), pa.array(variants, pa.list_(pa.int64()))], ["id", "cls", "number", "variants"])
+
+    return run
+
+
+def _sets(words: int):
+    """(class, number, set of runs) of the wanted texts; other texts of the same document are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hasher = RunHasher(words)
+        for batch in batches:
+            keep, sets = [], []
+            for at, (cls, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                runs = hasher(text)
+                if xxhash.xxh3_128_digest(runs.tobytes()) == cls:
+                    keep.append(at)
                     sets.append(runs.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["id", "cls", "runs"])
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sets, pa.list_(pa.int64()))], ["cls", "number", "runs"])
 
     return run
 
 
-def _text_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    random = np.random.default_rng(SEED + 1)
-    times = random.integers(1, 1 << 62, size=PRINTS * SYMBOLS, dtype=np.uint64) | np.uint64(1)
-    plus = random.integers(1, 1 << 62, size=PRINTS * SYMBOLS, dtype=np.uint64)
-    kept = np.array(list(itertools.combinations(range(SYMBOLS), SYMBOLS - ERASED)))
-    places = (np.arange(PRINTS)[:, None, None] * SYMBOLS + kept[None]).reshape(-1, SYMBOLS - ERASED)
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact similarity of pairs of sets; both come sorted."""
     for batch in batches:
-        classes, variants = [], []
-        for cls, runs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            values = np.asarray(runs.values).view(np.uint64)
-            symbols = np.full(PRINTS * SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
-            for first in range(0, len(values), 4096):
-                symbols = np.minimum(symbols, _mix(values[first : first + 4096, None] * times + plus).min(axis=0))
-            total = np.zeros(len(places), dtype=np.uint64)
-            for at in range(places.shape[1]):
-                total = _mix(total + symbols[places[:, at]] + places[:, at].astype(np.uint64))
-            variants.append(total.view(np.int64))
-            classes += [cls] * len(total)
-        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(np.concatenate(variants) if variants else np.zeros(0, np.int64))], ["cls", "variant"])
+        values = []
+        for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = np.asarray(left.values), np.asarray(right.values)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            values.append(both / (len(a) + len(b) - both))
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(a, b, strict=True)], pa.binary()), pa.array([max(x) for x in zip(a, b, strict=True)], pa.binary()), pa.array(values, pa.float64()), batch.column(4), batch.column(5)], ["a", "b", "similarity", "met_a", "met_b"])
 
 
 def _name_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([canonical_name(x) for x in batch.column(1).to_pylist()], pa.string())], ["id", "cls"])
+        names = [canonical_name(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array([x and _number(x) for x in names], pa.int64())], ["id", "cls", "number"])
 
 
 def _name_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        classes, variants = [], []
+        numbers, variants = [], []
         for name in batch.column(0).to_pylist():
             ball = {name} | {name[:i] + name[i + 1 :] for i, letter in enumerate(name) if letter.isalpha()}
-            classes += [name] * len(ball)
+            numbers += [_number(name)] * len(ball)
             variants += [xxhash.xxh64_intdigest(v) - (1 << 63) for v in ball]
-        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.string()), pa.array(variants, pa.int64())], ["cls", "variant"])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(variants, pa.int64())], ["number", "variant"])
+
+
+def _number(name: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(name, seed=1) - (1 << 63)
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,27 +239,60 @@ def meetings(rows: DataFrame, key: str, name: str) -> DataFrame:
     return left.join(right, [key, "block"]).where("a < b").select("a", "b")
 
 
+class Texts:
+    """The texts of a collection as classes with their variants. ``texts``: id STRING, text STRING."""
+
+    def __init__(self, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY):
+        self.rows = texts.select("id", "text").where(F.col("id").isNotNull() & F.col("text").rlike(r"\S"))
+        self.words, self.similarity = words, similarity
+        hashed = cut_lineage(self.rows.mapInArrow(_hashed(words), "id string, cls binary, number bigint, variants array<bigint>"))
+        self.members = hashed.groupBy("id").agg(F.min("cls").alias("cls"))
+        classes = hashed.groupBy("cls").agg(F.min("id").alias("id"), F.first("number").alias("number"), F.first("variants").alias("variants"))
+        self.variants = classes.select("number", F.explode("variants").alias("variant"))
+        self.firsts = hashed.groupBy("cls", "number").agg(F.min("id").alias("id"))
+
+    def verified(self, met: DataFrame) -> DataFrame:
+        """(a, b, similarity, met_a, met_b): the similar classes among pairs (a, b) of class numbers."""
+        wanted = met.select(F.col("a").alias("number")).unionByName(met.select(F.col("b").alias("number"))).distinct()
+        firsts = self.firsts.join(wanted, "number", "left_semi")
+        asked = self.rows.join(firsts, "id").select("cls", "number", "text").mapInArrow(_sets(self.words), "cls binary, number bigint, runs array<bigint>")
+        sets = asked.groupBy("cls", "number").agg(F.first("runs").alias("runs"))
+        first = met.join(sets.select(F.col("number").alias("a"), F.col("cls").alias("cls_a"), F.col("runs").alias("runs_a")), "a")
+        both = first.join(sets.select(F.col("number").alias("b"), F.col("cls").alias("cls_b"), F.col("runs").alias("runs_b")), "b")
+        scored = both.select("cls_a", "cls_b", "runs_a", "runs_b", "a", "b").mapInArrow(_compared, "a binary, b binary, similarity double, met_a bigint, met_b bigint")
+        return scored.where(F.col("similarity") >= self.similarity)
+
+
 def text_pairs(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): (id, cls) of each text, and (a, b, similarity) of the similar classes. ``texts``: id STRING, text STRING."""
-    rows = texts.where(F.col("id").isNotNull() & F.col("text").rlike(r"\S")).groupBy("id").agg(F.min("text").alias("text"))
-    hashed = cut_lineage(rows.mapInArrow(_sets(words), "id string, cls binary, runs array<bigint>"))
-    members = hashed.select("id", "cls")
-    sets = hashed.groupBy("cls").agg(F.first("runs").alias("runs"))
-    variants = sets.mapInArrow(_text_variants, "cls binary, variant bigint")
-    met = meetings(variants.distinct(), "variant", "cls").distinct()
-    first = met.join(sets.select(F.col("cls").alias("a"), F.col("runs").alias("runs_a")), "a")
-    both = first.join(sets.select(F.col("cls").alias("b"), F.col("runs").alias("runs_b")), "b")
-    common = F.size(F.array_intersect("runs_a", "runs_b"))
-    scored = both.withColumn("common", common).select("a", "b", (F.col("common") / (F.size("runs_a") + F.size("runs_b") - F.col("common"))).alias("similarity"))
-    return members, scored.where(F.col("similarity") >= similarity)
+    made = Texts(texts, words, similarity)
+    met = cut_lineage(meetings(made.variants, "variant", "number").distinct())
+    return made.members, made.verified(met)
+
+
+def text_groups(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, group_id): the connected group of each text, named by its smallest id, without all pairs of a hot variant."""
+    made = Texts(texts, words, similarity)
+    least = made.variants.groupBy("variant").agg(F.min("number").alias("a"), F.count("*").alias("n")).where("n > 1").select("variant", "a")
+    held = cut_lineage(made.variants.join(least, "variant").where("number <> a").select("variant", "a", F.col("number").alias("b")))
+    stars = cut_lineage(made.verified(held.select("a", "b").distinct()))
+    like = stars.select(F.col("met_a").alias("a"), F.col("met_b").alias("b")).distinct()
+    rest = held.join(like, ["a", "b"], "left_anti").select("variant", F.col("b").alias("x"))
+    others = rest.join(held.select("variant", "b"), "variant").where("x <> b")
+    again = others.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+    return classes(made.members, stars.select("a", "b").unionByName(made.verified(again).select("a", "b")))
 
 
 def name_pairs(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): (id, cls) of each name, and (a, b) of the classes one letter apart. ``names``: id STRING, name STRING."""
     rows = names.where("id is not null and name is not null")
-    members = rows.select("id", "name").mapInArrow(_name_classes, "id string, cls string").where("cls is not null").distinct()
-    variants = members.select("cls").distinct().mapInArrow(_name_variants, "cls string, variant bigint")
-    return members, meetings(variants, "variant", "cls").distinct().mapInArrow(_apart, "a string, b string")
+    members = cut_lineage(rows.select("id", "name").mapInArrow(_name_classes, "id string, cls string, number bigint").where("cls is not null").distinct())
+    held = members.select("cls", "number").distinct()
+    variants = held.select("cls").mapInArrow(_name_variants, "number bigint, variant bigint")
+    met = meetings(variants, "variant", "number").distinct()
+    named = met.join(held.select(F.col("number").alias("a"), F.col("cls").alias("x")), "a").join(held.select(F.col("number").alias("b"), F.col("cls").alias("y")), "b")
+    pairs = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).mapInArrow(_apart, "a string, b string")
+    return members.select("id", "cls"), pairs
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -233,24 +311,28 @@ def find_pairs(sources: DataFrame, registry: DataFrame) -> DataFrame:
     return texts.select(F.lit("raw_text").alias("field_name"), "*").unionByName(names.select(F.lit("filename").alias("field_name"), "*"))
 
 
-def classes(members: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, group_id, links): the connected group of each record, named by its smallest id, and its links to other classes.
+def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, group_id): the connected group of each record, named by its smallest id.
 
-    Labels travel along links, each round also to the label's own label, until none changes; every round's result is written to the
-    checkpoint folder. Only links between classes take part, however many copies a class has.
+    Links between classes are turned into stars: each round every class links its larger neighbours, then its smaller ones and itself, to its least
+    neighbour, until no link changes; rounds grow with the logarithm of the longest chain. Every round is written to the checkpoint folder.
+    Only links between classes take part, however many copies a class has.
     """
-    edges = cut_lineage(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    least = members.groupBy("cls").agg(F.min("id").alias("label"))
-    labels = cut_lineage(least)
-    for _ in range(most_rounds):
-        sent = edges.join(labels.withColumnRenamed("cls", "a"), "a").groupBy(F.col("b").alias("cls")).agg(F.min("label").alias("sent"))
-        moved = labels.join(sent, "cls", "left").select("cls", F.col("label").alias("old"), F.least("label", "sent").alias("label"))
-        jumps = moved.select(F.col("old"), F.col("label")).groupBy("old").agg(F.min("label").alias("jump"))
-        fresh = moved.join(jumps, "old", "left").select("cls", "old", F.least("label", "jump").alias("label"))
-        fresh = cut_lineage(fresh)
-        changed = fresh.where("label <> old").limit(1).count()
-        labels = fresh.select("cls", "label")
-        if not changed:
+    edges = cut_lineage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(low, "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = cut_lineage(small.where("u <> v").distinct())
+        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if before == state:
             break
-    links = edges.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
-    return members.join(labels, "cls").join(links, "cls", "left").select("id", F.col("label").alias("group_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+        before = state
+    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
+    placed = members.join(roots.withColumnRenamed("u", "cls"), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"), "cls")
+    named = placed.groupBy("root").agg(F.min("id").alias("group_id"))
+    return placed.join(named, "root").select("id", "group_id")

@@ -16,9 +16,9 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, group_id, links): the near-duplicate group of every source text."""
+    """(doc_id, group_id): the near-duplicate group of every source text."""
     sources = read_table(spark, root, "source_details").select(F.col("doc_id").alias("id"), F.col("raw_text").alias("text"))
-    return near_duplicates.classes(*near_duplicates.text_pairs(sources)).withColumnRenamed("id", "doc_id")
+    return near_duplicates.text_groups(sources).withColumnRenamed("id", "doc_id")
 
 
 def _fused(spark: SparkSession, root: str) -> DataFrame:

@@ -24,8 +24,21 @@ def test_names_and_text_pairs(spark):
     got = {tuple(r) for r in near_duplicates.find_pairs(src, reg).collect()}
     assert got == {("raw_text", "a", "b"), ("raw_text", "a", "c"), ("raw_text", "b", "c"), ("filename", "a", "b"), ("filename", "a", "c"), ("filename", "b", "c")}
     assert near_duplicates.find_pairs(src.limit(0), reg.limit(0)).count() == 0
-    groups = {r.id: (r.group_id, r.links) for r in near_duplicates.classes(*near_duplicates.text_pairs(src.select(F.col("doc_id").alias("id"), F.col("raw_text").alias("text")))).collect()}
-    assert groups["a"] == groups["c"] == ("a", 1) and groups["b"] == ("a", 1) and groups["g"] == ("g", 0)
+    groups = {r.id: r.group_id for r in near_duplicates.text_groups(src.select(F.col("doc_id").alias("id"), F.col("raw_text").alias("text"))).collect()}
+    assert groups == {"a": "a", "b": "a", "c": "a", "g": "g"}
+
+
+def test_groups_of_long_chains_and_many_near_copies(spark):
+    chain = [(f"{i:05d}", f"{i + 1:05d}") for i in range(300)]
+    members = frame(spark, [(f"{i:05d}", f"{i:05d}") for i in range(310)], "id string, cls string")
+    groups = {r.id: r.group_id for r in near_duplicates.classes(members, frame(spark, chain, "a string, b string")).collect()}
+    assert {groups[f"{i:05d}"] for i in range(301)} == {"00000"} and groups["00305"] == "00305" and len(groups) == 310
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+    near = lambda: " ".join(w if rng.random() > 0.01 else f"x{rng.randint(0, 9)}" for w in base)
+    rows = [(f"n{i:04d}", near()) for i in range(1500)] + [(f"o{i}", " ".join(f"v{rng.randint(0, 900)}" for _ in range(60))) for i in range(50)]
+    got = {r.id: r.group_id for r in near_duplicates.text_groups(frame(spark, rows, "id string, text string")).collect()}
+    assert {got[k] for k, _ in rows[:1500]} == {"n0000"} and all(got[k] == k for k, _ in rows[1500:])
 
 
 def test_hot_variant_keeps_every_pair(spark):
