@@ -233,7 +233,7 @@ def meetings(rows: DataFrame, key: str, name: str) -> DataFrame:
     the rest.
     """
     sizes = rows.groupBy(key).count().where("count > 1").select(key, F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
-    some = rows.select(key, name).join(sizes, key)
+    some = cut_lineage(rows.select(key, name).join(sizes, key))  # few keys are held twice; both sides read these rows
     left = some.select(F.col(key), F.pmod(F.hash(F.col(name), F.lit(7)), F.col("blocks")).alias("block"), F.col(name).alias("a"))
     right = some.select(F.col(key), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col(name).alias("b"))
     return left.join(right, [key, "block"]).where("a < b").select("a", "b")
