@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates.find_pairs(read_table(spark, root, "source_details"), read_table(spark, root, "document_info"))
 
 
+def p1_text_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id_a, doc_id_b): the pairs of p1_found by text alone."""
+    sources = read_table(spark, root, "source_details").select(F.col("doc_id").alias("id"), F.col("raw_text").alias("text"))
+    return near_duplicates.record_pairs(*near_duplicates.text_pairs(sources))
+
+
 def p1_classes(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, group_id): the near-duplicate group of every source text."""
     sources = read_table(spark, root, "source_details").select(F.col("doc_id").alias("id"), F.col("raw_text").alias("text"))
@@ -95,9 +101,28 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_classes, p2_found, p2_ranking, p3_found, p3_repaired, p4_found, p4_shares, p5_found, p5_clean, p6_found, p6_bodies, p7_found, p8_ids, p9_found, p10_found)
+    made = (p1_found, p1_text_pairs, p1_classes, p2_found, p2_ranking, p3_found, p3_repaired, p4_found, p4_shares, p5_found, p5_clean, p6_found, p6_bodies, p7_found, p8_ids, p9_found, p10_found)
     return {f.__name__: f for f in made}
 
 
+#: Exact definitions in SQL, for small tables: all runs, all windows, all grams.
+_SQL = {
+    "p1_text_pairs": r"""with t as (select doc_id, min(raw_text) as text from source_details where doc_id is not null and regexp_matches(raw_text, '\S') group by 1),
+w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from t), r as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as run from w where len(w) >= 3),
+n as (select doc_id, count(*) as n from r group by 1), m as (select a.doc_id as a, b.doc_id as b, count(*) as common from r a join r b on a.run = b.run and a.doc_id < b.doc_id group by 1, 2)
+select a as doc_id_a, b as doc_id_b from m join n x on x.doc_id = a join n y on y.doc_id = b where common >= 0.6 * (x.n + y.n - common)""",
+    "p4_found": r"""with r as (select record_id, min(text) as text from (select chunk_id as record_id, text from citations union all select id || ':' || pos, e.text from (select id, unnest(evidence) as e, generate_subscripts(evidence, 1) as pos from qa_items)) where record_id is not null and length(text) >= 100 group by 1),
+w as (select record_id, start, text[start : start + 99] as piece from (select record_id, text, unnest(range(1, length(text) - 98)) as start from r)), shared as (select piece from w group by 1 having count(distinct record_id) > 1),
+h as (select record_id, start from w join shared using (piece)), g as (select *, case when start <= lag(start) over (partition by record_id order by start) + 100 then 0 else 1 end as fresh from h),
+i as (select *, sum(fresh) over (partition by record_id order by start) as island from g)
+select record_id, min(start)::int as start_pos, (max(start) + 100 - min(start))::int as span_len from i group by record_id, island""",
+    "p9_found": r"""with t as (select item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from eval_items where text is not null), d as (select doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from documents where text is not null),
+ig as (select item_id, len(w) as n, i, array_to_string(w[i : i + 7], ' ') as gram from (select *, unnest(range(1, len(w) - 6)) as i from t where len(w) >= 8)),
+dg as (select distinct doc_id, array_to_string(w[i : i + 7], ' ') as gram from (select *, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
+c as (select distinct doc_id, item_id, n, unnest(range(i, i + 8)) as place from ig join dg using (gram))
+select doc_id, item_id from c group by doc_id, item_id, n having count(*) >= 0.5 * n""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
