@@ -129,9 +129,9 @@ def content_ids(spark, root):
 
 
 @query("""with u as (select doc_id, text, source, sha256(coalesce(text,'')) as h from documents)
-select doc_id, case when text is null or not regexp_matches(text, '\\S') then 'error' when row_number() over (partition by h order by doc_id) > 1 then 'duplicate'
- when filename is not null and row_number() over (partition by filename order by doc_id) > 1 then 'replaced' else 'indexed' end as status
-from (select u.*, d.filename from u join documents d using (doc_id))""")
+, d as (select u.*, d.filename, u.text is null or not regexp_matches(u.text, '\\S') as blank from u join documents d using (doc_id)), f as (select h, min(doc_id) as first from d where not blank group by 1),
+n as (select filename, min(doc_id) as named from d join f using (h) where not blank and doc_id = first and filename is not null group by 1)
+select doc_id, case when blank then 'error' when doc_id > first then 'duplicate' when doc_id > named then 'replaced' else 'indexed' end as status from d left join f on f.h = d.h and not blank left join n on n.filename = d.filename""")
 def upload_statuses(spark, root):
     docs = _documents(spark, root).withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
     return library.upload_status(docs, "h", "filename", "doc_id", "text").select("doc_id", "status")
@@ -149,6 +149,13 @@ def registry_from_chunks(spark, root):
     return library.registry_from_chunks(_citations(spark, root))
 
 
+@query("select doc_id, filename, ingested_at, row_number() over (order by ingested_at desc, doc_id)::int as place from (select doc_id, arg_max(filename, ingested_at) as filename, max(ingested_at) as ingested_at from document_info where doc_id is not null group by 1)")
+def newest_documents(spark, root):
+    """The library's documents, newest first; places are counted over ranges of time, so no task holds them all."""
+    rows = _registry(spark, root).where("doc_id is not null").groupBy("doc_id").agg(F.max_by("filename", "ingested_at").alias("filename"), F.max("ingested_at").alias("ingested_at"))
+    return library.placed(rows, [F.desc("ingested_at"), F.asc("doc_id")])
+
+
 @query("select count(distinct doc_id) as documents, sum(chunk_count)::bigint as chunks, sum(size_bytes)::bigint as bytes from (select doc_id, max(chunk_count) as chunk_count, max(size_bytes) as size_bytes from document_info group by 1)")
 def library_totals(spark, root):
     one = _registry(spark, root).groupBy("doc_id").agg(F.max("chunk_count").alias("chunk_count"), F.max("size_bytes").alias("size_bytes"))
@@ -267,11 +274,21 @@ for _strategy in chunking.STRATEGIES:
     query()(_chunked(_strategy, 1200, 200))
 
 
-@query()
+def _stored_chunks(spark, root):
+    """The library's chunks: each cited passage once."""
+    rows = _citations(spark, root).where("chunk_id is not null and text is not null")
+    return rows.groupBy("chunk_id").agg(*(F.min(c).alias(c) for c in ("doc_id", "filename", "section", "page", "page_end", "text")))
+
+
+_STORED = "stored as (select chunk_id, min(doc_id) as doc_id, min(filename) as filename, min(section) as section, min(page) as page, min(page_end) as page_end, min(text) as text from citations where chunk_id is not null and text is not null group by 1)"
+
+
+@query(f"with {_STORED}, t as (select case when length(text) = 0 then 0 else (length(text) + 3) // 4 end as t from stored) select count(*) as n, round(avg(t), 6) as mean, quantile_cont(t, 0.95)::double as p95, max(t)::int as most, sum(t)::bigint as total, round(avg(case when t > 256 then 1.0 else 0 end), 6)::double as truncated from t")
 def chunk_sizes(spark, root):
-    """Size statistics of structure chunks in estimated tokens."""
-    tokens = chunking.chunk(_documents(spark, root).select("doc_id", "text")).select(T.estimated_tokens(F.col("text")).alias("t"))
-    return tokens.agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("mean"), F.percentile("t", 0.95).alias("p95"), F.max("t").alias("most"), F.sum("t").alias("total"))
+    """Size statistics of the stored chunks in estimated tokens, and the share an embedder of 256 tokens would cut off."""
+    tokens = _stored_chunks(spark, root).select(T.estimated_tokens(F.col("text")).alias("t"))
+    cut = F.round(F.avg(F.when(F.col("t") > 256, 1.0).otherwise(0.0)), 6).alias("truncated")
+    return tokens.agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("mean"), F.percentile("t", 0.95).alias("p95"), F.max("t").alias("most"), F.sum("t").alias("total"), cut)
 
 
 # ---------------------------------------------------------------- keyword and vector search
@@ -332,34 +349,49 @@ def rank_fusion(spark, root):
     return ranking.reciprocal_rank_fusion(ranking.rank_lists(_results(spark, root)), "query_id", "chunk_id", "scorer", 25)
 
 
-_KEYWORD = f"kw as (select c.*, round(least(case when len(q) > 0 then len(list_intersect(q, t))::double / len(q) else 0 end + 0.02 / rank, 1.0), 4) as kscore from (select cited.*, list_distinct({_tok('question')}) as q, {_tok('coalesce(text,' + chr(39) * 2 + ') || ' + chr(39) + ' ' + chr(39) + ' || coalesce(section,' + chr(39) * 2 + ')')} as t from cited join questions using (query_id)) c)"
+def _pairs(spark, root):
+    """Cited passages with their questions; each question is tokenised once, not once a passage."""
+    asked = _questions(spark, root).select("query_id", "question").withColumn("q_terms", F.array_distinct(T.tokens(F.col("question"))))
+    return _passages(spark, root).drop("score").join(asked, "query_id")
+
+
+_KEYWORD = f"kw as (select c.*, round(least(case when len(q) > 0 then len(list_intersect(q, t))::double / len(q) else 0 end + 0.02 / rank, 1.0) + 1e-9, 4) as kscore from (select cited.*, list_distinct({_tok('question')}) as q, {_tok('coalesce(text,' + chr(39) * 2 + ') || ' + chr(39) + ' ' + chr(39) + ' || coalesce(section,' + chr(39) * 2 + ')')} as t from cited join questions using (query_id)) c)"
 
 
 @query(f"with {_QUESTIONS}, {_PASSAGES}, {_KEYWORD} select query_id, chunk_id, kscore as score, row_number() over (partition by query_id order by kscore desc, rank)::int as new_rank from kw")
 def rerank_keyword(spark, root):
-    rows = _passages(spark, root).drop("score").join(_questions(spark, root).select("query_id", "question"), "query_id")
+    rows = _pairs(spark, root)
     return ranking.keyword_scores(rows, "question", "text", "section").select("query_id", "chunk_id", "score", "new_rank")
 
 
 @query(f"""with {_QUESTIONS}, {_PASSAGES} select query_id, chunk_id, round(case when len(q) > 0 then len(list_intersect(q, t))::double / len(q) else 0 end, 4) as score from (select query_id, chunk_id, list_distinct({_tok('question')}) as q, {_tok('text')} as t from cited join questions using (query_id))""")
 def rerank_none(spark, root):
-    rows = _passages(spark, root).drop("score").join(_questions(spark, root).select("query_id", "question"), "query_id")
-    return rows.select("query_id", "chunk_id", F.round(T.coverage(T.tokens(F.col("question")), T.tokens(F.col("text"))), 4).alias("score"))
+    return _pairs(spark, root).select("query_id", "chunk_id", F.round(T.coverage(F.col("q_terms"), T.tokens(F.col("text"))), 4).alias("score"))
 
 
 @query()
 def rerank_mmr(spark, root):
     """Diverse order of the ten nearest vectors of every hundredth vector."""
     v = read_table(spark, root, "embeddings").select("vec_id", vectors.normalised(F.col("embedding")).alias("v"))
-    near = cosine_search(spark, root).select("query_id", F.col("vec_id").alias("item_id"))
+    near = cosine_search(spark, root).select("query_id", F.col("vec_id").alias("item_id"), "rank")
     rows = near.join(v.select(F.col("vec_id").alias("item_id"), F.col("v").alias("vector")), "item_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_vector")), "query_id")
     return ranking.mmr(rows)
 
 
-@query()
+def _slots(x: str) -> str:
+    return f"list_transform(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: (('0x' || right(md5(w), 2))::int % 64)::int)"
+
+
+@query(f"""with {_QUESTIONS}, {_PASSAGES}, {_KEYWORD}, qs as (select query_id, slot, count(*) as n from (select query_id, unnest({_slots('question')}) as slot from questions) group by all), qn as (select query_id, sqrt(sum(n * n)) as size from qs group by 1),
+sent as (select chunk_id, pos, s from (select chunk_id, unnest({_spans('text')}) as s, generate_subscripts({_spans('text')}, 1) as pos from (select chunk_id, min(text) as text from cited group by 1)) where length(s) >= 20),
+ss as (select chunk_id, pos, slot, count(*) as n from (select chunk_id, pos, unnest({_slots('s')}) as slot from sent) group by all), sn as (select chunk_id, pos, sqrt(sum(n * n)) as size from ss group by all),
+p as (select kw.query_id, kw.chunk_id, sent.pos from kw join sent using (chunk_id)),
+sim as (select p.query_id, p.chunk_id, p.pos, coalesce(sum(qs.n * ss.n) / max(qn.size * sn.size), 0) as sim from p left join ss on ss.chunk_id = p.chunk_id and ss.pos = p.pos left join qs on qs.query_id = p.query_id and qs.slot = ss.slot left join qn on qn.query_id = p.query_id left join sn on sn.chunk_id = p.chunk_id and sn.pos = p.pos group by all),
+best as (select query_id, chunk_id, max(sim) as sim from sim group by all), anyof as (select distinct query_id from best)
+select kw.query_id, kw.chunk_id, case when anyof.query_id is not null then round(greatest(coalesce(best.sim, 0), 0), 6) else kscore end as score from kw left join best using (query_id, chunk_id) left join anyof on anyof.query_id = kw.query_id""")
 def rerank_sentences(spark, root):
     """Cited passages by the best cosine of their sentences (20 characters or more) to the question, hashed vectors; keyword scores where a query has no sentence."""
-    rows = _passages(spark, root).drop("score").join(_questions(spark, root).select("query_id", "question"), "query_id")
+    rows = _pairs(spark, root)
     return ranking.sentence_scores(rows, "question", "text", "section").select("query_id", "chunk_id", "score")
 
 
@@ -410,14 +442,87 @@ def rewritten_queries(spark, root):
     return rows.select("query_id", F.array_join(every, " / ").alias("queries"))
 
 
-@query()
+_BM25 = f"""toks as (select chunk_id, {_tok("concat_ws(' | ', filename, case when section <> 'General' then section end) || chr(10) || text")} as t from stored), tfs as (select chunk_id, dl, term, count(*) as tf from (select chunk_id, len(t) as dl, unnest(t) as term from toks) group by all), stats as (select count(*) as n, avg(len(t)) as avg_dl from toks),
+asked as (select distinct query_id, unnest({_tok('question')}) as term from questions), dfs as (select term, count(*) as df from tfs group by 1),
+bm as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))), 6) as score from asked join tfs using (term) join dfs using (term), stats group by 1, 2),
+bmr as (select query_id, chunk_id, 'keyword' as list, row_number() over (partition by query_id order by score desc, chunk_id) as rank from bm where score > 0)"""
+_DENSE = f"""qs as (select query_id, slot, count(*) as n from (select query_id, unnest({_slots('question')}) as slot from questions) group by all), qn as (select query_id, sqrt(sum(n * n)) as size from qs group by 1),
+cs as (select chunk_id, slot, count(*) as n from (select chunk_id, unnest({_slots('text')}) as slot from stored) group by all), cn as (select chunk_id, sqrt(sum(n * n)) as size from cs group by 1),
+dots as (select query_id, chunk_id, sum(qs.n * cs.n) as dot from qs join cs using (slot) group by all),
+dn as (select q.query_id, c.chunk_id, round(coalesce(dot / (qn.size * cn.size), 0), 6) as score from questions q cross join stored c left join dots on dots.query_id = q.query_id and dots.chunk_id = c.chunk_id left join qn on qn.query_id = q.query_id left join cn on cn.chunk_id = c.chunk_id),
+dr as (select query_id, chunk_id, 'dense' as list, row_number() over (partition by query_id order by score desc, chunk_id) as rank from dn)"""
+_FUSED = "fused as (select query_id, chunk_id, row_number() over (partition by query_id order by rrf desc, first, chunk_id) as rank from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as rrf, min((list, rank)) as first from lists where rank <= 25 group by all))"
+_FINAL = f"""cand as (select f.query_id, f.chunk_id, f.rank, q.question, q.style, s.text, s.section, list_distinct({_tok('q.question')}) as q, {_tok("s.text || ' ' || coalesce(s.section, '')")} as t from fused f join stored s using (chunk_id) join questions q using (query_id) where f.rank <= 25),
+scored as (select *, round(least(case when len(q) > 0 then len(list_intersect(q, t))::double / len(q) else 0 end + 0.02 / rank, 1.0) + 1e-9, 4) as score from cand), final as (select *, row_number() over (partition by query_id order by score desc, rank) as place from scored)"""
+_KEPT = "place <= case lower(style) when 'concise' then 4 when 'long' then 10 else 6 end"
+
+
+def _library_search(config: retrieval.RetrievalConfig):
+    def run(spark, root):
+        found = retrieval.retrieve(_stored_chunks(spark, root), _questions(spark, root), config)
+        return found.select("query_id", "chunk_id", "score", "rank", "mode", "scorer", "low_relevance")
+
+    return run
+
+
+@query(f"with {_QUESTIONS}, {_STORED}, {_BM25}, lists as (select * from bmr), {_FUSED}, {_FINAL} select query_id, chunk_id, score, place::int as rank, 'keyword' as mode, 'keyword' as scorer, false as low_relevance from final where {_KEPT}")
+def keyword_passages(spark, root):
+    """Passages of every question by keyword search alone, reranked by coverage."""
+    return _library_search(retrieval.RetrievalConfig(use_dense=False, summaries=False))(spark, root)
+
+
+@query(f"with {_QUESTIONS}, {_STORED}, {_DENSE}, lists as (select * from dr), {_FUSED}, {_FINAL} select query_id, chunk_id, score, place::int as rank, 'dense' as mode, 'keyword' as scorer, false as low_relevance from final where {_KEPT}")
+def dense_passages(spark, root):
+    """Passages of every question by vector search alone."""
+    return _library_search(retrieval.RetrievalConfig(use_bm25=False, summaries=False))(spark, root)
+
+
+@query(f"with {_QUESTIONS}, {_STORED}, {_BM25}, {_DENSE}, lists as (select * from bmr union all select * from dr), {_FUSED}, {_FINAL} select query_id, chunk_id, score, place::int as rank, 'hybrid' as mode, 'keyword' as scorer, false as low_relevance from final where {_KEPT}")
 def hybrid_passages(spark, root):
-    return retrieval.retrieve(_documents(spark, root).where("text is not null"), _questions(spark, root)).select("query_id", "doc_id", "score", "rank", "mode")
+    """Passages of every question by both searches, fused."""
+    return _library_search(retrieval.RetrievalConfig(summaries=False))(spark, root)
+
+
+@query(f"with {_QUESTIONS}, {_STORED}, {_BM25}, {_DENSE}, lists as (select * from bmr union all select * from dr), {_FUSED}, {_FINAL} select query_id, chunk_id, round(case when len(q) > 0 then len(list_intersect(q, {_tok('text')}))::double / len(q) else 0 end, 4) as score, rank::int as rank, 'hybrid' as mode, 'none' as scorer, false as low_relevance from final where {_KEPT.replace('place', 'rank')}")
+def hybrid_in_fused_order(spark, root):
+    """The same without reranking."""
+    return _library_search(retrieval.RetrievalConfig(rerank="none", summaries=False))(spark, root)
+
+
+@query()
+def hybrid_diverse(spark, root):
+    """The same, reranked for diversity."""
+    return _library_search(retrieval.RetrievalConfig(rerank="mmr", summaries=False))(spark, root)
+
+
+@query(f"with {_QUESTIONS}, {_STORED}, {_BM25}, lists as (select * from bmr), {_FUSED}, {_FINAL} select query_id, chunk_id, score, place::int as rank, 'keyword' as mode, 'keyword' as scorer, false as low_relevance from final where {_KEPT}")
+def fallback_passages(spark, root):
+    """A configuration whose models aren't there: vector search leaves keyword search, the pair scorer the keyword reranker, visibly."""
+    config = retrieval.RetrievalConfig(rerank="cross-encoder", summaries=False)
+    found = retrieval.retrieve(_stored_chunks(spark, root), _questions(spark, root), config, plugged=retrieval.Models())
+    return found.select("query_id", "chunk_id", "score", "rank", "mode", "scorer", "low_relevance")
+
+
+@query(f"with {_QUESTIONS}, big as (select doc_id from citations where chunk_id is not null and text is not null and doc_id is not null group by 1 order by count(*) desc, doc_id limit 3), {_STORED.replace('stored as (', 'kept as (')}, stored as (select * from kept where doc_id in (select doc_id from big)), {_BM25}, lists as (select * from bmr), {_FUSED}, {_FINAL} select query_id, chunk_id, score, place::int as rank, 'keyword' as mode, 'keyword' as scorer, false as low_relevance from final where {_KEPT}")
+def scoped_passages(spark, root):
+    """Keyword search within the three documents cited most (a document scope)."""
+    big = _citations(spark, root).where("chunk_id is not null and text is not null and doc_id is not null").groupBy("doc_id").count().orderBy(F.desc("count"), "doc_id").limit(3).select("doc_id")
+    found = retrieval.retrieve(_stored_chunks(spark, root), _questions(spark, root), retrieval.RetrievalConfig(use_dense=False, summaries=False), scope=big)
+    return found.select("query_id", "chunk_id", "score", "rank", "mode", "scorer", "low_relevance")
 
 
 @query()
 def hybrid_answers(spark, root):
-    return retrieval.answer(_documents(spark, root).where("text is not null"), _questions(spark, root))
+    """Every question through both searches to a cited answer, its confidence and how it came about."""
+    return retrieval.answer(_stored_chunks(spark, root), _questions(spark, root))
+
+
+@query("select (select count(distinct doc_id) from document_info) as documents, (select count(distinct chunk_id) from citations where chunk_id is not null and text is not null) as chunks, false as llm_available, true as vectors_ready, 'keyword' as reranker, 'CSV, DOCX, HTM, HTML, JSON, LOG, MARKDOWN, MD, PDF, PY, RST, TXT' as supported_formats, 'No LLM configured: answers are extracted sentences, not AI-written. / Reranking by cross-encoder isn''t available: using keyword reranking instead.' as warnings")
+def engine_status(spark, root):
+    """What is active and what users should know of, as one row."""
+    config = retrieval.RetrievalConfig(rerank="cross-encoder")
+    row = retrieval.status(_stored_chunks(spark, root), _registry(spark, root), config, retrieval.default_models(config))
+    return row.withColumn("warnings", F.array_join("warnings", " / "))
 
 
 from docloom import catalogue_answers  # noqa: E402

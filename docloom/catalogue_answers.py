@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.catalogue import _PASSAGES, _QUESTIONS, _chat, _citations, _content, _documents, _items, _list, _not_found, _passages, _questions, _results, _sentences, _spans, _strip, _tok, _trigrams
+from docloom.catalogue import _PASSAGES, _QUESTIONS, _chat, _citations, _content, _documents, _items, _list, _not_found, _passages, _questions, _registry, _results, _sentences, _spans, _strip, _tok, _trigrams
 from docloom.functions import text as T
 from docloom.operators import answers, evaluation, library
 
@@ -48,9 +48,10 @@ def extractive_answers(spark, root):
     return answers.extractive_answers(rows)
 
 
-@query(f"with {_PASSAGES} select query_id, 'source-' || rank as id, rank::int as number, chunk_id, text[1:300] || case when length(text) > 300 then '...' else '' end as snippet, round(score, 4) as score from cited")
+@query(f"with {_PASSAGES} select query_id, 'source-' || rank as id, rank::int as number, chunk_id, doc_id, filename, page::varchar as page, page_end::varchar as page_end, section, md5(text) as text, text[1:300] || case when length(text) > 300 then '...' else '' end as snippet, round(score, 4) as score from cited")
 def built_citations(spark, root):
-    return answers.citations(_passages(spark, root))
+    rows = answers.citations(_passages(spark, root)).withColumn("text", F.md5("text"))
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("page", "page_end")})
 
 
 @query(f"with {_ANSWERS} select query_id, array_to_string(list_transform({_CITED}, lambda n: n::varchar), ',') as cited from answers")
@@ -58,6 +59,18 @@ def cited_numbers(spark, root):
     return _answers(spark, root).select("query_id", F.array_join(F.transform(T.cited_numbers(F.col("answer")), lambda n: n.cast("string")), ",").alias("cited"))
 
 
+_MARKER = r"[ \t]?\[\d{1,3}(?:\s*[,;]\s*\d{1,3})*\]"
+
+
+@query(rf"""with {_ANSWERS}, p as (select query_id, coalesce(answer,'') || ' [1, 3][99] [2;1] 1234 [4567]' as answer from answers),
+x as (select query_id, string_split(regexp_replace(answer, '{_MARKER}', chr(1), 'g'), chr(1)) as parts, list_transform(regexp_extract_all(answer, '{_MARKER}'), lambda m: case when len(list_filter(regexp_extract_all(m, '\d+'), lambda n: n::int between 1 and 3)) = 0 then '' else regexp_extract(m, '^[ \t]?') || array_to_string(list_transform(list_filter(regexp_extract_all(m, '\d+'), lambda n: n::int between 1 and 3), lambda n: '[' || n || ']'), '') end) as marks from p)
+select query_id, md5(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(marks[i], '')), '')) as m from x""")
+def normal_markers(spark, root):
+    """Answers with one number a marker and no markers of sources beyond the third; every answer gets a few odd ones first."""
+    text = F.concat(F.coalesce("answer", F.lit("")), F.lit(" [1, 3][99] [2;1] 1234 [4567]"))
+    return _answers(spark, root).select("query_id", F.md5(T.normal_markers(text, F.lit(3))).alias("m"))
+
+
 @query(f"with {_ANSWERS} select query_id, {_not_found('answer')} as not_found from answers")
 def not_found_answers(spark, root):
     return _answers(spark, root).select("query_id", T.is_not_found(F.col("answer")).alias("not_found"))
@@ -227,15 +240,36 @@ def _metrics(spark, root):
     return evaluation.metrics(marks, spans)
 
 
-@query()
+_GRADED = f"""g as (select c.qid, c.rank, span_no from rr c join evidence e on e.qid = c.qid and e.doc = c.doc where {_COVER} >= 0.5), n as (select qid, count(*) as n_spans, min(mode) = 'any' as any_mode from evidence group by 1),
+u as (select qid, rank, sum(case when length(text) = 0 then 0 else (length(text) + 3) // 4 end) over (partition by qid order by rank) as used from rr)"""
+
+
+@query(f"""with {_QA}, {_CHUNKS}, {_RETRIEVED}, {_GRADED}, five as (select qid, max(used) filter (where rank <= 5)::int as tokens_5 from u group by 1), r as (select g.qid, g.span_no, used from g join u on u.qid = g.qid and u.rank = g.rank)
+select n.qid, coalesce(any_value(tokens_5), 0) as tokens_5, {', '.join(f"round(case when any_mode then case when count(distinct case when used <= {b} then span_no end) > 0 then 1.0 else 0.0 end else count(distinct case when used <= {b} then span_no end)::double / n_spans end, 9)::double as recall_{b}t" for b in (500, 1000, 2000))}
+from n left join r using (qid) left join five using (qid) group by n.qid, n_spans, any_mode""")
 def budget_metrics(spark, root):
     """Evidence recall within token budgets and tokens of the first five passages."""
     return _metrics(spark, root).select("qid", "tokens_5", *(f"recall_{b}t" for b in evaluation.BUDGETS))
 
 
-@query()
+@query(f"""with {_QA}, {_CHUNKS}, h as (select e.qid, e.span_no, c.chunk_id from evidence e join chunks c on c.doc = e.doc where {_COVER} >= 0.5), n as (select qid, count(*) as n, min(mode) = 'any' as any_mode from evidence group by 1),
+f as (select qid, count(distinct span_no) as spans, count(distinct chunk_id) as n_relevant from h group by 1)
+select qid, round(case when any_mode then (coalesce(spans, 0) > 0)::int::double else coalesce(spans, 0)::double / n end, 9) as max_recall, coalesce(n_relevant, 0) as n_relevant from n left join f using (qid)""")
+def reachable_recall(spark, root):
+    """The recall any ranking of the stored chunks could reach for each question."""
+    return evaluation.best_recall(_chunks(spark, root), _evidence(spark, root))
+
+
+_HASHED_WEIGHT = "list_sum(list_transform([0.0, 0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183], lambda cut: case when ('0x' || md5(qid || ':' || round || ':7')[1:8])::bigint / 4294967296.0::double >= cut then 1 else 0 end))"
+_RECALL_5 = f"""{_QA}, {_CHUNKS}, {_RETRIEVED}, {_GRADED}, m as (select n.qid, round(case when any_mode then case when count(distinct case when g.rank <= 5 then span_no end) > 0 then 1.0 else 0.0 end else count(distinct case when g.rank <= 5 then span_no end)::double / n_spans end, 9)::double as recall_5, round(coalesce(1.0::double / min(g.rank), 0), 9) as mrr from n left join g using (qid) group by n.qid, n_spans, any_mode)"""
+
+
+@query(f"""with {_RECALL_5}, t as (select m.*, coalesce(qa.type, 'none') as type from m join qa on qa.id = m.qid),
+w as (select qid, recall_5, round, {_HASHED_WEIGHT} as w from m, (select unnest(range(1, 201)) as round)), s as (select round, sum(w * recall_5) / sum(w) as mean from w group by 1 having sum(w) > 0)
+select type, n, recall_5, mrr, case when type = 'all' then (select round(quantile_cont(mean, 0.025), 6) from s) end as low, case when type = 'all' then (select round(quantile_cont(mean, 0.975), 6) from s) end as high from
+(select type, count(*) as n, round(avg(recall_5), 6) as recall_5, round(avg(mrr), 6) as mrr from t group by 1 union all select 'all', count(*), round(avg(recall_5), 6), round(avg(mrr), 6) from t)""")
 def metric_summary(spark, root):
-    """Means by question type and over all (grouping sets), with a bootstrap interval of recall at 5."""
+    """Means by question type and over all, with an interval of recall at 5 from hashed resamples."""
     rows = _metrics(spark, root).join(_qa(spark, root).select(F.col("id").alias("qid"), "type"), "qid")
     means = rows.groupBy(F.coalesce("type", F.lit("none")).alias("type")).agg(F.count("*").alias("n"), F.round(F.avg("recall_5"), 6).alias("recall_5"), F.round(F.avg("mrr"), 6).alias("mrr"))
     every = rows.agg(F.lit("all").alias("type"), F.count("*").alias("n"), F.round(F.avg("recall_5"), 6).alias("recall_5"), F.round(F.avg("mrr"), 6).alias("mrr"))
@@ -243,6 +277,69 @@ def metric_summary(spark, root):
     return means.unionByName(every).join(spread, "type", "left")
 
 
+#: Ways to rank that the grid compares, by name: coverage, coverage of the section's text as well, and the order of ids as baseline.
+_WAYS = ("by id", "by coverage", "by length")
+_WAY_ORDER = {"by id": [F.asc, "chunk_id"], "by coverage": [F.desc, "s"], "by length": [F.desc, "size"]}
+
+
+def _grid_rows(spark, root):
+    """(chunking, retrieval, qid, recall_5, mrr, hit_5, prompt_tokens): each way of ranking each half of the chunks, long and short ones, and all."""
+    base = _retrieved(spark, root).drop("rank").withColumn("size", F.length("text")).persist()
+    evidence = _evidence(spark, root)
+    spans = evidence.groupBy("qid").agg(F.count("*").alias("n_spans"), (F.min("mode") == "any").alias("any_mode")).withColumn("n_relevant", F.lit(1))
+    out = None
+    for chunking, cut in (("all", F.lit(True)), ("long", F.col("size") >= 400)):
+        for way in _WAYS:
+            direction, column = _WAY_ORDER[way]
+            ranked = base.where(cut).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(direction(column), "chunk_id")))
+            marks = evaluation.graded(ranked, evidence.select("qid", "span_no", "doc", "span"))
+            rows = evaluation.metrics(marks, spans).select(F.lit(chunking).alias("chunking"), F.lit(way).alias("retrieval"), "qid", "recall_5", "mrr", "hit_5", F.col("tokens_5").alias("prompt_tokens"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _grid_sql() -> str:
+    parts = []
+    for chunking, cut in (("all", "true"), ("long", "length(text) >= 400")):
+        for way, order in (("by id", "chunk_id"), ("by coverage", "s desc, chunk_id"), ("by length", "length(text) desc, chunk_id")):
+            parts.append(f"select '{chunking}' as chunking, '{way}' as retrieval, qid, chunk_id, doc, text, row_number() over (partition by qid order by {order}) as rank from rs where {cut}")
+    rs = _RETRIEVED.partition("rr as (")
+    inner = rs[2][rs[2].index("from (") + 6 :].rstrip()[:-2]
+    return f"""{_QA}, {_CHUNKS}, {rs[0].rstrip().rstrip(',')}, rs as (select * from ({inner})), ways as ({' union all '.join(parts)}),
+configs as (select distinct chunking, retrieval from (select * from (values ('all'), ('long')) a(chunking), (values ('by id'), ('by coverage'), ('by length')) b(retrieval))),
+n as (select qid, count(*) as n_spans, min(mode) = 'any' as any_mode from evidence group by 1), hits as (select c.chunking, c.retrieval, c.qid, c.rank, span_no from ways c join evidence e on e.qid = c.qid and e.doc = c.doc where {_COVER} >= 0.5),
+m as (select chunking, retrieval, n.qid, round(case when any_mode then case when count(distinct case when h.rank <= 5 then span_no end) > 0 then 1.0 else 0.0 end else count(distinct case when h.rank <= 5 then span_no end)::double / n_spans end, 9)::double as recall_5, round(coalesce(1.0::double / min(h.rank), 0), 9) as mrr, coalesce(max(case when h.rank <= 5 then 1.0 else 0.0 end), 0)::double as hit_5
+ from configs cross join n left join hits h using (chunking, retrieval, qid) group by chunking, retrieval, n.qid, n_spans, any_mode),
+tok as (select chunking, retrieval, qid, sum(case when length(text) = 0 then 0 else (length(text) + 3) // 4 end) filter (where rank <= 5) as t from ways group by all)"""
+
+
+@query(f"with {_grid_sql()} select chunking, retrieval, count(*) as questions, round(avg(recall_5), 4) as recall_5, round(avg(mrr), 4) as mrr, round(avg(hit_5), 4) as hit_5, round(avg(coalesce(t, 0)), 1)::double as prompt_tokens, round(1000 * avg((coalesce(t, 0) * 0.1 + 250 * 0.4) / 1e6), 4)::double as usd_per_1k from m left join tok using (chunking, retrieval, qid) group by 1, 2")
+def config_summaries(spark, root):
+    """Every chunking and way of ranking measured: quality, tokens and cost."""
+    rows = _grid_rows(spark, root).withColumns({"ms": F.lit(0.0), "scorer": F.lit("keyword"), "wanted": F.lit("keyword"), "cost": library.cost(F.lit("gemini-2.0-flash"), F.col("prompt_tokens"), F.lit(250), F.lit("api"))})
+    return evaluation.config_summary(rows).drop("ms_p50", "ms_p95", "fallbacks")
+
+
+@query(f'with {_grid_sql()} select chunking, {", ".join(f"round(avg(mrr) filter (where retrieval = {chr(39)}{w}{chr(39)}), 4) as {chr(34)}{w}{chr(34)}" for w in _WAYS)} from m group by 1')
+def config_grid(spark, root):
+    """Mean reciprocal rank by chunking and way of ranking."""
+    rows = _grid_rows(spark, root).groupBy("chunking", "retrieval").agg(F.round(F.avg("mrr"), 4).alias("mrr"))
+    return evaluation.grid(rows, "mrr")
+
+
+@query()
+def significance(spark, root):
+    """Paired bootstrap of every way of ranking against the order of ids, on reciprocal ranks."""
+    rows = _grid_rows(spark, root).where("chunking = 'all'").select("retrieval", "qid", "mrr")
+    return evaluation.paired_bootstrap(rows, "retrieval", "qid", "mrr", "by id")
+
+
+@query()
+def recall_intervals(spark, root):
+    """Means with bootstrap intervals of 2,000 multinomial resamples, by way of ranking."""
+    return evaluation.exact_bootstrap(_grid_rows(spark, root).where("chunking = 'all'"), "retrieval", "recall_5")
+
+
 _CLAIM_CUT = r"regexp_replace(coalesce(answer,''), '(?i)\*?\[(?:Doc|Source)[^\]]*\]\*?|\[\d{1,3}\]', '', 'g')"
 _CLAIM_LINES = f"list_filter(list_transform(string_split({_CLAIM_CUT}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '' and not regexp_matches(x, '^(?:#|>|---)') and not contains(x, '⚠️'))"
 _CLAIM_BARE = "list_filter(list_transform(" + _CLAIM_LINES + ", lambda x: " + _strip("regexp_replace(regexp_replace(x, '[*_`]+', '', 'g'), '^[-• ]+', '')") + r"), lambda x: not (x like '%:' and length(x) < 120) and not regexp_matches(x, '(?i)^\S+\.(?:txt|md|pdf|docx?|html?|json|csv|py) \(Page \d+'))"
@@ -270,11 +367,45 @@ def answer_faithfulness(spark, root):
     return _judged(spark, root).select("query_id", "n_claims", "n_unsupported", "faithfulness")
 
 
-@query(f"""with {_QA} select id, case when len({_content('reference')}) > 0 then round(len(list_intersect({_content('reference')}, {_content('question')}))::double / len({_content('reference')}), 9) end as recall, coalesce({_not_found('reference')} or regexp_matches(coalesce(reference,''), '(?i)insufficient evidence|do not contain sufficient|does not contain (?:enough|sufficient)|not (?:mentioned|covered|addressed) in the (?:provided )?documents'), false) as abstained from qa""")
+_EXTRACTED = f"""es as (select qid, question, span_no as rank, unnest({_sentences('span')}) as sentence, generate_subscripts({_sentences('span')}, 1) as pos from evidence join qa on qa.id = evidence.qid where span is not null),
+ec as (select *, round(case when len(list_distinct({_tok('question')})) > 0 then len(list_intersect(list_distinct({_tok('question')}), {_tok('sentence')}))::double / len(list_distinct({_tok('question')})) else 0 end + 0.15 / rank, 9) as score from es where length(sentence) >= 25 and sentence not like '#%'),
+ek as (select * from (select *, row_number() over (partition by qid order by score desc, rank, pos) as place from ec) where place <= 5),
+drawn as (select qid, '- ' || string_agg(sentence || ' [' || rank || ']', chr(10) || '- ' order by rank, pos) as answer from ek group by 1)"""
+_ABSTAINED = r"(?i)insufficient evidence|do not contain sufficient|does not contain (?:enough|sufficient)|not (?:mentioned|covered|addressed) in the (?:provided )?documents"
+
+
+def _drawn(spark, root):
+    """(id, reference, answer): each item's extractive answer from its own evidence."""
+    qa = _qa(spark, root)
+    rows = _evidence(spark, root).where("span is not null").join(qa.select(F.col("id").alias("qid"), "question"), "qid")
+    built = answers.extractive_answers(rows.select(F.col("qid").alias("query_id"), "question", F.lit("medium").alias("style"), F.col("span_no").alias("rank"), F.col("span").alias("text")))
+    return qa.select("id", "reference").join(built.select(F.col("query_id").alias("id"), "answer"), "id")
+
+
+@query(rf"""with {_QA}, {_EXTRACTED}, j as (select distinct qa.id, qa.reference, coalesce(drawn.answer, 'I couldn''t find this in the uploaded documents.') as answer from qa join evidence on evidence.qid = qa.id left join drawn on drawn.qid = qa.id where span is not null)
+select id, case when len({_content('reference')}) > 0 then round(len(list_intersect({_content('reference')}, {_content('answer')}))::double / len({_content('reference')}), 9) end as recall, {_not_found('answer')} or regexp_matches(answer, '{_ABSTAINED}') as abstained from j""")
 def judge_records(spark, root):
+    """How much of the reference the answer has, and whether it abstains; the answers are extracts from the evidence."""
     own = T.content_words(F.col("reference"))
-    recall = F.when(F.size(own) > 0, F.round(F.size(F.array_intersect(own, T.content_words(F.col("question")))) / F.size(own), 9))
-    return _qa(spark, root).select("id", recall.alias("recall"), evaluation.is_abstention(F.col("reference")).alias("abstained"))
+    recall = T.let(own, lambda w: F.when(F.size(w) > 0, F.round(F.size(F.array_intersect(w, T.content_words(F.col("answer")))) / F.size(w), 9)))
+    return _drawn(spark, root).select("id", recall.alias("recall"), evaluation.is_abstention(F.col("answer")).alias("abstained"))
+
+
+@query()
+def judge_calibration(spark, root):
+    """The judge on answers whose faithfulness is known: evidence as it is, with a sentence of another document put in, with its digits changed."""
+    spans = _evidence(spark, root).where("span is not null and doc is not null")
+    chunks = _chunks(spark, root)
+    contexts = spans.join(chunks, "doc").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n\n").alias("context"))
+    own = spans.groupBy("qid").agg(answers.in_order("span_no", "span", "\n").alias("answer"), F.min("doc").alias("doc"))
+    sentence = F.filter(T.sentence_spans(F.col("text")), lambda x: (F.size(T.content_words(x)) >= 8) & ~F.startswith(x, F.lit("#")))
+    pool = chunks.select("doc", F.get(sentence, F.lit(0)).alias("foreign")).where("foreign is not null").groupBy("doc").agg(F.min("foreign").alias("foreign"))
+    # every document lends its sentence to the items of the next one in the order of a hash: a fixed choice that needs no pairs
+    order = Window.partitionBy("part").orderBy("h", "doc")
+    ring = pool.withColumn("h", F.xxhash64("doc")).withColumn("part", F.pmod("h", F.lit(16)))
+    ring = ring.withColumn("lent", F.coalesce(F.lead("foreign").over(order), F.first("foreign").over(order)))
+    lent = ring.select("doc", "lent").where("lent <> foreign")
+    return evaluation.calibration(own.join(contexts, "qid").join(lent, "doc", "left"))
 
 
 @query(f"with {_ANSWERS} select query_id, md5(translate(coalesce(answer,''), '0123456789', '3456789012')) as swapped_md5 from answers")
@@ -283,21 +414,33 @@ def swapped_numbers(spark, root):
     return _answers(spark, root).select("query_id", F.md5(F.translate(F.coalesce("answer", F.lit("")), "0123456789", "3456789012")).alias("swapped_md5"))
 
 
-@query("""with d as (select id, count(*) as n from (select distinct id, question, type from qa_items) group by 1), q as (select id, any_value(type) as type, any_value(evidence) as evidence, min(evidence_mode) as mode from qa_items where id is not null group by 1),
-e as (select id, unnest(evidence) as e from q), f as (select distinct filename from document_info)
-select id, 'unknown document' as problem, count(*) as n from e where e.doc not in (select filename from f where filename is not null) group by 1 union all select id, 'no evidence', 1 from q where len(evidence) = 0 and type <> 'unanswerable' union all select id, 'bad mode', 1 from q where mode not in ('all', 'any') union all select id, 'two versions', n from d where n > 1""")
-def dataset_problems(spark, root):
-    from docloom.session import read_table
+_FAULTY = """faulty as (select id, question, type, evidence, evidence_mode from qa_items union all select id, question || '?', type, evidence, evidence_mode from qa_items where type = 'unanswerable'
+ union all select id || '-mode', question, type, evidence, 'some' from qa_items union all select id || '-lost', question, type, list_transform(evidence, lambda e: {'doc': 'lost/' || e.doc, 'text': e.text}), evidence_mode from qa_items
+ union all select id || '-text', question, type, list_transform(evidence, lambda e: {'doc': e.doc, 'text': 'Not so: ' || e.text}), evidence_mode from qa_items union all select id || '-none', question, 'factual', [], evidence_mode from qa_items)"""
 
-    rows = _items(spark, root)
-    two = rows.select("id", "question", "type").distinct().groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("two versions").alias("problem"), "n")
-    qa = rows.where("id is not null").groupBy("id").agg(F.any_value("type").alias("type"), F.any_value("evidence").alias("evidence"), F.min("evidence_mode").alias("mode"))
-    names = read_table(spark, root, "document_info").select(F.col("filename").alias("doc")).where("doc is not null").distinct()
-    lost = qa.select("id", F.explode("evidence").alias("e")).select("id", F.col("e.doc").alias("doc")).where("doc is not null").join(names, "doc", "left_anti").groupBy("id").agg(F.count("*").alias("n"))
-    out = lost.select("id", F.lit("unknown document").alias("problem"), "n")
-    one = F.lit(1).cast("bigint").alias("n")
-    out = out.unionByName(qa.where((F.size("evidence") == 0) & (F.col("type") != "unanswerable")).select("id", F.lit("no evidence").alias("problem"), one))
-    return out.unionByName(qa.where(~F.col("mode").isin("all", "any")).select("id", F.lit("bad mode").alias("problem"), one)).unionByName(two)
+
+def _squeezed_sql(x: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'))"
+
+
+@query(f"""with {_FAULTY}, {_CHUNKS}, d as (select id, count(*) as n from (select distinct id, question, type from faulty) where id is not null group by 1), q as (select id, any_value(type) as type, any_value(evidence) as evidence, min(evidence_mode) as mode from faulty where id is not null group by 1),
+e as (select id, unnest(evidence) as e, generate_subscripts(evidence, 1) as at from q), f as (select distinct filename from document_info where filename is not null),
+v as (select e.id, e.at, bool_or(contains({_squeezed_sql('c.text')}, {_squeezed_sql('e.e.text')})) as there from e join f on f.filename = e.e.doc join chunks c on c.doc = e.e.doc group by 1, 2)
+select id, 'unknown document' as problem, count(*) as n from e where e.doc is not null and e.doc not in (select filename from f) group by 1 union all select id, 'no evidence', 1 from q where len(evidence) = 0 and type <> 'unanswerable' union all select id, 'bad mode', 1 from q where mode not in ('all', 'any')
+ union all select id, 'two versions', n from d where n > 1 union all select id, 'not verbatim', count(*) from v where not there group by 1""")
+def dataset_problems(spark, root):
+    """What is wrong with a set of questions, over the items and copies of them with each kind of fault put in."""
+    rows = _items(spark, root).select("id", "question", "type", "evidence", "evidence_mode")
+    changed = lambda doc, text: F.transform("evidence", lambda e: F.struct(doc(e["doc"]).alias("doc"), text(e["text"]).alias("text")))
+    same = lambda x: x
+    named = lambda end: F.concat("id", F.lit(end)).alias("id")
+    faulty = rows.unionByName(rows.where("type = 'unanswerable'").withColumn("question", F.concat("question", F.lit("?"))))
+    faulty = faulty.unionByName(rows.withColumn("id", named("-mode")).withColumn("evidence_mode", F.lit("some")))
+    faulty = faulty.unionByName(rows.withColumn("id", named("-lost")).withColumn("evidence", changed(lambda d: F.concat(F.lit("lost/"), d), same)))
+    faulty = faulty.unionByName(rows.withColumn("id", named("-text")).withColumn("evidence", changed(same, lambda t: F.concat(F.lit("Not so: "), t))))
+    faulty = faulty.unionByName(rows.withColumn("id", named("-none")).withColumn("type", F.lit("factual")).withColumn("evidence", F.slice("evidence", 1, 0)))
+    names = _registry(spark, root).select(F.col("filename").alias("doc")).where("doc is not null").distinct()
+    return evaluation.dataset_problems(faulty, names, _chunks(spark, root))
 
 
 @query("select mode, " + ", ".join(f"count(*) filter (where scorer = '{s}') as \"{s}\"" for s in ("dense", "keyword", "mmr")) + " from retrieval_results where mode is not null group by 1")

@@ -31,8 +31,9 @@ NOT_FOUND = "I couldn't find this in the uploaded documents."
 NOT_FOUND_MARKS = ("i couldn't find this in the uploaded documents", "couldn't find this in the uploaded documents", "could not find this in the uploaded documents", "insufficient evidence", "do not contain sufficient")
 
 
-def _words(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where it stands in a lambda or several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip(text: Column) -> Column:
@@ -62,6 +63,7 @@ def content_id(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Unified line ends, no invisible characters, no page marker lines, short dot leaders and blanks."""
+    # The patterns of this and the next function.
     out = F.regexp_replace(text, "\r\n?", "\n")
     out = F.regexp_replace(F.regexp_replace(out, " ", " "), "­", "")
     out = F.regexp_replace(out, "[​-‍⁠﻿]", "")
@@ -89,6 +91,7 @@ def stem(token: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens: ASCII words without stop words and single letters, lightly stemmed, in order."""
+    # The pattern of a token and the rules of ``stem``.
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     kept = F.filter(found, lambda t: ~t.isin(*STOP_WORDS) & ((F.length(t) > 1) | t.rlike("^[0-9]$")))
     return F.transform(kept, stem)
@@ -102,6 +105,7 @@ def content_words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences that end at a line break or at end marks before a capital, digit, quote or bracket."""
+    # The patterns of the ends of sentences, here and in ``sentence_spans``.
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\n\s*", "\x01")
     marked = F.regexp_replace(marked, r"([.!?;:])[ \t]+([\"'(\[A-Z0-9])", "$1\x01$2")
     return F.filter(F.transform(F.split(marked, "\x01"), strip), lambda s: s != "")
@@ -129,21 +133,23 @@ def heading_title(line: Column) -> Column:
 
 def coverage(query_terms: Column, text_terms: Column) -> Column:
     """The share of the distinct query terms that the text has."""
-    asked = F.array_distinct(query_terms)
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, text_terms)) / F.size(asked)).otherwise(F.lit(0.0))
+    return let(F.array_distinct(query_terms), lambda asked: F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, text_terms)) / F.size(asked)).otherwise(F.lit(0.0)))
 
 
 def trigrams(text: Column) -> Column:
     """The distinct three-word runs of a text."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.concat_ws(" ", F.slice(words, i, 3)))
-    return F.when(F.size(words) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+    def runs(words: Column) -> Column:
+        three = lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2))
+        return F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), three))).otherwise(F.array().cast("array<string>"))
+
+    return let(found, runs)
 
 
 def span_coverage(span: Column, text: Column) -> Column:
     """1 where the text contains the span (case and white space aside), else the share of its three-word runs found."""
-    own = trigrams(span)
-    share = F.when(F.size(own) > 0, F.size(F.array_intersect(own, trigrams(text))) / F.size(own)).otherwise(F.lit(0.0))
+    share = let(trigrams(span), lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, trigrams(text))) / F.size(own)).otherwise(F.lit(0.0)))
     return F.when(F.contains(squeeze(text), squeeze(span)), F.lit(1.0)).otherwise(share)
 
 
@@ -170,7 +176,23 @@ def cited_numbers(answer: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, r"\s*[,;]\s*"), lambda n: n.cast("int"))))))
 
 
+def normal_markers(answer: Column, sources: Column) -> Column:
+    """Citation markers one number each, without those of no source; a marker that loses all its numbers goes with the blank before it."""
+    marker = r"[ \t]?\[\d{1,3}(?:\s*[,;]\s*\d{1,3})*\]"
+    text = F.coalesce(answer, F.lit(""))
+
+    def rewritten(found: Column) -> Column:
+        numbers = F.filter(F.regexp_extract_all(found, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int").between(F.lit(1), sources))
+        shown = F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("["), n, F.lit("]"))), "")
+        return F.when(F.size(numbers) == 0, F.lit("")).otherwise(F.concat(F.regexp_extract(found, r"^[ \t]?", 0), shown))
+
+    parts = F.split(F.regexp_replace(text, marker, "\x01"), "\x01", -1)
+    shown = F.transform(F.regexp_extract_all(text, F.lit(marker), F.lit(0)), rewritten)
+    return F.array_join(F.flatten(F.zip_with(parts, F.concat(shown, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+
+
 def is_summary_request(question: Column) -> Column:
+    # What asks for a summary, and the words that add nothing to it.
     asks = r"(?i)\b(summari[sz]e|summary|overview|tl;?dr|gist|main (?:points?|ideas?|takeaways?)|key (?:points?|takeaways?)|what(?:'s| is) (?:this|the|it) (?:\w+ )?about)\b"
     generic = ("report", "paper", "pdf", "book", "text", "article", "entire", "whole", "all", "main", "key", "point", "uploaded", "content", "contents", "brief", "short", "quick", "about", "doc")
     rest = F.filter(tokens(F.regexp_replace(question, asks, " ")), lambda t: ~t.isin(*generic))
@@ -179,6 +201,7 @@ def is_summary_request(question: Column) -> Column:
 
 def error_message(status: Column, text: Column) -> Column:
     """What to tell a user about a failed model call."""
+    # The marks of each kind of failure and its message.
     up = F.upper(F.coalesce(text, F.lit("")))
     has = lambda *marks: up.rlike("|".join(marks))
     return (

@@ -27,14 +27,19 @@ def in_order(order: str, value: str, between: str) -> Column:
 def extractive_answers(passages: DataFrame) -> DataFrame:
     """(query_id, answer) from ``passages`` (query_id, question, style, rank, text): the sentences that cover the question best.
 
-    Sentences under 25 characters and headings are left out; the kept ones return to reading order, each with its source number.
+    Sentences under 25 characters and headings are left out; the kept ones return to reading order, each with its source number. A text is
+    cut into sentences and tokenised once, however many questions it answers.
     """
     limit = F.lit(STYLE_SENTENCES["medium"])
     for name, n in STYLE_SENTENCES.items():
         limit = F.when(F.lower("style") == name, F.lit(n)).otherwise(limit)
-    rows = passages.select("query_id", "question", "style", "rank", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    rows = rows.where((F.length("sentence") >= 25) & ~F.startswith("sentence", F.lit("#")))
-    rows = rows.withColumn("score", F.round(T.coverage(T.tokens(F.col("question")), T.tokens(F.col("sentence"))) + 0.15 / F.col("rank"), 9))
+    keep = (F.length("sentence") >= 25) & ~F.startswith("sentence", F.lit("#"))
+    asked = passages.groupBy("query_id").agg(F.min("question").alias("question"), F.min("style").alias("style")).withColumn("terms", F.array_distinct(T.tokens(F.col("question"))))
+    texts = passages.select("text").distinct().select("text", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).where(keep).withColumn("own", T.tokens(F.col("sentence")))
+    texts = texts.select(F.xxhash64("text").alias("h"), F.length("text").alias("size"), F.col("text").alias("body"), "pos", "sentence", "own")
+    places = passages.select("query_id", "rank", "text", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    rows = places.join(texts, ["h", "size"]).where(F.col("text") == F.col("body")).drop("text", "body").join(asked.drop("question"), "query_id")
+    rows = rows.withColumn("score", F.round(T.coverage(F.col("terms"), F.col("own")) + 0.15 / F.col("rank"), 9))
     best = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank", "pos"))).where(F.col("place") <= limit)
     best = best.withColumn("line", F.concat("sentence", F.lit(" ["), F.col("rank").cast("string"), F.lit("]"))).withColumn("at", F.struct("rank", "pos"))
     concise = F.lower(F.first("style")) == "concise"
@@ -43,10 +48,16 @@ def extractive_answers(passages: DataFrame) -> DataFrame:
     return every.join(joined, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(T.NOT_FOUND)).alias("answer"))
 
 
+def extractive_notice(reason: Column) -> Column:
+    """Fixed value: what stands above an answer that no model wrote."""
+    return F.concat(F.lit("> **Extractive answer** - the AI model is unavailable ("), reason, F.lit("). Below are the most relevant sentences from your documents.\n\n"))
+
+
 def citations(passages: DataFrame) -> DataFrame:
-    """Numbered citations of ranked passages, with a snippet and a rounded score."""
+    """Numbered citations of ranked passages: where each comes from, a snippet, its text and a rounded score."""
     snippet = F.concat(F.substring("text", 1, 300), F.when(F.length("text") > 300, F.lit("...")).otherwise(F.lit("")))
-    return passages.select("query_id", F.concat(F.lit("source-"), F.col("rank").cast("string")).alias("id"), F.col("rank").alias("number"), "chunk_id", snippet.alias("snippet"), F.round("score", 4).alias("score"))
+    place = [c for c in ("doc_id", "filename", "page", "page_end", "section") if c in passages.columns]
+    return passages.select("query_id", F.concat(F.lit("source-"), F.col("rank").cast("string")).alias("id"), F.col("rank").alias("number"), "chunk_id", *place, snippet.alias("snippet"), "text", F.round("score", 4).alias("score"))
 
 
 def select_cited(cited: DataFrame, answers: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import cut_lineage
 
 K1, B = 1.5, 0.75
 
@@ -16,9 +17,22 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
     return terms.select(key, "dl", F.explode("terms").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(documents: DataFrame, text: str) -> DataFrame:
-    """One row: number of documents and their mean length in tokens; empty documents count."""
-    return documents.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avg_dl"))
+def corpus_stats(documents: DataFrame, posts: DataFrame) -> DataFrame:
+    """One row: number of documents and their mean length in tokens; empty documents count. Lengths come from the postings."""
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    return documents.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avg_dl"))  # one row each
+
+
+def write_index(documents: DataFrame, key: str, text: str, folder: str, buckets: int = 64) -> None:
+    """Writes the inverted index: postings in folders by a hash of the term (a search reads those of its terms), and the statistics."""
+    posts = postings(documents, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    posts.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    corpus_stats(documents, posts).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def read_index(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) as ``bm25`` takes them."""
+    return spark.read.parquet(f"{folder}/postings").drop("bucket"), spark.read.parquet(f"{folder}/stats")
 
 
 def idf(n, df):
@@ -31,18 +45,19 @@ def term_statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
     return counts.join(F.broadcast(documents.agg(F.count("*").alias("n")))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def bm25(documents: DataFrame, key: str, text: str, questions: DataFrame, query: str, question: str, k: int, scope: DataFrame | None = None) -> DataFrame:
+def bm25(documents: DataFrame, key: str, text: str, questions: DataFrame, query: str, question: str, k: int, scope: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query, key, score, rank): the best ``k`` documents of each question.
 
     Distinct question terms meet postings in an equi-join on the term; document frequencies ride along as one row per term. Statistics are
-    those of the whole corpus even where ``scope`` (a table of keys) narrows the result.
+    those of the whole corpus even where ``scope`` (a table of keys) narrows the result. ``index`` is a written index to use; without one the
+    corpus is tokenised once, its postings written and read for statistics and scores alike.
     """
-    posts = postings(documents, key, text)
+    posts = index[0] if index else cut_lineage(postings(documents, key, text))
     asked = questions.select(F.col(query), F.explode(F.array_distinct(T.tokens(F.col(question)))).alias("term"))
     wanted = asked.select("term").distinct()
     found = posts.join(wanted, "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(documents, text)
+    stats = index[1] if index else corpus_stats(documents, posts)
     weighed = found.join(df, "term").join(F.broadcast(stats))
     norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(F.lit(1.0)))
     weighed = weighed.select("term", key, (idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import cut_lineage
 
 #: USD per million tokens (input, output) of priced models.
 PRICES = {"gemini-2.0-flash": (0.10, 0.40), "gemini-2.0-flash-lite": (0.075, 0.30), "gemini-2.5-flash": (0.30, 2.50), "gemini-2.5-flash-lite": (0.10, 0.40), "gemini-2.5-pro": (1.25, 10.00), "gemini-embedding-001": (0.15, 0.0)}
@@ -15,11 +16,18 @@ TURNS, CONVERSATIONS, ANSWER_CHARS = 6, 200, 1200
 
 
 def upload_status(uploads: DataFrame, identity: str, name: str, order: str, content: str) -> DataFrame:
-    """Adds ``status``: error for blank content, duplicate for content already seen, replaced for a newer file of a known name, else indexed."""
-    seen = F.row_number().over(Window.partitionBy(identity).orderBy(order))
-    named = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    """Adds ``status``: error for blank content, duplicate for content already seen, replaced for a newer file of a known name, else indexed.
+
+    A name is known once content new at its time came under it. Firsts are aggregates with map-side combine; blank contents and null names
+    gather nowhere.
+    """
     blank = ~F.coalesce(F.col(content).rlike(r"\S"), F.lit(False))
-    return uploads.withColumn("status", F.when(blank, "error").when(seen > 1, "duplicate").when(F.col(name).isNotNull() & (named > 1), "replaced").otherwise("indexed"))
+    own = uploads.withColumn("_same", F.when(~blank, F.col(identity)))
+    firsts = own.where("_same is not null").groupBy("_same").agg(F.min(order).alias("_first"))
+    names = own.where(F.col("_same").isNotNull() & F.col(name).isNotNull()).join(firsts, "_same").where(F.col(order) == F.col("_first")).groupBy(F.col(name).alias("_name")).agg(F.min(order).alias("_named"))
+    rows = own.join(firsts, "_same", "left").join(names, F.col(name) == F.col("_name"), "left")
+    status = F.when(blank, "error").when(F.col(order) > F.col("_first"), "duplicate").when(F.col(order) > F.col("_named"), "replaced").otherwise("indexed")
+    return rows.withColumn("status", status).drop("_same", "_first", "_name", "_named")
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -29,6 +37,15 @@ def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return best.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``place``, from 1 in the whole order: ranges are sorted apart, and each range's rows count on from those before it."""
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "part").withColumn("place", (own + F.col("before")).cast("int")).drop("part", "before")
+
+
 def registry_from_chunks(chunks: DataFrame) -> DataFrame:
     """(doc_id, filename, file_type, chunk_count, page_count) of chunk rows."""
     out = chunks.groupBy("doc_id").agg(F.countDistinct("chunk_id").alias("chunk_count"), F.max(F.coalesce("page_end", "page", F.lit(1))).alias("page_count"), F.min("filename").alias("filename"))

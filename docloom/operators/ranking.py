@@ -30,22 +30,40 @@ def reciprocal_rank_fusion(lists: DataFrame, query: str, item: str, name: str, k
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, item, "rrf", "rank")
 
 
+def with_section(text: Column, section: Column) -> Column:
+    """What of a passage is compared with a question."""
+    return F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(section, F.lit("")))
+
+
+def question_terms(rows: DataFrame, question: str) -> Column:
+    """The question's tokens: the column ``q_terms`` where they were made once a question, else made here."""
+    return F.col("q_terms") if "q_terms" in rows.columns else T.tokens(F.col(question))
+
+
+def passage_terms(rows: DataFrame, text: Column, held: str = "t_terms") -> Column:
+    return F.col(held) if held in rows.columns else T.tokens(text)
+
+
 def keyword_scores(candidates: DataFrame, question: str, text: str, section: str) -> DataFrame:
     """Adds ``score`` and ``new_rank``: coverage of the question by text and section, with a small prior for the fused rank."""
-    covered = T.coverage(T.tokens(F.col(question)), T.tokens(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit(" "), F.coalesce(F.col(section), F.lit("")))))
-    scored = candidates.withColumn("score", F.round(F.least(covered + 0.02 / F.col("rank"), F.lit(1.0)), 4))
+    covered = T.coverage(question_terms(candidates, question), passage_terms(candidates, with_section(F.col(text), F.col(section))))
+    scored = candidates.withColumn("score", F.round(F.least(covered + 0.02 / F.col("rank"), F.lit(1.0)) + 1e-9, 4))
     return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")))
 
 
-def sentence_scores(candidates: DataFrame, question: str, text: str, section: str, least: int = 20) -> DataFrame:
+def sentence_scores(candidates: DataFrame, question: str, text: str, section: str, least: int = 20, embed=None) -> DataFrame:
     """Adds ``score``: the best cosine of a passage's sentences of ``least`` characters or more to the question, 0 for a passage without one.
 
-    A query none of whose passages has such a sentence gets its keyword scores.
+    Sentences are embedded once for each passage, whatever the number of its questions. A query none of whose passages has such a sentence
+    gets its keyword scores.
     """
+    embed = embed or vectors.embedded
     rows = keyword_scores(candidates, question, text, section).drop("new_rank").withColumnRenamed("score", "keyword_score")
-    asked = rows.groupBy("query_id").agg(F.min(question).alias("question")).select("query_id", vectors.embedded(F.col("question")).alias("q"))
-    sentences = candidates.select("query_id", "chunk_id", F.explode(F.filter(T.sentence_spans(F.col(text)), lambda s: F.length(s) >= least)).alias("s")).withColumn("v", vectors.embedded(F.col("s"))).join(asked, "query_id")
-    best = sentences.withColumn("sim", vectors.dot(F.col("q"), F.col("v"))).groupBy("query_id", "chunk_id").agg(F.max("sim").alias("sim"), F.lit(True).alias("judged"))
+    asked = rows.groupBy("query_id").agg(F.min(question).alias("question")).select("query_id", embed(F.col("question")).alias("q"))
+    passages = candidates.groupBy("chunk_id").agg(F.min(text).alias("t"))
+    sentences = passages.select("chunk_id", F.explode(F.filter(T.sentence_spans(F.col("t")), lambda s: F.length(s) >= least)).alias("s")).select("chunk_id", embed(F.col("s")).alias("v"))
+    pairs = candidates.select("query_id", "chunk_id").join(sentences, "chunk_id").join(asked, "query_id")
+    best = pairs.withColumn("sim", vectors.dot(F.col("q"), F.col("v"))).groupBy("query_id", "chunk_id").agg(F.max("sim").alias("sim"), F.lit(True).alias("judged"))
     joined = rows.join(best, ["query_id", "chunk_id"], "left").withColumn("any", F.max("judged").over(Window.partitionBy("query_id")))
     score = F.when(F.col("any"), F.round(F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)), 6)).otherwise(F.col("keyword_score"))
     return joined.withColumn("score", score).drop("sim", "judged", "any", "keyword_score")
@@ -72,10 +90,15 @@ def style_k(style: Column) -> Column:
 
 
 def mmr(candidates: DataFrame, balance: float = 0.7) -> DataFrame:
-    """(query_id, item_id, score, rank): greedy maximal marginal relevance over each query's few candidates (item_id, vector, query_vector)."""
+    """(query_id, item_id, score, rank): greedy maximal marginal relevance over each query's few candidates (item_id, vector, query_vector).
+
+    Ties go to the candidate that came first: by ``rank`` where there is one, else by item_id.
+    """
+    given = "rank" if "rank" in candidates.columns else "item_id"
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in ("query_id", "item_id")}
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("item_id").reset_index(drop=True)
+        rows = rows.sort_values([given, "item_id"]).reset_index(drop=True)
         vectors = np.stack(rows["vector"].to_numpy())
         relevance = vectors @ np.asarray(rows["query_vector"].iloc[0])
         likeness = vectors @ vectors.T
@@ -89,4 +112,4 @@ def mmr(candidates: DataFrame, balance: float = 0.7) -> DataFrame:
             order.append(best)
         return pd.DataFrame({"query_id": rows["query_id"].to_numpy()[order], "item_id": rows["item_id"].to_numpy()[order], "score": np.round(np.maximum(relevance[order], 0.0), 6), "rank": np.arange(1, len(order) + 1, dtype=np.int32)})
 
-    return candidates.groupBy("query_id").applyInPandas(pick, "query_id bigint, item_id bigint, score double, rank int")
+    return candidates.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double, rank int")

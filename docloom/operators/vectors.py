@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+from docloom.session import cut_lineage
+
 #: Vectors of queries that travel to the executors at once.
 QUERIES_PER_PASS = 2048
 
@@ -22,8 +25,7 @@ def norm(vector: Column) -> Column:
 
 def normalised(vector: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    size = norm(vector)
-    return F.transform(vector, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(F.lit(1.0)))
+    return T.let(norm(vector), lambda size: F.transform(vector, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(F.lit(1.0))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,22 +61,27 @@ def embedded(text: Column, dim: int = 64) -> Column:
 
 
 def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, query: str = "query_id") -> DataFrame:
-    """(query, key, score, rank): the ``k`` nearest vectors of each query by cosine, exactly.
+    """(query, key, score, rank): the ``k`` nearest vectors of each query by cosine, exactly; keys and queries of any type.
 
-    ``queries`` is a stated set (query, vector); it is taken ``QUERIES_PER_PASS`` at a time, and each pass scans the vectors once, keeping the
-    best ``k`` of every batch before anything is shuffled.
+    ``queries`` is a stated set (query, vector), taken ``QUERIES_PER_PASS`` at a time: no more than that is ever on the driver or in a
+    broadcast. Each pass scans the vectors once, keeping the best ``k`` of every batch before anything is shuffled; with several passes the
+    vectors are written once instead of computed again.
     """
-    asked = queries.select(F.col(query).alias("q"), normalised(F.col(vector)).alias("v")).orderBy("q")
-    rows = [(r["q"], np.asarray(r["v"], dtype=np.float64)) for r in asked.toLocalIterator()]
+    spark = vectors.sparkSession
+    asked = queries.select(F.col(query).alias("q"), normalised(F.col(vector)).alias("v")).where("q is not null and v is not null")
+    passes = -(-asked.count() // QUERIES_PER_PASS)
     kept = vectors.select(F.col(key).alias("key"), normalised(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
-    out = None
-    for first in range(0, len(rows), QUERIES_PER_PASS):
-        block = rows[first : first + QUERIES_PER_PASS]
-        shared = vectors.sparkSession.sparkContext.broadcast(([q for q, _ in block], np.stack([v for _, v in block])))
-        part = kept.mapInArrow(_nearest(shared, k), "q bigint, key bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = kept.select(F.lit(0).cast("bigint").alias("q"), F.col("key").cast("bigint").alias("key"), F.lit(0.0).alias("score")).where(F.lit(False))
+    schema = f"q {asked.schema['q'].dataType.simpleString()}, key {kept.schema['key'].dataType.simpleString()}, score double"
+    if passes > 1:
+        kept = cut_lineage(kept)
+        asked = cut_lineage(asked.repartitionByRange(passes, "q").withColumn("pass", F.spark_partition_id()))
+    out = spark.createDataFrame([], schema)
+    for number in range(passes):
+        block = (asked.where(F.col("pass") == number) if passes > 1 else asked).select("q", "v").collect()
+        for first in range(0, len(block), QUERIES_PER_PASS):
+            part = block[first : first + QUERIES_PER_PASS]
+            shared = spark.sparkContext.broadcast(([r["q"] for r in part], np.stack([np.asarray(r["v"], dtype=np.float64) for r in part])))
+            out = out.unionByName(kept.mapInArrow(_nearest(shared, k), schema))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "key")
     ranked = out.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query), F.col("key").alias(key), "score", "rank")
@@ -83,15 +90,50 @@ def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int,
 def _nearest(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked = shared.value
+        names = pa.array(names)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             own = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
             scores = np.round(asked @ own.T, 6)
-            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-            picked = np.take_along_axis(scores, order, axis=1)
-            queries = np.repeat(np.asarray(names, dtype=np.int64), order.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(keys[order].ravel()), pa.array(picked.ravel())], ["q", "key", "score"])
+            if batch.num_rows > k:  # everything that ties with the k-th stays, the window decides by key
+                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+                queries, rows = np.nonzero(scores >= least)
+            else:
+                queries, rows = (x.ravel() for x in np.indices(scores.shape))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(queries)), batch.column(0).take(pa.array(rows)), pa.array(scores[queries, rows])], ["q", "key", "score"])
 
     return run
+
+
+def embedder(name: str | None = "hashing", dim: int = 64, plugged: dict | None = None):
+    """A function from a text column to a vector column, or None where none can be had, which leaves keyword search.
+
+    ``plugged`` maps further names to functions that make one; one that fails counts as not to be had.
+    """
+    if name in (None, "", "none"):
+        return None
+    if name == "hashing":
+        return lambda text: embedded(text, dim)
+    try:
+        return (plugged or {})[name]()
+    except Exception:  # noqa: BLE001 - a plug-in may fail in any way
+        return None
+
+
+def embedder_of(encode, prefix: str = "", batch: int = 32):
+    """An embedder from ``encode`` (a list of texts to a list of vectors), called ``batch`` texts at a time in their order; queries of models
+    that ask for one get a ``prefix``."""
+
+    def make(text: Column) -> Column:
+        @F.pandas_udf("array<double>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                rows: list = []
+                for first in range(0, len(texts), batch):
+                    rows += [np.asarray(v, dtype=float) for v in encode([prefix + (t or "") for t in texts.iloc[first : first + batch]])]
+                yield pd.Series(rows)
+
+        return run(text)
+
+    return make

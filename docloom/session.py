@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,11 +39,17 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the cluster's checkpoint folder and reads it back, so that a lost executor never costs a recomputation.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where none is set (local tests) a temporary one is used.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder, removed
+    at its end; on a cluster it has to be named, as a folder of one machine would be lost with it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "docloom-checkpoints"))
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        if not named:
+            named = tempfile.mkdtemp(prefix="docloom-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)

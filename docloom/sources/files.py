@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 import re
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,22 +34,23 @@ def decode(raw: bytes) -> str:
 
 
 def csv_text(raw: bytes) -> str:
-    """Each row as ``column: value`` pairs, so that a passage keeps the meaning of its values."""
+    """Each row as ``column: value`` pairs, so that a passage keeps the meaning of its values; cells beyond the header get numbered names."""
     text = decode(raw)
     try:
         dialect = csv.Sniffer().sniff(text[:4096])
     except csv.Error:
         dialect = csv.excel
-    table = [*csv.reader(io.StringIO(text), dialect)]
-    if not table:
+    cells = pd.DataFrame(csv.reader(io.StringIO(text), dialect)).map(lambda c: c.strip() if isinstance(c, str) else "")
+    if cells.empty:
         return ""
-    names = [cell.strip() or f"column_{n}" for n, cell in enumerate(table[0], 1)]
-    out = ["Columns: " + ", ".join(names), ""]
-    for number, row in enumerate(table[1:], 1):
-        labelled = names + [f"column_{n}" for n in range(len(names) + 1, len(row) + 1)]
-        filled = [f"{name}: {cell.strip()}" for name, cell in zip(labelled, row, strict=False) if cell.strip()]
-        out += [f"Row {number}: " + "; ".join(filled)] if filled else []
-    return "\n".join(out)
+    width = next(csv.reader(io.StringIO(text), dialect), [])
+    given = cells.iloc[0]
+    names = given.where(given != "", [f"column_{n}" for n in range(1, len(given) + 1)])
+    body = cells.iloc[1:]
+    pairs = (names + ": " + body).where(body != "")
+    rows = pairs.apply(lambda row: "; ".join(row.dropna()), axis=1) if len(body) else pd.Series(dtype=str)
+    shown = [f"Row {number}: {row}" for number, row in enumerate(rows, 1) if row]
+    return "\n".join(["Columns: " + ", ".join(names.iloc[: len(width)]), "", *shown])
 
 
 def json_text(raw: bytes) -> str:
@@ -179,8 +182,39 @@ class PluginMissing(RuntimeError):
     """A format that needs a reader this installation doesn't have."""
 
 
+#: Plug-ins for PDF files: ``pages`` turns bytes and a password into pages, each a text and the images on it; ``ocr`` an image into text.
+PDF = {"pages": None, "ocr": None}
+#: Fixed value: a page with fewer characters than this is read from its images, if it has any.
+LEAST_PAGE_CHARS = 20
+
+
+def pdf_pages(raw: bytes) -> list[str]:
+    """The text of each page, lines joined; pages without text go to OCR, which gives an empty text where it fails or isn't there."""
+    if PDF["pages"] is None:
+        raise PluginMissing("reading PDF needs a plug-in: set docloom.sources.files.PDF['pages'] to a function of bytes and a password")
+    out = []
+    for text, images in PDF["pages"](raw, ""):
+        joined = joined_lines(text or "")
+        if len(joined.strip()) < LEAST_PAGE_CHARS and images:
+            joined = "\n".join(filter(None, map(image_text, images))) or joined
+        out.append(joined)
+    return out
+
+
+def image_text(image) -> str:
+    try:
+        return PDF["ocr"](image) or ""
+    except Exception:  # noqa: BLE001 - one page that can't be read doesn't fail its file
+        return ""
+
+
+def joined_lines(text: str) -> str:
+    """Words divided at line ends and softly wrapped lines put together, as ``functions.text.join_wrapped_lines`` does on columns."""
+    return re.sub(r"([A-Za-z0-9,'\")])[ \t]*\n(?=[a-z(])", r"\1 ", re.sub("([a-z])-\n([a-z])", r"\1\2", text))
+
+
 def pdf_text(raw: bytes) -> str:
-    raise PluginMissing("reading PDF needs a plug-in: set docloom.sources.files.READERS['pdf'] to a function from bytes to text")
+    return "\n\n".join(pdf_pages(raw))
 
 
 #: Readers by parser name; replace or add entries to plug in others.
@@ -189,27 +223,34 @@ READERS = {"txt": decode, "csv": csv_text, "json": json_text, "html": html_text,
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, errors = [], []
-        for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        ids, texts, errors = [], [], []
+        for kind, raw in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            ids.append(hashlib.sha256(raw or b"").hexdigest()[:16])
             try:
                 texts.append(READERS[kind](raw or b""))
                 errors.append(None)
             except Exception as problem:  # noqa: BLE001 - the status of this file, not of the job
                 texts.append(None)
                 errors.append(f"{type(problem).__name__}: {problem}"[:300])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "raw", "error"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "filename", "size_bytes", "file_type", "doc_id", "raw", "error"])
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """(path, filename, doc_id, file_type, size_bytes, text, status) of ``binaryFile`` rows; oversized and unsupported ones aren't read."""
-    named = files.withColumn("filename", F.element_at(F.split("path", "[/\\\\]"), -1))
-    named = named.select("path", "filename", "content", F.col("length").alias("size_bytes"), T.file_type(F.col("filename")).alias("file_type"), T.is_supported(F.col("filename")).alias("supported"))
-    fit = named.where(F.col("supported") & (F.col("size_bytes") <= MOST_BYTES))
-    texts = fit.select("path", "file_type", "content").mapInArrow(_parse, "path string, raw string, error string")
-    joined = named.withColumn("doc_id", F.substring(F.sha2("content", 256), 1, 16)).drop("content").join(texts, "path", "left")
+    """(path, filename, doc_id, file_type, size_bytes, text, status) of ``binaryFile`` rows, each file read once and none joined.
+
+    Oversized and unsupported files are told by name and length; their content isn't read, so they have no doc_id.
+    """
+    name = F.element_at(F.split("path", "[/\\\\]"), -1)
+    known = F.col("path"), name.alias("filename"), F.col("length").alias("size_bytes"), T.file_type(name).alias("file_type")
+    readable = T.is_supported(name) & (F.col("length") <= MOST_BYTES)
+    columns = "path string, filename string, size_bytes bigint, file_type string, doc_id string, raw string, error string"
+    fit = files.where(readable).select(*known, "content").mapInArrow(_parse, columns)
     text = T.clean(F.col("raw"))
-    status = F.when(~F.col("supported"), "unsupported").when(F.col("size_bytes") > MOST_BYTES, "too large").when(F.col("error").isNotNull(), F.col("error")).when(~text.rlike(r"\S"), "empty").otherwise("parsed")
-    return joined.select("path", "filename", "doc_id", "file_type", "size_bytes", text.alias("text"), status.alias("status"))
+    status = F.when(F.col("error").isNotNull(), F.col("error")).when(~text.rlike(r"\S"), "empty").otherwise("parsed")
+    done = fit.select("path", "filename", "doc_id", "file_type", "size_bytes", text.alias("text"), status.alias("status"))
+    none = F.lit(None).cast("string")
+    left = files.where(~readable).select(known[0], known[1], none.alias("doc_id"), known[3], known[2], none.alias("text"), F.when(~T.is_supported(name), "unsupported").otherwise("too large").alias("status"))
+    return done.unionByName(left)
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,6 +258,12 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
 
 
+def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text) of the ``.txt`` files of a folder; the id is the file's name without its extension."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("doc_id"), T.clean(F.col("value")).alias("text"))
+
+
 def rows_as_text(table: DataFrame) -> DataFrame:
     """Any flat table's rows as ``column: value`` lines, empty cells skipped."""
     cells = [F.when(F.col(c).cast("string").rlike(r"\S"), F.concat(F.lit(f"{c}: "), F.trim(F.col(c).cast("string")))) for c in table.columns]
@@ -230,22 +277,26 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"evidence": F.coalesce("evidence", F.expr("cast(array() as array<struct<doc:string,text:string>>)")), "evidence_mode": F.coalesce("evidence_mode", F.lit("all"))})
 
 
+#: Heading levels by the sign a title is underlined with; titles with a line above and below are of level 1.
+RST_LEVELS = {"=": 1, "-": 2, "*": 3, "~": 3, "'": 3, "^": 3, '"': 3}
+_RST_SIGN = r"[=\-~'^\"*]"
+_RST = re.compile(
+    rf"^(?P<a>{_RST_SIGN})(?P=a){{2,}}[ \t]*\n(?P<named>[^\n]*\S[^\n]*)\n(?P<b>{_RST_SIGN})(?P=b){{2,}}[ \t]*$"
+    rf"|^(?P<title>(?! )[^\n]*\S[^\n]*)\n(?P<under>(?P<c>{_RST_SIGN})(?P=c){{2,}}[ \t]*)$"
+    r"|^[ \t]*\.\.\s+(?:_[\w -]+:|\w[\w-]*::)[ \t]*\S*[ \t]*$\n?",
+    re.M,
+)
+
+
 def rst_headings(text: str) -> str:
-    """Underlined titles as ``#`` lines, directives other than code left out."""
-    marks = "=-~^\"'`#*+.:_"
-    lines, out, levels = text.split("\n"), [], {}
-    under = lambda x: bool(x) and len(set(x)) == 1 and x[0] in marks and len(x) >= 3
-    at = 0
-    while at < len(lines):
-        line, follow = lines[at].rstrip(), lines[at + 1].rstrip() if at + 1 < len(lines) else ""
-        if under(line) and follow and at + 2 < len(lines) and lines[at + 2].rstrip() == line:
-            out.append("#" * min(6, levels.setdefault((line[0], "over"), len(levels) + 1)) + " " + follow.strip())
-            at += 3
-        elif line.strip() and not under(line) and under(follow) and len(follow) >= len(line.strip()):
-            out.append("#" * min(6, levels.setdefault((follow[0], ""), len(levels) + 1)) + " " + line.strip())
-            at += 2
-        else:
-            if not (line.startswith(".. ") and "code" not in line):
-                out.append(line)
-            at += 1
-    return "\n".join(out)
+    """Underlined titles as ``#`` lines; directives without prose are left out, but for code."""
+
+    def shown(found: re.Match) -> str:
+        if found["named"] is not None:
+            return "# " + found["named"].strip()
+        if found["title"] is None:
+            return found[0] if "code" in found[0] else ""
+        title, under = found["title"].strip(), found["under"].strip()
+        return "#" * RST_LEVELS[under[0]] + " " + title if len(under) >= len(title) - 2 else found[0]
+
+    return re.sub(r"\n{3,}", "\n\n", _RST.sub(shown, text)).strip() + "\n"
