@@ -77,8 +77,11 @@ def rewritten(reply: str | None, question: str) -> list[str]:
         every = [standalone if isinstance(standalone, str) and standalone.strip() else asked, asked, *(held.get("queries") or [])]
     except (TypeError, ValueError, AttributeError):
         return [asked]
-    kept = {q.strip().lower(): q.strip() for q in reversed([q for q in every if isinstance(q, str) and q.strip()])}
-    return [*reversed(kept.values())][:MOST_QUERIES]
+    kept: dict[str, str] = {}
+    for search in every:
+        if isinstance(search, str) and search.strip():
+            kept.setdefault(search.strip().lower(), search.strip())
+    return [*kept.values()][:MOST_QUERIES]
 
 
 def rewrites(generate: Callable[[str], str] | None, prompt: Column, question: Column) -> Column:

@@ -66,7 +66,8 @@ def scorer_of(wanted: str, plugged: Models) -> str:
 
 
 def as_chunks(rows: DataFrame) -> DataFrame:
-    """Chunk rows with all columns retrieval uses; those a table lacks are null, the section "General"."""
+    """Chunk rows with all columns retrieval uses; those a table lacks are null, the section "General", the chunk its document."""
+    rows = rows if "chunk_id" in rows.columns else rows.withColumn("chunk_id", F.col("doc_id"))
     kinds = {"chunk_id": "string", "doc_id": "string", "filename": "string", "section": "string", "page": "int", "page_end": "int", "text": "string"}
     held = [(F.col(c) if c in rows.columns else F.lit("General" if c == "section" else None)).cast(kind).alias(c) for c, kind in kinds.items()]
     return rows.select(*held).where("chunk_id is not null and text is not null")

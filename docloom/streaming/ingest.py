@@ -15,9 +15,9 @@ from docloom.operators import chunking, library
 
 
 def ingest(documents: DataFrame, folder: str, checkpoint: str, strategy: str = "structure", available_now: bool = True) -> StreamingQuery:
-    """Chunks every new document (doc_id, text) of a stream and appends to ``folder``/chunks; a document already there is passed over.
+    """Chunks every new document (doc_id, text) of a stream and appends to ``folder``; a document already there is passed over.
 
-    Known documents are a table of their ids, ``folder``/known, not the chunks. Both lie in a folder of the stream's own id (which lives in its
+    Known documents are a table of their ids, ``folder``/_known, not the chunks. Both lie in a folder of the stream's own id (which lives in its
     checkpoint) and batch: a batch that is run again writes its folder anew, and another stream, or this one with a new checkpoint, another.
     """
     token: list[str] = []
@@ -26,12 +26,12 @@ def ingest(documents: DataFrame, folder: str, checkpoint: str, strategy: str = "
         spark = batch.sparkSession
         own = f"run={token[0]}/batch={number}"
         fresh = batch.where(F.col("text").rlike(r"\S")).withColumn("doc_id", T.content_id(F.col("text"))).dropDuplicates(["doc_id"])
-        if _exists(spark, f"{folder}/known"):
-            known = spark.read.parquet(f"{folder}/known").where(~((F.col("run") == token[0]) & (F.col("batch") == number)))
+        if _exists(spark, f"{folder}/_known"):
+            known = spark.read.parquet(f"{folder}/_known").where(~((F.col("run") == token[0]) & (F.col("batch") == number)))
             fresh = fresh.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
         fresh = fresh.persist()
-        chunking.chunk(fresh, strategy).write.mode("overwrite").parquet(f"{folder}/chunks/{own}")
-        fresh.select("doc_id").write.mode("overwrite").parquet(f"{folder}/known/{own}")
+        chunking.chunk(fresh, strategy).write.mode("overwrite").parquet(f"{folder}/{own}")
+        fresh.select("doc_id").write.mode("overwrite").parquet(f"{folder}/_known/{own}")
         fresh.unpersist()
 
     spark = documents.sparkSession

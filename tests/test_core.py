@@ -1,13 +1,14 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import answers, chunking, evaluation, lexical, library, ranking, vectors
+from docloom.operators import answers, chunking, evaluation, lexical, library, models, ranking, store, vectors
 from docloom.plans import retrieval
 from docloom.sources import files
 
@@ -126,7 +127,7 @@ def test_decoding_and_parsers():
     assert files.json_text(b'{"a":"\xc3\xa9"}') == '{\n  "a": "é"\n}' and files.json_text(b"{bad") == "{bad"
     page = files.html_text(b"<html><title>T</title><script>x</script><nav>n</nav><h2>Head</h2><p>Para</p><table><tr><td>1</td><td>2</td></tr></table><ul><li>i</li></ul>")
     assert page.startswith("# T") and "## Head" in page and "1 | 2" in page and "- i" in page and "x" not in page and "n" not in page.replace("Head", "").split("Para")[0].replace("\n", "")
-    assert files.rst_headings("Title\n=====\n\n.. note:: x\n.. code:: y\ntext") == "# Title\n\n.. code:: y\ntext"
+    assert files.rst_headings("=====\nBig\n=====\n\nPart\n----\n\n.. note:: x\n.. a comment of prose\n.. code:: y\ntext\n\nSub\n~~~~\nNo title here\n--") == "# Big\n\n## Part\n\n.. a comment of prose\n.. code:: y\ntext\n\n### Sub\nNo title here\n--\n"
 
 
 def test_docx_and_folder(spark, tmp_path):
@@ -169,3 +170,211 @@ def test_sentence_scores_keep_passages_without_sentences(spark):
     got = {(r.query_id, r.chunk_id): r.score for r in ranking.sentence_scores(rows, "question", "text", "section").collect()}
     assert len(got) == 5 and got[1, "a"] > 0 and got[1, "b"] == got[1, "c"] == 0
     assert got[2, "d"] == 1.0 and got[2, "e"] == 0.01
+
+
+def test_markers_and_citation_fields(spark):
+    for text, want in (("a [1, 3] b", "a [1][3] b"), ("a [9] b", "a b"), ("year [2024] x [2;7]", "year [2024] x [2]"), ("[1]", "[1]"), (None, ""), ("none", "none")):
+        assert one(spark, T.normal_markers(F.col("t").cast("string"), F.lit(3)), t=text) == want
+    rows = spark.createDataFrame([(1, 1, "c", "d", "f.pdf", 3, 4, "S", "x" * 400, 0.123456)], "query_id int, rank int, chunk_id string, doc_id string, filename string, page int, page_end int, section string, text string, score double")
+    cited = answers.citations(rows).first()
+    assert (cited.id, cited.doc_id, cited.page_end, cited.section, len(cited.snippet), cited.score, cited.text) == ("source-1", "d", 4, "S", 303, 0.1235, "x" * 400)
+
+
+def test_mmr_equals_brute_force_and_keeps_order_of_ties(spark):
+    rng = np.random.default_rng(1)
+    units = rng.normal(size=(12, 5))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    units[7] = units[3]
+    asked = units[0]
+    rows = [(1, f"c{i:02d}", 12 - i, units[i].tolist(), asked.tolist()) for i in range(12)]
+    got = ranking.mmr(spark.createDataFrame(rows, "query_id bigint, item_id string, rank int, vector array<double>, query_vector array<double>")).orderBy("rank").collect()
+    left, order = list(range(11, -1, -1)), []
+    while left:
+        worth = [0.7 * units[i] @ asked - 0.3 * max([units[i] @ units[j] for j in order], default=0.0) for i in left]
+        order.append(left.pop(int(np.argmax(worth))))
+    assert [r.item_id for r in got] == [f"c{i:02d}" for i in order]
+
+
+def test_rerankers_fall_back_visibly(spark):
+    chunks = spark.createDataFrame([("a", "d", "f.txt", "Solar panels produce power on sunny roofs all year long."), ("b", "d", "f.txt", "Wind farms produce power at night and in winter, says the report."), ("c", "e", "g.txt", None)], "chunk_id string, doc_id string, filename string, text string")
+    ask = spark.createDataFrame([(1, "which panels produce solar power", "medium", 1), (2, "power at night", None, 0), (3, None, "long", 5), (4, "Summarise this report please", "long", 0)], "query_id bigint, question string, style string, top_k int")
+    for wanted, plugged, scorer in (("mmr", retrieval.Models(), "keyword"), ("mmr", None, "mmr"), ("sentence", None, "sentence"), ("none", None, "none"), ("cross-encoder", None, "keyword")):
+        got = retrieval.retrieve(chunks, ask, retrieval.RetrievalConfig(rerank=wanted), plugged=plugged).collect()
+        assert {r.scorer for r in got if r.query_id != 4} == {scorer} and {r.query_id for r in got} == {1, 2, 4}
+        assert [r.chunk_id for r in got if r.query_id == 1] == ["a"]
+        assert {(r.mode, r.scorer, r.score) for r in got if r.query_id == 4} == {("summary", "none", 1.0)}
+    scores = retrieval.Models(pairs=lambda pairs: [-9.0 for _ in pairs])
+    low = retrieval.retrieve(chunks, ask, retrieval.RetrievalConfig(rerank="cross-encoder", summaries=False), plugged=scores).collect()
+    assert low and all(r.low_relevance and r.scorer == "cross-encoder" for r in low if r.query_id != 4)
+
+    def broken(pairs):
+        raise ValueError("no")
+
+    kept = retrieval.retrieve(chunks, ask, retrieval.RetrievalConfig(rerank="cross-encoder"), plugged=retrieval.Models(pairs=broken)).where("query_id = 2").collect()
+    assert kept and {r.scorer for r in kept} == {"keyword"}
+    scoped = retrieval.retrieve(chunks, ask, scope=spark.createDataFrame([("e",)], "doc_id string"))
+    assert scoped.count() == 0
+    assert retrieval.retrieve(chunks, ask, scope=spark.createDataFrame([], "doc_id string")).count() > 0
+    with pytest.raises(ValueError):
+        retrieval.RetrievalConfig(rerank="best")
+
+
+def test_answers_by_a_model_and_without_documents(spark):
+    chunks = spark.createDataFrame([("a", "d", "Solar panels produce power on sunny roofs all year long.")], "chunk_id string, doc_id string, text string")
+    ask = spark.createDataFrame([(1, "solar panels power", "concise"), (2, "panels fail", "concise")], "query_id bigint, question string, style string")
+
+    def write(prompt):
+        if prompt.startswith("panels fail"):
+            raise RuntimeError("quota exceeded")
+        return "By panels [1, 4].<<<FOLLOWUPS>>> []"
+
+    plugged = retrieval.Models(generate=write)
+    got = {r.query_id: r for r in retrieval.answer(chunks, ask, plugged=plugged).collect()}
+    assert got[1].answer == "By panels [1]." and got[1].llm_used and got[1].notice is None
+    assert "quota" in got[2].notice and got[2].answer.startswith("> **Extractive answer**") and not got[2].llm_used
+    none = retrieval.answer(chunks.limit(0), ask).first()
+    assert none.answer == retrieval.NO_DOCUMENTS and none.mode == "none"
+    gone = retrieval.answer(chunks, ask, scope=spark.createDataFrame([("z",)], "doc_id string")).first()
+    assert gone.answer == retrieval.NONE_LEFT
+    row = retrieval.status(chunks, chunks, retrieval.RetrievalConfig(rerank="cross-encoder"), retrieval.Models()).first()
+    assert (row.documents, row.chunks, row.reranker, row.vectors_ready, len(row.warnings)) == (1, 1, "keyword", False, 3)
+
+
+def test_model_plug_points(spark):
+    waits, tries = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise TimeoutError("timed out, retry after 2 s")
+        return "ok"
+
+    assert models.with_retries(flaky, sleep=waits.append)() == "ok" and waits == [2.5, 2.5]
+    with pytest.raises(ValueError):
+        models.with_retries(lambda: (_ for _ in ()).throw(ValueError("bad")), sleep=waits.append)()
+    assert models.rewritten('```json\n{"standalone": "What of Q4?", "queries": ["q4", "WHAT OF Q4?", 5, "x", "y", "z"]}```', "and Q4?") == ["What of Q4?", "and Q4?", "q4", "x"]
+    assert models.rewritten("no json", " a ") == ["a"] and models.rewritten(None, "a") == ["a"]
+    assert one(spark, models.judged(lambda p: '{"verdict": 0.5}', F.col("t")), t="x") == 0.5 and one(spark, models.judged(lambda p: "?", F.col("t")), t="x") is None
+    assert one(spark, vectors.embedder_of(lambda texts: [[len(t), 1] for t in texts], prefix="q: ")(F.col("t")), t="abc") == [6.0, 1.0]
+    assert vectors.embedder("none") is None and vectors.embedder("other") is None and vectors.embedder("own", plugged={"own": lambda: len}) is len
+
+
+def test_bootstraps(spark):
+    rows = [("base", i, 0.2 + 0.01 * (i % 5)) for i in range(40)] + [("better", i, 0.6 + 0.01 * (i % 7)) for i in range(40)] + [("same", i, 0.2 + 0.01 * (i % 5)) for i in range(40)] + [("partial", i, 0.9) for i in range(3)]
+    scores = spark.createDataFrame(rows, "config string, item int, mrr double")
+    got = {r.config: r for r in evaluation.paired_bootstrap(scores, "config", "item", "mrr", "base").collect()}
+    assert set(got) == {"better", "same"} and got["better"].p < 0.01 and got["same"].p == 1.0
+    ci = {r.config: r for r in evaluation.exact_bootstrap(scores, "config", "mrr").collect()}
+    assert ci["base"].low < ci["base"].mean < ci["base"].high and ci["partial"].low == ci["partial"].high == 0.9
+
+
+def test_store_adds_replaces_deletes_and_indexes(spark, tmp_path):
+    held = store.Store(spark, str(tmp_path / "s"))
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id string, filename string, file_type string, size_bytes bigint, text string")
+    assert held.documents().count() == 0 and held.in_sync()
+    said = {r.doc_id: r.status for r in held.add(docs(("a", "x.txt", "txt", 9, "First text about one thing."), ("b", "y.txt", "txt", 9, "Second text."), ("e", "e.txt", "txt", 0, " "))).collect()}
+    assert said == {"a": "indexed", "b": "indexed", "e": "error"}
+    assert {r.doc_id: r.status for r in held.add(docs(("a", "x.txt", "txt", 9, "First text about one thing."), ("c", "y.txt", "txt", 9, "New second text."))).collect()} == {"a": "duplicate", "c": "replaced"}
+    assert {r.doc_id for r in held.documents().collect()} == {"a", "c"} and {r.doc_id for r in held.chunks().collect()} == {"a", "c"} and held.in_sync()
+    assert held.documents().first().doc_id == "c" and held.totals().first().chunks == 2
+    got = held.vectors_of(spark.createDataFrame([(0, "c_c0"), (1, "a_c0")], "place int, chunk_id string")).collect()
+    assert [r.chunk_id for r in got] == ["c_c0", "a_c0"] and len(got[0].embedding) == 64
+    other = store.Store(spark, str(tmp_path / "s"), signature="other")
+    assert not other.in_sync()
+    with pytest.raises(store.NotReady):
+        other.vectors_of(spark.createDataFrame([], "place int, chunk_id string"))
+    assert other.ensure_index() and other.in_sync()
+    wrong = store.Store(spark, str(tmp_path / "s"), signature="wrong", dim=7)
+    assert not wrong.ensure_index() and "dimensions" in wrong.last_error and not wrong.ensure_index()
+    assert held.delete(spark.createDataFrame([("a",), ("zz",)], "doc_id string")) == 1 and held.documents().count() == 1
+    held.add(docs(("a", "x.txt", "txt", 9, "First text about one thing.")))
+    assert {r.doc_id for r in held.documents().collect()} == {"a", "c"}
+    (tmp_path / "s" / "chunks" / "batch=lost").mkdir()
+    assert held.compact(str(tmp_path / "t")).chunks().count() == 2
+
+
+def test_readers_of_questions_corpora_and_pages(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"id": "1", "question": "a?"}\n\n{"id": "2", "question": "b?", "evidence": [{"doc": "d", "text": "t"}], "evidence_mode": "any"}\n')
+    got = {r.id: (len(r.evidence), r.evidence_mode) for r in files.read_questions(spark, str(tmp_path / "q.jsonl")).collect()}
+    assert got == {"1": (0, "all"), "2": (1, "any")}
+    (tmp_path / "one.txt").write_text("hello")
+    assert [tuple(r) for r in files.read_corpus(spark, str(tmp_path)).collect()] == [("one", "hello")]
+    with pytest.raises(files.PluginMissing):
+        files.pdf_text(b"")
+    files.PDF.update(pages=lambda raw, password: [("exam-\nple of\na page that is long", []), ("", ["img"]), ("", [])], ocr=lambda image: "read " + image)
+    try:
+        assert files.pdf_pages(b"x") == ["example of a page that is long", "read img", ""]
+        files.PDF["ocr"] = None
+        assert files.pdf_pages(b"x")[1] == ""
+    finally:
+        files.PDF.update(pages=None, ocr=None)
+
+
+def test_oversized_files_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_BYTES", 10)
+    (tmp_path / "a.txt").write_text("x" * 11)
+    (tmp_path / "b.txt").write_text("small")
+    got = {r.filename: (r.status, r.doc_id is None) for r in files.read_folder(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("too large", True), "b.txt": ("parsed", False)}
+    plan = files.read_folder(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
+def test_ingest_with_a_new_checkpoint_keeps_earlier_chunks(spark, tmp_path):
+    from docloom.streaming import ingest
+
+    for n in range(2):
+        spark.createDataFrame([(str(n), f"Text number {n} about things.")], "doc_id string, text string").write.mode("overwrite").parquet(str(tmp_path / f"in{n}"))
+        ingest.ingest(ingest.read_stream(spark, str(tmp_path / f"in{n}"), "doc_id string, text string"), str(tmp_path / "out"), str(tmp_path / f"ck{n}")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_event_counts_and_memory_streams(spark, tmp_path):
+    import datetime as dt
+
+    from docloom.streaming import ingest
+
+    at = lambda m: dt.datetime(2024, 1, 1, 10, m)
+    spark.createDataFrame([(at(1), "a", 1.0), (at(2), "a", 2.0), (at(3), "b", 5.0)], "ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "ev"))
+    counted = ingest.event_counts(ingest.read_stream(spark, str(tmp_path / "ev"), "ts timestamp, event_type string, value double"))
+    counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start().awaitTermination(60)
+    assert {(r.event_type, r.n, r.total) for r in spark.table("counted").collect()} == {("a", 2, 3.0), ("b", 1, 5.0)}
+    spark.createDataFrame([("c", i, f"q{i}", f"a{i} [1]") for i in range(9)] + [(None, 1, "q", "a")], "conversation_id string, turn bigint, question string, answer string").write.parquet(str(tmp_path / "turns"))
+    held = ingest.memory(ingest.read_stream(spark, str(tmp_path / "turns"), "conversation_id string, turn bigint, question string, answer string"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    held.writeStream.format("memory").queryName("held").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination(120)
+    assert sorted({r.turn for r in spark.table("held").collect()})[-6:] == [3, 4, 5, 6, 7, 8]
+
+
+def test_written_index_gives_the_same_search(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 3} word{i % 5} common text") for i in range(40)] + [(99, None)], "doc_id bigint, text string")
+    ask = spark.createDataFrame([(1, "word1 word4"), (2, "common")], "query_id bigint, question string")
+    lexical.write_index(docs, "doc_id", "text", str(tmp_path / "i"))
+    search = lambda index: sorted(map(tuple, lexical.bm25(docs, "doc_id", "text", ask, "query_id", "question", 5, index=index).collect()))
+    assert search(None) == search(lexical.read_index(spark, str(tmp_path / "i")))
+
+
+def test_vector_search_in_several_passes_with_string_keys(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    held = rng.normal(size=(60, 4)).round(3)
+    rows = spark.createDataFrame([(f"k{i:02d}", v.tolist()) for i, v in enumerate(held)], "id string, v array<double>")
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(held[:7])], "query_id string, v array<double>")
+    whole = sorted(map(tuple, vectors.top_k(rows, "id", "v", asked, 3).collect()))
+    monkeypatch.setattr(vectors, "QUERIES_PER_PASS", 3)
+    assert sorted(map(tuple, vectors.top_k(rows, "id", "v", asked, 3).collect())) == whole and len(whole) == 21
+
+
+def test_checkpoints_need_a_shared_folder_off_local_mode(spark, monkeypatch):
+    from docloom import session
+
+    class Context:
+        master = "spark://host"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isEmpty": lambda self: True})()})()
+
+    frame = type("D", (), {"sparkSession": type("P", (), {"sparkContext": Context, "conf": type("C", (), {"get": lambda self, name, other: None})()})()})()
+    with pytest.raises(RuntimeError):
+        session.cut_lineage(frame)
