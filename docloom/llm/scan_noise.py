@@ -51,6 +51,7 @@ _FOLD = ((re.compile("vv"), "w"), (re.compile("cl"), "d"), (re.compile("rn|ri"),
 _FOLD_SIGNS = str.maketrans({"c": "e", "f": "t", "0": "a", "o": "a", "l": "i", "1": "i", "j": "i", "5": "s", "q": "g", "9": "g", "b": "h", "6": "h", "n": "m", "2": "z", "v": "y"})
 
 
+_THREE_LETTERS = re.compile(r"[^\W\d_][\W\d_]*[^\W\d_][\W\d_]*[^\W\d_]")
 _BY_FIRST = {(meant[0], read[0]): (meant, read) for meant, read in CONFUSIONS}
 _BONES = str.maketrans({"n": "r", "c": "e", "d": "e", "f": "t", "o": "a", "0": "a", "5": "s", "q": "g", "9": "g", "2": "z", "v": "y", **dict.fromkeys("il1uhb6")})
 SLIPS = 3
@@ -156,7 +157,8 @@ def _title_groups(folded: dict[int, str]) -> dict[int, list[int]]:
     group: dict[str, str] = {key: key for key in by_text}
     for key in sorted(grams, key=lambda k: (len(k), k)):
         own = grams[key]
-        rare = sorted(own, key=lambda g: (seen[g], g))[: len(own) - -(-6 * len(own) // 10) + 1]
+        shared = [g for g in own if seen[g] > 1]
+        rare = sorted(shared, key=lambda g: (seen[g], g))[: len(shared) - -(-6 * len(own) // 10) + 1] if 10 * len(shared) >= 6 * len(own) else []
         found = next((starts[key[:j]] for j in range(len(key) - 6, LEAST_BLURRED - 3, -1) if key[:j] in starts), None)
         found = found or next((ends[key[j:]] for j in range(6, len(key) - LEAST_BLURRED + 3) if key[j:] in ends), None)
         if not found:
@@ -181,7 +183,7 @@ def line_features(lines: list[str]) -> list[tuple[int, list[str], str]]:
     values = [_number_value(x) if x else None for x in stripped]
     numbers = [i for i, v in enumerate(values) if v is not None]
     numbered = set(numbers)
-    titled = {i for i, x in enumerate(stripped) if sum(c.isalpha() for c in x) >= 3 and i not in numbered and x[-1] not in ".!?;" and re.match(r"[\W_]*[^\W_]", x)}
+    titled = {i for i, x in enumerate(stripped) if x and x[-1] not in ".!?;" and i not in numbered and _THREE_LETTERS.search(x)}
     folded = {i: fold(stripped[i]) for i in sorted(titled)}
     twin = _title_groups(folded)
     furniture = numbered | set(twin)
