@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import answers, chunking, evaluation, lexical, library, ranking, vectors
 from docloom.plans import retrieval
-from docloom.session import read_table
+from docloom.session import cut_lineage, read_table
 from docloom.sources import files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,9 +457,14 @@ scored as (select *, round(least(case when len(q) > 0 then len(list_intersect(q,
 _KEPT = "place <= case lower(style) when 'concise' then 4 when 'long' then 10 else 6 end"
 
 
+def _library(spark, root):
+    """The stored chunks as retrieval reads them: a table, not an aggregate made again for each of its readers."""
+    return cut_lineage(_stored_chunks(spark, root))
+
+
 def _library_search(config: retrieval.RetrievalConfig):
     def run(spark, root):
-        found = retrieval.retrieve(_stored_chunks(spark, root), _questions(spark, root), config)
+        found = retrieval.retrieve(_library(spark, root), _questions(spark, root), config)
         return found.select("query_id", "chunk_id", "score", "rank", "mode", "scorer", "low_relevance")
 
     return run
@@ -499,7 +504,7 @@ def hybrid_diverse(spark, root):
 def fallback_passages(spark, root):
     """A configuration whose models aren't there: vector search leaves keyword search, the pair scorer the keyword reranker, visibly."""
     config = retrieval.RetrievalConfig(rerank="cross-encoder", summaries=False)
-    found = retrieval.retrieve(_stored_chunks(spark, root), _questions(spark, root), config, plugged=retrieval.Models())
+    found = retrieval.retrieve(_library(spark, root), _questions(spark, root), config, plugged=retrieval.Models())
     return found.select("query_id", "chunk_id", "score", "rank", "mode", "scorer", "low_relevance")
 
 
@@ -507,14 +512,14 @@ def fallback_passages(spark, root):
 def scoped_passages(spark, root):
     """Keyword search within the three documents cited most (a document scope)."""
     big = _citations(spark, root).where("chunk_id is not null and text is not null and doc_id is not null").groupBy("doc_id").count().orderBy(F.desc("count"), "doc_id").limit(3).select("doc_id")
-    found = retrieval.retrieve(_stored_chunks(spark, root), _questions(spark, root), retrieval.RetrievalConfig(use_dense=False, summaries=False), scope=big)
+    found = retrieval.retrieve(_library(spark, root), _questions(spark, root), retrieval.RetrievalConfig(use_dense=False, summaries=False), scope=big)
     return found.select("query_id", "chunk_id", "score", "rank", "mode", "scorer", "low_relevance")
 
 
 @query()
 def hybrid_answers(spark, root):
     """Every question through both searches to a cited answer, its confidence and how it came about."""
-    return retrieval.answer(_stored_chunks(spark, root), _questions(spark, root))
+    return retrieval.answer(_library(spark, root), _questions(spark, root))
 
 
 @query("select (select count(distinct doc_id) from document_info) as documents, (select count(distinct chunk_id) from citations where chunk_id is not null and text is not null) as chunks, false as llm_available, true as vectors_ready, 'keyword' as reranker, 'CSV, DOCX, HTM, HTML, JSON, LOG, MARKDOWN, MD, PDF, PY, RST, TXT' as supported_formats, 'No LLM configured: answers are extracted sentences, not AI-written. / Reranking by cross-encoder isn''t available: using keyword reranking instead.' as warnings")
