@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.catalogue import _PASSAGES, _QUESTIONS, _chat, _citations, _content, _documents, _items, _list, _not_found, _passages, _questions, _registry, _results, _sentences, _spans, _strip, _tok, _trigrams
 from docloom.functions import text as T
-from docloom.operators import answers, evaluation, library
+from docloom.operators import answers, evaluation, library, ranking
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -150,9 +150,17 @@ def call_costs(spark, root):
     return _calls(spark, root).select("event_id", "cost")
 
 
-@query(f"with {_CALLS} select user_id, sum(tin)::bigint as tokens_in, sum(tout)::bigint as tokens_out, round(sum(cost), 8)::double as known_cost, count(*) = count(cost) as complete from priced group by 1")
+@query(f"with {_CALLS} select user_id, sum(tin)::bigint as tokens_in, sum(tout)::bigint as tokens_out, round(sum(cost), 8)::double as known_cost, count(*) = count(cost) as complete, bool_or(event_id % 7 = 0) as estimated, count(*) as calls from priced group by 1")
 def trace_summary(spark, root):
-    return _calls(spark, root).groupBy("user_id").agg(F.sum("tin").alias("tokens_in"), F.sum("tout").alias("tokens_out"), F.round(F.sum("cost"), 8).alias("known_cost"), (F.count("*") == F.count("cost")).alias("complete"))
+    return _calls(spark, root).groupBy("user_id").agg(F.sum("tin").alias("tokens_in"), F.sum("tout").alias("tokens_out"), F.round(F.sum("cost"), 8).alias("known_cost"), (F.count("*") == F.count("cost")).alias("complete"), F.bool_or(F.col("event_id") % 7 == 0).alias("estimated"), F.count("*").alias("calls"))
+
+
+@query("select user_id, event_type as stage, round(sum(value), 2) as ms from events where value is not null group by 1, 2")
+def trace_stages(spark, root):
+    """Time by stage of every trace: the events of a user as one trace, their types as its stages."""
+    from docloom.session import read_table
+
+    return read_table(spark, root, "events").where("value is not null").groupBy("user_id", F.col("event_type").alias("stage")).agg(F.round(F.sum("value"), 2).alias("ms"))
 
 
 @query("select doc_id, (case when length(coalesce(text,'')) = 0 then 0 else (length(text) + 3) // 4 end)::int as tokens from documents")
@@ -160,10 +168,19 @@ def estimated_tokens(spark, root):
     return _documents(spark, root).select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"with {_PASSAGES} select query_id, sum(case when length(coalesce(text,'')) = 0 then 0 else (length(text) + 3) // 4 end)::bigint as prompt_tokens, round((sum(case when length(coalesce(text,'')) = 0 then 0 else (length(text) + 3) // 4 end) * 0.1 + 250 * 0.4) / 1e6, 12)::double as cost from cited where rank <= 6 group by 1")
+_EST = lambda x: f"(case when length(coalesce({x},'')) = 0 then 0 else (length({x}) + 3) // 4 end)"
+
+
+@query(f"""with {_QUESTIONS}, {_PASSAGES}, p as (select query_id, any_value(style) as style, any_value({_EST('question')}) as q, sum({_EST('text')})::bigint as prompt_tokens from cited join questions using (query_id) where rank <= case lower(style) when 'concise' then 4 when 'long' then 10 else 6 end group by 1),
+o as (select *, case lower(style) when 'concise' then 100 when 'long' then 900 else 250 end as out from p)
+select query_id, prompt_tokens, round(round((prompt_tokens * 0.1::double + out * 0.4::double) / 1e6, 12) + round(q * 0.15::double / 1e6, 12), 12)::double as answer_cost, round(round(((prompt_tokens + 250) * 0.1::double + (out + 100) * 0.4::double) / 1e6, 12) + round(3 * q * 0.15::double / 1e6, 12), 12)::double as whole_cost from o""")
 def projected_costs(spark, root):
-    rows = _passages(spark, root).where("rank <= 6").groupBy("query_id").agg(F.sum(T.estimated_tokens(F.col("text"))).alias("prompt_tokens"))
-    return rows.withColumn("cost", library.cost(F.lit("gemini-2.0-flash"), F.col("prompt_tokens"), F.lit(250), F.lit("api")))
+    """What each question would cost with a model: its answer alone, and with rewriting, follow-ups and all embeddings."""
+    asked = _questions(spark, root)
+    rows = _passages(spark, root).drop("score").join(asked, "query_id").where(F.col("rank") <= ranking.style_k(F.col("style")))
+    sums = rows.groupBy("query_id").agg(F.first("style").alias("style"), F.first(T.estimated_tokens(F.col("question"))).alias("q"), F.sum(T.estimated_tokens(F.col("text"))).alias("prompt_tokens"))
+    costs = {name: library.projected_cost(F.col("style"), F.col("prompt_tokens"), F.col("q"), whole) for name, whole in (("answer_cost", False), ("whole_cost", True))}
+    return sums.withColumns(costs).select("query_id", "prompt_tokens", "answer_cost", "whole_cost")
 
 
 _STATUS = "['QUOTA exceeded','timed out','connect refused','fine','UNAVAILABLE','PERMISSION_DENIED','model NOT_FOUND'][1 + event_id % 7]"

@@ -12,6 +12,8 @@ from docloom.session import cut_lineage
 PRICES = {"gemini-2.0-flash": (0.10, 0.40), "gemini-2.0-flash-lite": (0.075, 0.30), "gemini-2.5-flash": (0.30, 2.50), "gemini-2.5-flash-lite": (0.10, 0.40), "gemini-2.5-pro": (1.25, 10.00), "gemini-embedding-001": (0.15, 0.0)}
 #: Providers whose calls cost nothing.
 FREE = ("local", "local-onnx", "sentence-transformers")
+#: Tokens of an answer by style, of a rewriting call (in, out) and of follow-up questions, for costs not yet measured.
+PROJECTED, REWRITE_TOKENS, FOLLOW_UP_TOKENS = {"concise": 100, "medium": 250, "long": 900}, (250, 40), 60
 TURNS, CONVERSATIONS, ANSWER_CHARS = 6, 200, 1200
 
 
@@ -61,6 +63,16 @@ def cost(model: Column, tokens_in: Column, tokens_out: Column, provider: Column)
     return F.when(provider.isin(*FREE), F.lit(0.0)).otherwise(F.round((tokens_in * price_in + tokens_out * price_out) / 1e6, 12))
 
 
+def projected_cost(style: Column, prompt_tokens: Column, question_tokens: Column, whole: bool, model: str = "gemini-2.0-flash", embedding: str = "gemini-embedding-001") -> Column:
+    """USD a question would cost: its answer and one embedding, or with ``whole`` also rewriting, follow-ups and three embeddings."""
+    out = F.lit(PROJECTED["medium"])
+    for name, tokens in PROJECTED.items():
+        out = F.when(F.lower(style) == name, F.lit(tokens)).otherwise(out)
+    extra_in, extra_out = (REWRITE_TOKENS[0], REWRITE_TOKENS[1] + FOLLOW_UP_TOKENS) if whole else (0, 0)
+    written = cost(F.lit(model), prompt_tokens + extra_in, out + extra_out, F.lit("api"))
+    return F.round(written + cost(F.lit(embedding), question_tokens * (3 if whole else 1), F.lit(0), F.lit("api")), 12)
+
+
 def stored_answer(answer: Column) -> Column:
     """An answer as memory keeps it: no citation markers, cut at a blank before 1200 characters."""
     bare = T.strip(F.regexp_replace(F.coalesce(answer, F.lit("")), r"[ \t]*(?:\[\d{1,3}\])+", ""))

@@ -378,3 +378,26 @@ def test_checkpoints_need_a_shared_folder_off_local_mode(spark, monkeypatch):
     frame = type("D", (), {"sparkSession": type("P", (), {"sparkContext": Context, "conf": type("C", (), {"get": lambda self, name, other: None})()})()})()
     with pytest.raises(RuntimeError):
         session.cut_lineage(frame)
+
+
+def test_experiments_resume_and_report(spark, tmp_path):
+    from docloom.operators import experiments
+
+    docs = spark.createDataFrame([("d1", "a.txt", "# Solar\n\nSolar panels produce power on sunny roofs all year long.\n\n# Wind\n\nWind farms produce power at night in winter."), ("d2", "b.txt", "Hydro dams store water for dry months of the year.")], "doc_id string, filename string, text string")
+    asked = spark.createDataFrame([(1, "what do solar panels produce", "fact", [("a.txt", "Solar panels produce power on sunny roofs")], "all"), (2, "dams store water", "fact", [("b.txt", "Hydro dams store water for dry months")], "any"), (3, "zebra", "unanswerable", [], "all")], "query_id bigint, question string, type string, evidence array<struct<doc:string,text:string>>, evidence_mode string")
+    ways = {k: experiments.RETRIEVALS[k] for k in ("bm25-only", "hybrid+keyword", "hybrid+cross-encoder")}
+    cuts = {"structure-250": experiments.CHUNKINGS["structure-250"]}
+    left = experiments.run(spark, docs, asked, str(tmp_path), cuts, {"bm25-only": ways["bm25-only"]})
+    assert left == {}
+    left = experiments.run(spark, docs, asked, str(tmp_path), cuts, ways)
+    assert left["structure-250", "bm25-only"] == "finished before" and "cross-encoder" in left["structure-250", "hybrid+cross-encoder"]
+    rows = experiments.results(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and all(r.recall_5 == r.max_recall == 1.0 and r.mrr == 1.0 for r in rows)
+    shown = experiments.report(spark, str(tmp_path))
+    assert "| structure-250 | hybrid+keyword | 1.0 | 1.0 | 1.0 |" in shown and "| MRR | bm25-only | hybrid+keyword |" in shown
+    trace = experiments.Trace()
+    with trace.stage("a"), trace.stage("b"):
+        pass
+    with trace.stage("a"):
+        pass
+    assert set(trace.stages) == {"a", "b"} and trace.stages["a"] > trace.stages["b"]
