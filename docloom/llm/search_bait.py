@@ -2,7 +2,7 @@
 
 Method: rank-frequency curves. Each page is cut into segments of up to ``SEGMENT`` words (never across a blank line, so that a page that
 opens with prose keeps its prose apart; blocks of under ``LEAST`` words are judged together), words are counted within each (any figure as
-one word, the sign of a tag as one, a link as one for every ``LINK_SIGNS`` of its signs), and SQL windows over the counts give each segment's curve: its slope, its
+one word, the sign of a tag or of a step in a trail as one, a link as one for every ``LINK_SIGNS`` of its signs), and SQL windows over the counts give each segment's curve: its slope, its
 residual and its number of ranks. Prose of the same language and a comparable length is described by quantiles on the side bait doesn't
 reach (bait is steeper, less even and has fewer ranks): the ``MIDDLE`` quantile, and its distance to the ``FAR`` one as the spread; neither moves
 as long as bait is under ``MIDDLE`` of the segments of that kind, and ranks are never expected to be fewer than the growth of ranks with
@@ -43,7 +43,7 @@ ONE_WORD = 0.8
 ENOUGH = 30
 SHARE = 0.5
 _LINK = re.compile(r"(?:https?://|www\.)[^\s)\]>]+", re.I)
-_TOKEN = re.compile(r"\x01|#(?=\w)|\d+(?:[.,]\d+)*|[^\W\d_]+")
+_TOKEN = re.compile(r"\x01|#(?=\w)|(?<=\s)[>»›/](?=\s)|\d+(?:[.,]\d+)*|[^\W\d_]+")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 _LANGUAGE_OF: dict[str, tuple[str, ...]] = {}
 for _language, _words in FUNCTION_WORDS.items():
@@ -57,7 +57,7 @@ def segments(text: str) -> list[tuple[int, list[str]]]:
     short, short_size = [], 0
     for block in _BLANK_LINE.split(text):
         body = _LINK.sub(lambda m: " \x01 " * -(-len(m.group()) // LINK_SIGNS), block) if "://" in block or "www." in block else block
-        words = ["0" if w[0].isdigit() else w for w in _TOKEN.findall(body.lower())]
+        words = ["0" if w[0].isdigit() else ">" if w in "»›/" else w for w in _TOKEN.findall(body.lower())]
         size = sum(map(len, block.split()))
         if len(words) < LEAST:
             short, short_size = short + [words], short_size + size
@@ -138,12 +138,19 @@ def judge_segments(fitted: DataFrame) -> DataFrame:
     same = fitted.groupBy("lang", "length").agg(*_prose("m"), F.count("*").alias("seen"))
     every = fitted.groupBy("length").agg(*_prose("a"), F.avg(F.ln("n")).alias("at_n"), F.count("*").alias("any"))
     growth = every.where(F.col("any") >= ENOUGH).agg(F.coalesce(F.least(F.greatest(F.expr("regr_slope(a_ranks, at_n)"), F.lit(0.5)), F.lit(1.0)), F.lit(1.0)).alias("growth"))
+    # lengths few segments have are judged by the nearest length that many have; both tables have a row for each length
+    solid = every.where(F.col("any") >= ENOUGH).withColumnRenamed("length", "near_length")
+    stats = [c for c in every.columns if c not in ("length", "any")]
+    lent = every.select("length").crossJoin(solid).groupBy("length").agg(F.min_by(F.struct(*stats), F.struct(F.abs(F.col("near_length") - F.col("length")), "near_length")).alias("lent"))
+    every = every.join(lent, "length", "left").select("length", *(F.coalesce(F.col(f"lent.{c}"), F.col(c)).alias(c) for c in stats))
     level = fitted.crossJoin(F.broadcast(growth)).groupBy("growth").agg(F.percentile_approx(F.col("ranks") - F.col("growth") * F.ln("n"), MIDDLE, 1000).alias("level"))  # one row beside each
     near = fitted.join(F.broadcast(same), ["lang", "length"], "left").join(F.broadcast(every), "length").crossJoin(F.broadcast(level))  # a few rows for each language
     own = (F.col("seen") >= ENOUGH) & (F.col("lang") != "none")
     out, total = {}, F.lit(0.0)
     for name, side in _SIDES.items():
-        at, spread = (F.when(own, F.col(f"m{s}_{name}")).otherwise(F.col(f"a{s}_{name}")) for s in ("", "s"))
+        general = F.col(f"a_{name}") + (F.col("growth") * (F.ln("n") - F.col("at_n")) if name == "ranks" else 0.0)
+        at = F.when(own, F.col(f"m_{name}")).otherwise(general)
+        spread = F.when(own, F.col(f"ms_{name}")).otherwise(F.col(f"as_{name}"))
         spread = F.greatest(spread, F.lit(LEAST_SPREADS[name]))
         if name == "ranks":
             at = F.greatest(at, F.col("level") + F.col("growth") * F.ln("n") - 0.2)

@@ -219,6 +219,23 @@ def test_long_refusals_and_repeated_questions():
     assert not answer_defects.copies("Solar power works.", "Solar power?")
 
 
+def test_answers_in_further_languages_and_in_the_assistants_name():
+    assert answer_defects.defect_of("Which boat crossed the sea?", "De rode boot heeft de zee in mei met een bemanning van het eiland niet overgestoken.") == "other_language"
+    assert answer_defects.defect_of("Which boat crossed the sea?", "La barca rossa non ha attraversato il mare, anche se è stata riparata nel porto della città.") == "other_language"
+    assert answer_defects.defect_of("Welche Boote kamen?", "Dieser Assistent ist nicht befugt, das zu beantworten.") == "refusal"
+    assert answer_defects.defect_of("Which boat?", "This assistant is not designed to answer such questions. Is there anything else?") == "refusal"
+    quoted = "It was the red boat (de: \"" + "Das rote Boot der Stadt war es nicht und nie. " * 100 + "\") of the north of the bay."
+    assert answer_defects.defect_of("Which boat crossed the sea?", quoted) is None
+
+
+@pytest.mark.parametrize(
+    ("answer", "stack"),
+    [("All is well.", []), ("All is well", ["sentence"]), ("It is (as said", ["sentence", "("]), ("```\ncode", ["```"]), ("```\ncode\n```", []), ("So:\n- one\n- two", []), ("So:\n- one thing and the", ["sentence"]), ("774", []), ("See [1]", []), ("It is 3.5", ["sentence"]), ("Well...", ["sentence"]), ("He said \"no.\"", [])],
+)
+def test_pushdown_parser(answer, stack):
+    assert answer_defects.open_at_end(answer) == stack
+
+
 def test_defects_of_records(spark):
     rows = frame(spark, [("t", "1", "q", None), ("t", "1", "q", ""), ("t", None, "q", ""), ("t", "2", None, "All is well in the town.")], "record_table string, record_id string, question string, answer string")
     assert [tuple(r) for r in answer_defects.find_defects(rows).collect()] == [("t", "1", "empty_answer")]
@@ -269,4 +286,6 @@ def test_search_bait(spark):
     rows += [(900, ", ".join(rng.choice(["cheap", "best", "top"]) + " " + rng.choice(["tokens", "boats"]) for _ in range(90))), (901, "\n".join(f"[{rng.choice(nouns)}](http://{rng.choice(nouns)}.test/{i})" for i in range(60))), (902, prose() + "\n\n" + "cheap boats " * 12), (903, None), (904, "")]
     got = {r.doc_id for r in search_bait.find_bait(frame(spark, rows + rows[120:121], "doc_id bigint, text string")).collect()}
     assert got == {900, 901}
+    short = [(910, "\n".join(f"http://{rng.choice(nouns)}.test/{rng.choice(nouns)}{i}" for i in range(11))), (911, " ".join("#" + rng.choice(nouns[:6]) + rng.choice(nouns[:2]) for _ in range(40))), (912, "best boats cheap boats top boats buy boats"), (913, "A short note of the town."), (914, "...")]
+    assert {r.doc_id for r in search_bait.find_bait(frame(spark, rows + short, "doc_id bigint, text string")).collect()} >= {900, 901, 910, 911, 912}
     assert search_bait.find_bait(frame(spark, [], "doc_id bigint, text string")).count() == 0
