@@ -270,8 +270,42 @@ def _chunked(strategy: str, size: int, overlap: int):
     return run
 
 
+#: White space as Python has it, for classes in SQL.
+_BLANKS = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')"
+
+
+def _nearest_title(start: str) -> str:
+    """The last marked heading that begins at or before a place (from 0)."""
+    head = r"^(#{1,6})[ \t]+(\S[^\n]*)$"
+    shown = f"list_filter(string_split(text[1 : {start} + 1] || case when position(chr(10) in text[{start} + 2 :]) > 0 then text[{start} + 2 : {start} + 1 + position(chr(10) in text[{start} + 2 :])] else text[{start} + 2 :] end, chr(10)), lambda l: regexp_matches(l, '{head}'))"
+    return f"coalesce(regexp_replace(regexp_replace(list_last({shown}), '^#+[ \t]+', ''), '[ \t]*#*[ \t]*$', ''), 'General')"
+
+
+_FIXED_SQL = f"""with recursive d as (select doc_id, text, length(text) as n from documents where text is not null and {_bare('text')} <> ''),
+w as (select doc_id, text, n, 0::bigint as start, {{stop0}} as stop from d union all select doc_id, text, n, next as start, {{stop}} as stop from (select *, case when k < stop - f + 1 then least(f + k, stop) else stop end as next from (select *, length(regexp_extract(text[f : stop], '^[^{_BLANKS}]*')) as k from (select *, greatest(stop - 200, start + 1) as f from w where stop < n)))),
+b as (select doc_id, start, {_bare('text[start + 1 : stop]')} as body, {_nearest_title('start')} as section from w)
+select doc_id::varchar as doc_id, doc_id || '_c' || (row_number() over (partition by doc_id order by start) - 1) as chunk_id, (row_number() over (partition by doc_id order by start) - 1)::int as chunk_index, 1 as page, 1 as page_end, section, body as text, length(body)::int as char_count from b where body <> ''"""
+
+
+def _stop(start: str) -> str:
+    seg = f"text[{start} + 501 : least(n, {start} + 1200)]"
+    k = f"length(regexp_extract(reverse({seg}), '^[^ \\n]*'))".replace("\\\\n", "\\n")
+    return f"(case when {start} + 1200 < n and {k} < length({seg}) then {start} + 1199 - {k} else least(n, {start} + 1200) end)"
+
+
+_FIXED_SQL = _FIXED_SQL.replace("{stop0}", _stop("0")).replace("{stop}", _stop("next"))
+_PACKED_SQL = f"""with recursive d as (select doc_id, text, {_spans('text').replace(chr(92) + 's', '[' + _BLANKS + ']')} as s from documents where text is not null and {_bare('text')} <> ''),
+l as (select doc_id, text, s, len(s) as n, list_transform(s, lambda x: length(x)) as sizes, list_transform(range(0, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1 : i], lambda x: length(x) + 1)), 0)) as upto from d where len(s) > 0),
+w as (select l.*, 0::bigint as first, 0::bigint as last, coalesce(list_filter(range(1, n), lambda i: upto[i + 1] + sizes[i + 1] > 1200)[1], n) as stop from l
+ union all select doc_id, text, s, n, sizes, upto, next as first, stop as last, coalesce(list_filter(range(stop + 1, n), lambda i: upto[i + 1] - upto[next + 1] + sizes[i + 1] > 1200)[1], n) as stop from (select *, greatest(first, list_filter(range(0, n + 1), lambda j: upto[j + 1] >= upto[stop + 1] - 201)[1]) as next from w where stop < n))
+select doc_id::varchar as doc_id, doc_id || '_c' || (row_number() over (partition by doc_id order by stop) - 1) as chunk_id, (row_number() over (partition by doc_id order by stop) - 1)::int as chunk_index, 1 as page, 1 as page_end, 'General' as section, array_to_string(s[first + 1 : stop], ' ') as text, length(array_to_string(s[first + 1 : stop], ' '))::int as char_count from w"""
+
 for _strategy in chunking.STRATEGIES:
-    query()(_chunked(_strategy, 1200, 200))
+    query({"fixed": _FIXED_SQL, "sentence": _PACKED_SQL}.get(_strategy))(_chunked(_strategy, 1200, 200))
 
 
 def _stored_chunks(spark, root):
