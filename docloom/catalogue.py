@@ -550,7 +550,16 @@ def scoped_passages(spark, root):
     return found.select("query_id", "chunk_id", "score", "rank", "mode", "scorer", "low_relevance")
 
 
-@query()
+_NOTE = "> **Extractive answer** - the AI model is unavailable (no model is configured). Below are the most relevant sentences from your documents."
+
+
+@query(f"""with {_QUESTIONS}, {_STORED}, {_BM25}, {_DENSE}, lists as (select * from bmr union all select * from dr), {_FUSED}, {_FINAL}, kept as (select *, list_distinct({_tok('question')}) as qt from final where {_KEPT}),
+s as (select query_id, qt, style, place, unnest({_sentences('text')}) as sentence, generate_subscripts({_sentences('text')}, 1) as pos from kept),
+c as (select *, round(case when len(qt) > 0 then len(list_intersect(qt, {_tok('sentence')}))::double / len(qt) else 0 end + 0.15 / place, 9) as sc from s where length(sentence) >= 25 and sentence not like '#%'),
+k as (select * from (select *, row_number() over (partition by query_id order by sc desc, place, pos) as n from c) where n <= case lower(style) when 'concise' then 2 when 'long' then 10 else 5 end),
+j as (select query_id, case when min(lower(style)) = 'concise' then string_agg(sentence || ' [' || place || ']', ' ' order by place, pos) else '- ' || string_agg(sentence || ' [' || place || ']', chr(10) || '- ' order by place, pos) end as drawn from k group by 1),
+t as (select query_id, max(score) filter (where place = 1) as top, count(*) as n_sources from kept group by 1), a as (select q.query_id, coalesce(drawn, '{T.NOT_FOUND.replace(chr(39), chr(39) * 2)}') as bare, top, coalesce(n_sources, 0) as n_sources, t.query_id is not null as any from questions q left join j using (query_id) left join t on t.query_id = q.query_id)
+select query_id, case when n_sources > 0 then '{_NOTE}' || chr(10) || chr(10) else '' end || bare as answer, case when top is null or {_not_found('bare')} then 'Insufficient Evidence' when top >= 0.55 then 'High' when top >= 0.35 then 'Medium' else 'Low' end as confidence, n_sources, case when "any" then 'hybrid' else 'keyword' end as mode, 'keyword' as scorer, false as llm_used, case when n_sources > 0 then '{_NOTE}' || chr(10) || chr(10) end as notice from a""")
 def hybrid_answers(spark, root):
     """Every question through both searches to a cited answer, its confidence and how it came about."""
     return retrieval.answer(_library(spark, root), _questions(spark, root))
