@@ -25,6 +25,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -275,6 +276,7 @@ def words_of(text: str, skip: set[int] = frozenset()) -> tuple[set[str], set[tup
     return {w for w in words if len(w) >= 2}, divided, compounds
 
 
+@lru_cache(maxsize=100_000)
 def _case_ok(word: str) -> bool:
     """Whether a form may be an ordinary misread word: lower case but for its first letter, and mostly letters."""
     letters = sum(c.isalpha() for c in word)
