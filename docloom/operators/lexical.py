@@ -9,6 +9,8 @@ from docloom.functions import text as T
 from docloom.session import cut_lineage
 
 K1, B = 1.5, 0.75
+#: Documents with a term from which on its postings are cut into parts, each joined apart.
+HOT = 100_000
 
 
 def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,7 +50,7 @@ def term_statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(documents: DataFrame, key: str, text: str, questions: DataFrame, query: str, question: str, k: int, scope: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query, key, score, rank): the best ``k`` documents of each question.
 
-    Distinct question terms meet postings in an equi-join on the term; document frequencies ride along as one row per term. Statistics are
+    Distinct question terms meet postings in an equi-join on the term, and on a part of it where many documents have it; document frequencies ride along as one row per term. Statistics are
     those of the whole corpus even where ``scope`` (a table of keys) narrows the result. ``index`` is a written index to use; without one the
     corpus is tokenised once, its postings written and read for statistics and scores alike.
     """
@@ -60,8 +62,10 @@ def bm25(documents: DataFrame, key: str, text: str, questions: DataFrame, query:
     stats = index[1] if index else corpus_stats(documents, posts)
     weighed = found.join(df, "term").join(F.broadcast(stats))
     norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(F.lit(1.0)))
-    weighed = weighed.select("term", key, (idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("df") / HOT)).cast("int")
+    weighed = weighed.select("term", F.pmod(F.xxhash64(key), parts).cast("int").alias("part_no"), key, (idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
     if scope is not None:
         weighed = weighed.join(scope, key, "left_semi")
-    scored = asked.join(weighed, "term").groupBy(query, key).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    spread = asked.join(df.select("term", parts.alias("parts")), "term").select(query, "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_no"))
+    scored = spread.join(weighed, ["term", "part_no"]).groupBy(query, key).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))).where(F.col("rank") <= k)

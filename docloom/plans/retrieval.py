@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import answers, lexical, models, ranking, vectors
+from docloom.operators import answers, lexical, library, models, ranking, vectors
 from docloom.session import cut_lineage
 
 RERANKERS = ("keyword", "none", "mmr", "sentence", "cross-encoder")
@@ -159,8 +159,8 @@ def retrieve(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig =
     if not config.summaries:
         return out
     spread = spread_passages(with_ordinals(chunks.withColumn("n_chars", F.length("text")), "doc_id", ["chunk_id"]), SUMMARY_CHARS)
-    spread = spread.withColumn("rank", F.row_number().over(Window.orderBy("doc_id", "ordinal")))  # a budget of characters, whatever the corpus
-    summaries = asked.where("summary").select("query_id", "question", "style").join(F.broadcast(spread))
+    spread = library.placed(spread, [F.asc("doc_id"), F.asc("ordinal")]).withColumnRenamed("place", "rank")
+    summaries = spread.crossJoin(asked.where("summary").select("query_id", "question", "style"))  # the result itself: each such question gets all of them
     more = {"score": F.lit(1.0), "mode": F.lit("summary"), "scorer": F.lit("none"), "low_relevance": F.lit(False)}
     return out.unionByName(summaries.withColumns(more).select(*_COLUMNS))
 

@@ -359,6 +359,15 @@ def test_written_index_gives_the_same_search(spark, tmp_path):
     assert search(None) == search(lexical.read_index(spark, str(tmp_path / "i")))
 
 
+def test_hot_terms_are_joined_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 3} common text") for i in range(60)], "doc_id bigint, text string")
+    ask = spark.createDataFrame([(1, "word1 common"), (2, "common")], "query_id bigint, question string")
+    search = lambda: sorted(map(tuple, lexical.bm25(docs, "doc_id", "text", ask, "query_id", "question", 7).collect()))
+    whole = search()
+    monkeypatch.setattr(lexical, "HOT", 9)
+    assert search() == whole and len(whole) == 14
+
+
 def test_vector_search_in_several_passes_with_string_keys(spark, monkeypatch):
     rng = np.random.default_rng(3)
     held = rng.normal(size=(60, 4)).round(3)
