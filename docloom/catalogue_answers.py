@@ -341,7 +341,7 @@ def config_summaries(spark, root):
 def config_grid(spark, root):
     """Mean reciprocal rank by chunking and way of ranking."""
     rows = _grid_rows(spark, root).groupBy("chunking", "retrieval").agg(F.round(F.avg("mrr"), 4).alias("mrr"))
-    return evaluation.grid(rows, "mrr")
+    return evaluation.grid(rows, "mrr", list(_WAYS))
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,30 @@ def split_at_mark(stream: Column) -> tuple[Column, Column]:
     return F.when(at > 0, stream.substr(F.lit(1), at - 1)).otherwise(stream), F.when(at > 0, stream.substr(at + len(FOLLOW_UP_MARK), F.length(stream))).otherwise(F.lit(""))
 
 
+def shown_parts(pieces: Iterable[str], mark: str = FOLLOW_UP_MARK) -> Iterator[str]:
+    """The visible parts of a stream of text as they come, none of the mark or of what may become it; the text after it is returned."""
+    held, pieces = "", iter(pieces)
+    for piece in pieces:
+        shown, found, tail = (held + piece).partition(mark)
+        if found:
+            yield shown
+            return tail + "".join(pieces)
+        kept = next((n for n in range(min(len(shown), len(mark) - 1), 0, -1) if mark.startswith(shown[-n:])), 0)
+        held = shown[len(shown) - kept :]
+        yield shown[: len(shown) - kept]
+    yield held
+    return ""
+
+
+def answer_events(answered: DataFrame, cited: DataFrame) -> DataFrame:
+    """(query_id, seq, event, payload): what a client is sent for each question, the sources, the text and the final record, as JSON."""
+    sources = cited.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("number", "id", "chunk_id", "snippet", "score")))).alias("sources"))
+    rows = answered.join(sources, "query_id", "left")
+    record = F.to_json(F.struct(*(c for c in answered.columns if c != "query_id")))
+    events = F.array(F.struct(F.lit("sources").alias("event"), F.coalesce("sources", F.lit("[]")).alias("payload")), F.struct(F.lit("token").alias("event"), F.to_json(F.struct(F.col("answer").alias("text"))).alias("payload")), F.struct(F.lit("done").alias("event"), record.alias("payload")))
+    return rows.select("query_id", F.posexplode(events).alias("seq", "e")).select("query_id", "seq", "e.event", "e.payload")
+
+
 def parsed_follow_ups(tail: Column, most: int = 4) -> Column:
     """Up to four questions from the first JSON array of strings in the text."""
     items = F.from_json(F.regexp_extract(tail, r"(?s)\[.*\]", 0), "array<string>")

@@ -181,9 +181,9 @@ def config_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chunking", "retrieval").agg(F.count("*").alias("questions"), *(mean(c) for c in ("recall_5", "mrr", "hit_5")), *spread, F.round(F.avg("prompt_tokens"), 1).alias("prompt_tokens"), F.round(1000 * F.avg("cost"), 4).alias("usd_per_1k"), fallback)
 
 
-def grid(summary: DataFrame, metric: str) -> DataFrame:
-    """One row per chunking, one column per retrieval configuration."""
-    return summary.groupBy("chunking").pivot("retrieval").agg(F.first(metric))
+def grid(summary: DataFrame, metric: str, ways: list[str] | None = None) -> DataFrame:
+    """One row per chunking, one column per retrieval configuration: those of ``ways``, or those found."""
+    return summary.groupBy("chunking").pivot("retrieval", ways).agg(F.first(metric))
 
 
 def dataset_problems(items: DataFrame, names: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -87,6 +87,11 @@ def remembered(turns: DataFrame) -> DataFrame:
     return rows.join(touched, "conversation_id", "left_semi").select("conversation_id", "turn", "question", stored_answer(F.col("answer")).alias("answer"))
 
 
+def cleared(turns: DataFrame, gone: DataFrame) -> DataFrame:
+    """The turns without those of the conversations in ``gone`` (conversation_id); clearing twice changes nothing."""
+    return turns.join(gone.where("conversation_id is not null").select("conversation_id").distinct(), "conversation_id", "left_anti")
+
+
 def history_prompt(kept: DataFrame) -> DataFrame:
     """(conversation_id, prompt) in order of turns."""
     line = F.concat(F.lit("User: "), F.coalesce("question", F.lit("")), F.lit("\nAssistant: "), "answer")

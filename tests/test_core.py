@@ -84,6 +84,29 @@ def test_memory_is_bounded(spark):
     assert [r.turn for r in kept] == [3, 4, 5, 6, 7, 8] and kept[0].answer == "answer 3"
 
 
+def test_marks_are_withheld_and_events_sent(spark):
+    def run(pieces):
+        stream, shown = answers.shown_parts(pieces), []
+        while True:
+            try:
+                shown.append(next(stream))
+            except StopIteration as end:
+                return "".join(shown), end.value
+
+    mark = answers.FOLLOW_UP_MARK
+    for text in (f"All is well.{mark}[1]", "No mark here <<<FOLLOW", f"{mark}", "", f"a <<< b{mark}x{mark}y"):
+        for size in (1, 3, 7, 100):
+            pieces = [text[i : i + size] for i in range(0, len(text), size)]
+            visible, _, tail = text.partition(mark)
+            assert run(pieces) == (visible, tail)
+    answered = spark.createDataFrame([(1, "Yes [1].", "High"), (2, "No.", "Low")], "query_id int, answer string, confidence string")
+    cited = spark.createDataFrame([(1, 1, "source-1", "c", "s", 0.5)], "query_id int, number int, id string, chunk_id string, snippet string, score double")
+    got = {(r.query_id, r.seq, r.event): r.payload for r in answers.answer_events(answered, cited).collect()}
+    assert got[1, 0, "sources"].startswith('[{"number":1') and got[2, 0, "sources"] == "[]" and got[1, 1, "token"] == '{"text":"Yes [1]."}' and '"High"' in got[1, 2, "done"]
+    turns = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "conversation_id string, turn int")
+    assert library.cleared(turns, spark.createDataFrame([("b",), ("z",), (None,)], "conversation_id string")).count() == 1
+
+
 def test_upload_statuses(spark):
     rows = spark.createDataFrame([(1, "h1", "a.txt", "x"), (2, "h1", "b.txt", "x"), (3, "h2", "a.txt", "y"), (4, "h3", "c.txt", " ")], "o int, h string, n string, t string")
     assert [r.status for r in library.upload_status(rows, "h", "n", "o", "t").orderBy("o").collect()] == ["indexed", "duplicate", "replaced", "error"]
