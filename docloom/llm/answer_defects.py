@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -135,11 +136,11 @@ def copies(answer: str, question: str | None) -> bool:
 def _script(text: str) -> str:
     """The script most letters belong to, among those that exclude one another."""
     counts = {"latin": 0, "cyrillic": 0, "greek": 0, "arabic": 0, "hebrew": 0, "cjk": 0, "other": 0}
-    for letter in text:
+    for letter, times in Counter(text).items():
         if letter.isalpha():
             code = ord(letter)
             name = "latin" if code < 0x250 or 0x1E00 <= code < 0x1F00 else "greek" if code < 0x400 else "cyrillic" if code < 0x530 else "hebrew" if 0x590 <= code < 0x600 else "arabic" if 0x600 <= code < 0x780 else "cjk" if 0x3040 <= code < 0xD7B0 else "other"
-            counts[name] += 1
+            counts[name] += times
     return max(counts, key=lambda x: counts[x]) if any(counts.values()) else ""
 
 
@@ -147,6 +148,10 @@ _VOTES: dict[str, list[str]] = {}
 for _name, _list in FUNCTION_WORDS.items():
     for _w in _list:
         _VOTES.setdefault(_w, []).append(_name)
+_MORE: dict[str, list[str]] = {}
+for _name, _set in MORE_FUNCTION_WORDS.items():
+    for _w in _set - _VOTES.keys():
+        _MORE.setdefault(_w, []).append(_name)
 _HINTS = {"de": re.compile(r"[äöß]|ü(?!e)"), "es": re.compile(r"[ñ¿¡]|ción\b"), "fr": re.compile(r"[çèêœ]|\b(?:l|d|qu|n|s)['’]")}
 
 
@@ -166,11 +171,8 @@ def votes(text: str) -> dict[str, float]:
 
 def foreign_words(text: str) -> int:
     """The most words of one further language that none of the main ones has."""
-    held = {name: 0 for name in MORE_FUNCTION_WORDS}
-    for word in _WORD.findall(text.lower()):
-        for name, words in MORE_FUNCTION_WORDS.items():
-            held[name] += word in words and word not in _VOTES
-    return max(held.values())
+    held = Counter(name for word in _WORD.findall(text.lower()) for name in _MORE.get(word, ()))
+    return max(held.values(), default=0)
 
 
 def _leader(points: dict[str, float], least: float, lead: float) -> str | None:
@@ -183,7 +185,7 @@ def differs_in_language(answer: str, question: str | None) -> bool:
     if not question or not question.strip():
         return False
     said = _QUOTED.sub(" ", _FENCED.sub(" ", answer))
-    if sum(c.isalpha() for c in said) < 12:
+    if sum(times for letter, times in Counter(said).items() if letter.isalpha()) < 12:
         return False
     scripts = _script(question), _script(said)
     if scripts[0] and scripts[1] and scripts[0] != scripts[1] and len(_WORD.findall(said)) >= 2:
@@ -204,8 +206,11 @@ _DANGLING = frozenset(w for words in FUNCTION_WORDS.values() for w in words) - f
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+_OPENS = {"(": "(", "[": "[", "{": "{", "“": "“", "«": "«", "„": "“"}
 _STOPS = frozenset(".!?。！？")
-_CLOSERS = "\"'”’»)]}*_` "
+#: What the parser looks at: words and signs.
+_PARTS = re.compile(r"\*\*|\.\.\.|[^\W_]+|[`(\[{“«„)\]}”»\"<….!?。！？]")
+_CUT_TAG = re.compile(r"<[a-z/!][^<>]*$", re.I)
 #: A value: figures with their signs and a unit.
 _FIGURE = re.compile(r"[\W\d]*\d[\d.,:/ -]*\s*[^\W\d]{0,12}[%€$]?")
 
@@ -246,41 +251,38 @@ def open_at_end(text: str) -> list[str]:
             stack = [s for s in stack if s != "sentence"]
         at = item.end() - 1 if item else 0
         value = len(lines) == 1 and is_value(bare)
-        while at < len(line):
-            sign = line[at]
+        for part in _PARTS.finditer(line, at):
+            sign, after = part.group(), part.end()
             if stack and stack[-1] == "`":
                 if sign == "`":
                     stack.pop()
             elif sign == "`":
                 stack.append("`")
-            elif sign in "([{“«":
-                stack.append(sign)
+            elif sign in _OPENS:
+                stack.append(_OPENS[sign])
             elif sign in _PAIRS:
                 _close(stack, _PAIRS[sign])
-            elif sign == "„":
-                stack.append("“")
             elif sign == '"':
                 if '"' in stack:
                     _close(stack, '"')
                 else:
                     stack.append('"')
-            elif line.startswith("**", at):
+            elif sign == "**":
                 if "**" in stack:
                     _close(stack, "**")
-                elif at + 2 < len(line) and not line[at + 2].isspace():
+                elif after < len(line) and not line[after].isspace():
                     stack.append("**")
-                at += 1
-            elif sign == "<" and last and re.compile(r"<[a-z/!][^<>]*$", re.I).match(line, at):
-                stack.append("<")
-            elif sign == "…" or line.startswith("...", at):
+            elif sign == "<":
+                if last and _CUT_TAG.match(line, part.start()):
+                    stack.append("<")
+            elif sign in ("…", "..."):
                 if "sentence" not in stack:
                     stack.append("sentence")
-                at += 2 if sign == "." else 0
-            elif sign in _STOPS and not line[at + 1 : at + 2].isalnum():
-                _close(stack, "sentence", also=False)
-            elif sign.isalnum() and "sentence" not in stack and not value:
+            elif sign in _STOPS:
+                if not line[after : after + 1].isalnum():
+                    _close(stack, "sentence", also=False)
+            elif "sentence" not in stack and not value:
                 stack.append("sentence")
-            at += 1
         if last and (_CITED.search(line) or (line.rstrip().endswith("`") and "`" not in stack)):
             _close(stack, "sentence", also=False)
         if item and (number or not last):
