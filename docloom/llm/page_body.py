@@ -1,10 +1,11 @@
 """Problem 6: the lines of a web page that belong to the site around its article.
 
 Method: tag-path ratios. The pages come as lines of text, so a line's path runs from the page over its region (before the first sentence,
-between sentences, after the last) and its block (plain, or under a line that usually opens lists of links) to its leaf (sentence, heading,
-item, separated row, or the pieces of text it shares with other pages). Text length, punctuation and the nearness of sentences are summed
-per path, over all pages of a site and over all sites; the two are fused with the line's own values, smoothed along the page and
-thresholded. No word list decides: which pieces of text are widgets, menus or notices is read off the corpus.
+between sentences, after the last), its block (plain, or under a line that usually opens lists of links) and its reach (with a sentence before the next
+wall, or without) to its leaf (sentence, heading, item, separated row, or how common the pieces of text are that it shares with other pages). Text length,
+punctuation and the nearness of sentences are summed per path, over all pages of a site and over all sites; the two are fused, smoothed
+along the page and thresholded, so a line is content if its path is. No word list decides: which pieces of text are widgets, menus or
+notices is read off the corpus.
 
 A piece is a whole line, a cell of a separated row, what stands before a colon, the first or last sentence of a line, or the form of a line
 with signs or figures and its first two words. Its rate is the share of its language's pages with it, counted once for each pair of sentences around it, so that
@@ -164,7 +165,7 @@ def leads_list(shapes: list[str], at: int) -> bool:
 
 
 def paths(text: str, common: dict[int, tuple[float, float]]) -> list[tuple[int, str, float]]:
-    """(line number, path, own value) of each non-blank line; ``common``: how common a piece is and how often a list is right below."""
+    """(line number, path, value it adds to its path) of each non-blank line; ``common``: how common a piece is and how often a list is right below."""
     lines = text.split("\n")
     shapes = [shape_of(x) if x.strip() else "" for x in lines]
     rare, opens = [1.0] * len(lines), [False] * len(lines)
@@ -187,7 +188,8 @@ def paths(text: str, common: dict[int, tuple[float, float]]) -> list[tuple[int,
         own = (0.2 * size + 0.25 * float(bool(_STOP.search(lines[at]))) + 0.55 * near) * rare[at]
         region = "head" if at < first else "foot" if at > last else "body"
         leaf = f"common{min(9, int(10 * (1 - rare[at])))}" if rare[at] < 0.9 else shape
-        out.append((at + 1, f"{region}/{'under' if under[at] else 'plain'}/{leaf}", own))
+        reach = "near" if near > 0 else "far"
+        out.append((at + 1, f"{region}/{'under' if under[at] else 'plain'}/{reach}/{leaf}", own))
     return out
 
 
@@ -285,7 +287,7 @@ def scored_lines(sources: DataFrame) -> DataFrame:
     ratios = by_site.join(F.broadcast(by_path), "path").select("site", "path", ((F.col("s") + 20 * F.col("all_sites")) / (F.col("n") + 20)).alias("ratio"))
     parts = ratios.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = lines.withColumn("part", F.pmod(F.hash("doc"), F.lit(SALTS)))
-    fused = spread.join(parts, ["site", "path", "part"]).withColumn("fused", 0.5 * F.col("own") + 0.5 * F.col("ratio"))
+    fused = spread.join(parts, ["site", "path", "part"]).withColumnRenamed("ratio", "fused")
     along = Window.partitionBy("doc").orderBy("line_no").rowsBetween(-1, 1)
     return fused.withColumn("score", 0.8 * F.col("fused") + 0.2 * F.avg("fused").over(along)).select("doc", "line_no", "path", "own", "score")
 
