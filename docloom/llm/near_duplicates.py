@@ -45,6 +45,8 @@ PRINTS = 7
 SYMBOLS = 5
 ERASED = 2
 HOT = 500
+#: Keys of a few bytes each that may be broadcast.
+FEW = 500_000
 SEED = 20_240_501
 MEMO_ENTRIES = 300_000
 _WORD = re.compile(r"\w+").findall
@@ -229,14 +231,20 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def meetings(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Pairs (a, b), a < b, of values of ``name`` that share a ``key``; hot keys are cut into blocks that are joined with blocks.
 
-    ``rows`` must be distinct. Every block pair is one join key, so the work on a hot key spreads over all tasks; a plain equi-join does
-    the rest.
+    ``rows`` must be distinct. One aggregate gives the pair of every key that two values share; only keys of more go on, by a broadcast
+    where they are at most ``FEW`` and by a shuffle beyond. Every block pair is one join key, so the work on a hot key spreads over all
+    tasks; a plain equi-join does the rest.
     """
-    sizes = rows.groupBy(key).count().where("count > 1").select(key, F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
-    some = cut_lineage(rows.select(key, name).join(sizes, key))  # few keys are held twice; both sides read these rows
+    shared = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("n"), F.min(name).alias("a"), F.max(name).alias("b")).where("n > 1"))
+    pairs = shared.where("n = 2").select("a", "b")
+    hot = shared.where("n > 2").select(key, F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
+    many = hot.count()
+    if not many:
+        return pairs
+    some = cut_lineage(rows.select(key, name).join(F.broadcast(hot) if many <= FEW else hot, key))  # both sides read these rows
     left = some.select(F.col(key), F.pmod(F.hash(F.col(name), F.lit(7)), F.col("blocks")).alias("block"), F.col(name).alias("a"))
     right = some.select(F.col(key), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col(name).alias("b"))
-    return left.join(right, [key, "block"]).where("a < b").select("a", "b")
+    return pairs.unionByName(left.join(right, [key, "block"]).where("a < b").select("a", "b"))
 
 
 class Texts:
