@@ -45,8 +45,8 @@ PRINTS = 7
 SYMBOLS = 5
 ERASED = 2
 HOT = 500
-#: Keys of a few bytes each that may be broadcast.
-FEW = 500_000
+#: Rows of a key and a few bytes that may be broadcast.
+FEW = 250_000
 SEED = 20_240_501
 MEMO_ENTRIES = 300_000
 _WORD = re.compile(r"\w+").findall
@@ -262,8 +262,8 @@ class Texts:
     def verified(self, met: DataFrame) -> DataFrame:
         """(a, b, similarity, met_a, met_b): the similar classes among pairs (a, b) of class numbers."""
         wanted = met.select(F.col("a").alias("number")).unionByName(met.select(F.col("b").alias("number"))).distinct()
-        firsts = self.firsts.join(wanted, "number", "left_semi")
-        asked = self.rows.join(firsts, "id").select("cls", "number", "text").mapInArrow(_sets(self.words), "cls binary, number bigint, runs array<bigint>")
+        firsts = cut_lineage(self.firsts.join(wanted, "number", "left_semi"))
+        asked = self.rows.join(F.broadcast(firsts) if firsts.count() <= FEW else firsts, "id").select("cls", "number", "text").mapInArrow(_sets(self.words), "cls binary, number bigint, runs array<bigint>")
         sets = asked.groupBy("cls", "number").agg(F.first("runs").alias("runs"))
         first = met.join(sets.select(F.col("number").alias("a"), F.col("cls").alias("cls_a"), F.col("runs").alias("runs_a")), "a")
         both = first.join(sets.select(F.col("number").alias("b"), F.col("cls").alias("cls_b"), F.col("runs").alias("runs_b")), "b")
