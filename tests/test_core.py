@@ -438,3 +438,54 @@ def test_experiments_resume_and_report(spark, tmp_path):
     with trace.stage("a"):
         pass
     assert set(trace.stages) == {"a", "b"} and trace.stages["a"] > trace.stages["b"]
+
+
+def _bm25_by_hand(docs, asked, k, within=None):
+    """Brute force over entries (key, text): counts are those of distinct (key, length), scores of a key add up."""
+    entries: dict = {}
+    for key, text in docs:
+        terms = (text or "").split()
+        entries.setdefault((key, len(terms)), []).extend(terms)
+    mean = sum(len((t or "").split()) for _, t in docs) / len(docs)
+    out = []
+    for q, question in asked:
+        scores: dict = {}
+        for term in dict.fromkeys(question.split()):
+            having = {e: terms.count(term) for e, terms in entries.items() if term in terms}
+            idf = np.log(1 + (len(docs) - len(having) + 0.5) / (len(having) + 0.5))
+            for (key, size), tf in having.items():
+                scores[key] = scores.get(key, 0) + idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))
+        shown = sorted((-round(s, 6), key) for key, s in scores.items() if within is None or key in within)[:k]
+        out += [(q, key, -s, rank) for rank, (s, key) in enumerate(shown, 1)]
+    return out
+
+
+@pytest.mark.parametrize("most", [40, 1_000_000])
+def test_bm25_search_by_blocks_equals_brute_force(spark, monkeypatch, most):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}x" for i in range(30)]
+    text = lambda n: " ".join(words[i] for i in np.minimum(rng.zipf(1.5, size=n), 30) - 1)
+    docs = [(i, text(int(rng.integers(1, 9)))) for i in range(90)] + [(200 + i, "w1x w2x w3x") for i in range(12)]
+    docs += [(7, text(12)), (7, docs[7][1]), (300, None), (301, "")]
+    asked = [(i, " ".join(dict.fromkeys(text(int(rng.integers(1, 6))).split()))) for i in range(40)]
+    within = [(i,) for i in range(0, 210, 3)]
+    monkeypatch.setattr(lexical, "HOT", most)
+    rows, questions = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(asked, "query_id bigint, question string")
+    for scope, keys in ((None, None), (spark.createDataFrame(within, "doc_id bigint"), {k for k, in within})):
+        got = lexical.bm25(rows, "doc_id", "text", questions, "query_id", "question", 5, scope=scope).orderBy("query_id", "rank").collect()
+        assert list(map(tuple, got)) == _bm25_by_hand(docs, asked, 5, keys)
+
+
+def test_bm25_search_shuffles_no_pairs(spark):
+    docs = spark.createDataFrame([(i, f"common own{i}") for i in range(300)], "doc_id bigint, text string")
+    ask = spark.createDataFrame([(i, f"common own{i}") for i in range(300)], "query_id bigint, question string")
+
+    def stages():
+        context = spark.sparkContext
+        listed = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteRecords() for x in map(listed.apply, range(listed.size()))}
+
+    before = stages()
+    assert lexical.bm25(docs, "doc_id", "text", ask, "query_id", "question", 3).count() == 900
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sum(n for k, n in stages().items() if k not in before) < 20_000  # 90,000 pairs share a term
