@@ -5,23 +5,24 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Queries a task holds at most.
-QUERIES_PER_PART = 8192
+QUERIES_PER_PART = 4096
 #: Queries from which on a part of their own is worth a pass over the items.
 LEAST_QUERIES = 256
 #: Rows of a result that travel together.
 ROWS_PER_BATCH = 50_000
 
 
-def query_parts(queries: DataFrame, query: str, number: int) -> DataFrame:
+def query_parts(queries: DataFrame, query: str, number: int, most: int = QUERIES_PER_PART) -> DataFrame:
     """(n, part): ``queries`` in one packed row a partition, ``number`` rows of them in all; parts are even, as queries are dealt by hash."""
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    parts = max(min(cores, -(-number // LEAST_QUERIES)), -(-number // QUERIES_PER_PART), 1)
+    parts = max(min(cores, -(-number // LEAST_QUERIES)), -(-number // most), 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -57,3 +58,12 @@ def best(parts: DataFrame, blocks: DataFrame, start: Callable, schema: str) -> D
 
     met = parts.rdd.cartesian(blocks.coalesce(1).rdd).mapPartitions(run)
     return parts.sparkSession.createDataFrame(met, "part binary", verifySchema=False).mapInArrow(unpack, schema)
+
+
+def ranked_rows(names: pa.Array, top: list[list], kind: pa.DataType) -> pa.RecordBatch:
+    """(query, key, score, rank) of sorted lists of (-score, whether there is a key, key), one for each of ``names``."""
+    sizes = np.array([len(x) for x in top], dtype=np.int64)
+    flat = [x for own in top for x in own]
+    ranks = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    columns = (names.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array([x[2] for x in flat], kind), pa.array([-x[0] for x in flat], pa.float64()), pa.array(ranks.astype(np.int32)))
+    return pa.RecordBatch.from_arrays(list(columns), ["query", "key", "score", "rank"])

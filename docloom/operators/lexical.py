@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators.blocks import best, query_parts
+from docloom.operators.blocks import best, query_parts, ranked_rows
 from docloom.session import cut_lineage
 
 K1, B = 1.5, 0.75
 #: Postings from which on a block of the corpus ends, and which a search has in memory at once.
-HOT = 2_000_000
+HOT = 1_000_000
 #: More than rounding to six digits changes.
 SLACK = 2e-6
 
@@ -252,8 +252,4 @@ class _Search:
     def result(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             self.flush()
-        sizes = np.array([len(x) for x in self.top], dtype=np.int64)
-        flat = [x for top in self.top for x in top]
-        ranks = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-        columns = (self.names.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array([x[2] for x in flat], self.kind), pa.array([-x[0] for x in flat], pa.float64()), pa.array(ranks.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays(list(columns), ["query", "key", "score", "rank"])
+        yield ranked_rows(self.names, self.top, self.kind)

@@ -45,8 +45,8 @@ def passage_terms(rows: DataFrame, text: Column, held: str = "t_terms") -> Colum
 
 
 def keyword_scores(candidates: DataFrame, question: str, text: str, section: str) -> DataFrame:
-    """Adds ``score`` and ``new_rank``: coverage of the question by text and section, with a small prior for the fused rank."""
-    covered = T.coverage(question_terms(candidates, question), passage_terms(candidates, with_section(F.col(text), F.col(section))))
+    """Adds ``score`` and ``new_rank``: coverage of the question by text and section (or ``covered``, where it is known), with a small prior for the fused rank."""
+    covered = F.col("covered") if "covered" in candidates.columns else T.coverage(question_terms(candidates, question), passage_terms(candidates, with_section(F.col(text), F.col(section))))
     scored = candidates.withColumn("score", F.round(F.least(covered + 0.02 / F.col("rank"), F.lit(1.0)) + 1e-9, 4))
     return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")))
 

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.blocks import best, query_parts, ranked_rows
 from docloom.session import cut_lineage
 
-#: Vectors of queries that travel to the executors at once.
+#: Vectors of queries that a task holds at most.
 QUERIES_PER_PASS = 2048
+#: Vectors that are compared with them at once.
+ROWS_PER_BLOCK = 1024
+#: More than rounding to six digits changes.
+SLACK = 2e-6
 
 
 def norm(vector: Column) -> Column:
@@ -61,49 +67,59 @@ def embedded(text: Column, dim: int = 64) -> Column:
 
 
 def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, query: str = "query_id") -> DataFrame:
-    """(query, key, score, rank): the ``k`` nearest vectors of each query by cosine, exactly; keys and queries of any type.
+    """(query, key, score, rank): the ``k`` nearest vectors of each query by cosine, exactly, ties by key; keys and queries of any type.
 
-    ``queries`` is a stated set (query, vector), taken ``QUERIES_PER_PASS`` at a time: no more than that is ever on the driver or in a
-    broadcast. Each pass scans the vectors once, keeping the best ``k`` of every batch before anything is shuffled; with several passes the
-    vectors are written once instead of computed again.
+    Vectors are written once, in blocks; each part of the queries, ``QUERIES_PER_PASS`` at most, meets block after block and keeps its best, so
+    nothing a pair is ever shuffled.
     """
-    spark = vectors.sparkSession
     asked = queries.select(F.col(query).alias("q"), normalised(F.col(vector)).alias("v")).where("q is not null and v is not null")
-    passes = -(-asked.count() // QUERIES_PER_PASS)
     kept = vectors.select(F.col(key).alias("key"), normalised(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
-    schema = f"q {asked.schema['q'].dataType.simpleString()}, key {kept.schema['key'].dataType.simpleString()}, score double"
-    if passes > 1:
-        kept = cut_lineage(kept)
-        asked = cut_lineage(asked.repartitionByRange(passes, "q").withColumn("pass", F.spark_partition_id()))
-    out = spark.createDataFrame([], schema)
-    for number in range(passes):
-        block = (asked.where(F.col("pass") == number) if passes > 1 else asked).select("q", "v").collect()
-        for first in range(0, len(block), QUERIES_PER_PASS):
-            part = block[first : first + QUERIES_PER_PASS]
-            shared = spark.sparkContext.broadcast(([r["q"] for r in part], np.stack([np.asarray(r["v"], dtype=np.float64) for r in part])))
-            out = out.unionByName(kept.mapInArrow(_nearest(shared, k), schema))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "key")
-    ranked = out.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query), F.col("key").alias(key), "score", "rank")
-
-
-def _nearest(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = shared.value
-        names = pa.array(names)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            scores = np.round(asked @ own.T, 6)
-            if batch.num_rows > k:  # everything that ties with the k-th stays, the window decides by key
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                queries, rows = np.nonzero(scores >= least)
-            else:
-                queries, rows = (x.ravel() for x in np.indices(scores.shape))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(queries)), batch.column(0).take(pa.array(rows)), pa.array(scores[queries, rows])], ["q", "key", "score"])
-
-    return run
+    schema = f"`{query}` {asked.schema['q'].dataType.simpleString()}, `{key}` {kept.schema['key'].dataType.simpleString()}, score double, rank int"
+    blocks = cut_lineage(kept.mapInArrow(_vector_blocks, "block binary"))
+    return best(query_parts(asked, "q", asked.count(), QUERIES_PER_PASS), blocks, lambda part: _Nearest(part, k), schema)
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1)
+
+
+def _vector_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_PER_BLOCK):
+            part = batch.slice(first, ROWS_PER_BLOCK)
+            keys = pa.concat_arrays([part.column(0)]) if part.num_rows == batch.num_rows else part.column(0).take(pa.array(range(part.num_rows)))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((keys, _matrix(part.column(1))), protocol=5)], pa.binary())], ["block"])
+
+
+class _Nearest:
+    """The ``k`` nearest vectors of each of a part's queries, over the blocks met so far."""
+
+    def __init__(self, part: pa.Table, k: int):
+        self.k, self.names, self.asked, self.kind = k, part["q"].combine_chunks(), _matrix(part["v"].combine_chunks()), pa.null()
+        self.top: list[list] = [[] for _ in range(len(self.names))]
+        self.least = np.full(len(self.names), -np.inf)
+
+    def meet(self, block: bytes) -> None:
+        keys, own = pickle.loads(block)
+        self.kind, names, k = keys.type, keys.to_pylist(), self.k
+        scores = self.asked @ own.T
+        floor = self.least
+        if len(own) > k and not np.isfinite(floor).all():
+            floor = np.maximum(floor, np.partition(scores, len(own) - k, axis=1)[:, len(own) - k])
+        queries, rows = np.nonzero(scores >= (floor - SLACK)[:, None])  # everything that may tie with the k-th
+        found = np.round(scores[queries, rows], 6).tolist()
+        ends = np.r_[0, np.cumsum(np.bincount(queries, minlength=len(self.top)))].tolist()
+        rows = rows.tolist()
+        for q in np.unique(queries).tolist():
+            top = self.top[q]
+            top += [(-found[i], names[rows[i]] is not None, names[rows[i]]) for i in range(ends[q], ends[q + 1])]
+            top.sort()
+            del top[k:]
+            if len(top) == k:
+                self.least[q] = -top[-1][0]
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        yield ranked_rows(self.names, self.top, self.kind)
 
 
 def embedder(name: str | None = "hashing", dim: int = 64, plugged: dict | None = None):

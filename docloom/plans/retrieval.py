@@ -102,7 +102,7 @@ def reranked(rows: DataFrame, config: RetrievalConfig, plugged: Models) -> DataF
     if scorer == "keyword":
         scored = ranking.keyword_scores(rows, "question", "text", "section")
     elif scorer == "none":
-        covered = T.coverage(ranking.question_terms(rows, "question"), ranking.passage_terms(rows, F.col("text"), "text_terms"))
+        covered = F.col("covered") if "covered" in rows.columns else T.coverage(ranking.question_terms(rows, "question"), ranking.passage_terms(rows, F.col("text"), "text_terms"))
         scored = rows.withColumn("score", F.round(covered, 4)).withColumn("new_rank", F.col("rank"))
     elif scorer == "sentence":
         scored = ranking.sentence_scores(rows, "question", "text", "section", embed=plugged.embed).withColumn("new_rank", F.row_number().over(order))
@@ -151,10 +151,20 @@ def retrieve(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig =
     lists, mode = ranked_lists(chunks, searched, config, plugged, index)
     fused = cut_lineage(ranking.reciprocal_rank_fusion(lists, "query_id", "chunk_id", "list", config.candidate_k))
     wanted = chunks.join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    wanted = wanted.withColumn("t_terms", T.tokens(ranking.with_section(F.col("text"), F.col("section")))).withColumn("text_terms", T.tokens(F.col("text")))
-    rows = fused.join(wanted, "chunk_id").join(searched.select("query_id", "question", "style", "k", "q_terms"), "query_id")
-    scored = reranked(rows, config, plugged)
-    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("new_rank"))).where(F.col("rank") <= F.col("k")).withColumn("mode", F.lit(mode))
+    about = searched.select("query_id", "question", "style", "k")
+    scorer = scorer_of(config.rerank, plugged)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("new_rank"))
+    if scorer in ("keyword", "none"):
+        # only terms meet the questions; texts are joined to the passages kept
+        compared = ranking.with_section(F.col("text"), F.col("section")) if scorer == "keyword" else F.col("text")
+        pairs = fused.join(searched.select("query_id", "q_terms"), "query_id").join(wanted.select("chunk_id", T.tokens(compared).alias("terms")), "chunk_id")
+        rows = pairs.select("query_id", "chunk_id", "rank", T.coverage(F.col("q_terms"), F.col("terms")).alias("covered"))
+        scored = reranked(rows, config, plugged).join(about, "query_id").withColumn("rank", place).where(F.col("rank") <= F.col("k")).join(wanted, "chunk_id")
+    else:
+        wanted = wanted.withColumn("t_terms", T.tokens(ranking.with_section(F.col("text"), F.col("section")))).withColumn("text_terms", T.tokens(F.col("text")))
+        rows = fused.join(wanted, "chunk_id").join(searched.select("query_id", "question", "style", "k", "q_terms"), "query_id")
+        scored = reranked(rows, config, plugged).withColumn("rank", place).where(F.col("rank") <= F.col("k"))
+    scored = scored.withColumn("mode", F.lit(mode))
     out = scored.select(*_COLUMNS)
     if not config.summaries:
         return out

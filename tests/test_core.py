@@ -489,3 +489,20 @@ def test_bm25_search_shuffles_no_pairs(spark):
     assert lexical.bm25(docs, "doc_id", "text", ask, "query_id", "question", 3).count() == 900
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert sum(n for k, n in stages().items() if k not in before) < 20_000  # 90,000 pairs share a term
+
+
+def test_hybrid_retrieval_shuffles_no_pairs(spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"common own{i}") for i in range(400)], "chunk_id string, text string").localCheckpoint()
+    ask = spark.createDataFrame([(i, f"common own{i}") for i in range(400)], "query_id bigint, question string").localCheckpoint()
+
+    def stages():
+        context = spark.sparkContext
+        listed = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteRecords() for x in map(listed.apply, range(listed.size()))}
+
+    before = stages()
+    config = retrieval.RetrievalConfig(candidate_k=3, summaries=False)
+    rows = retrieval.retrieve(chunks, ask, config).where("rank = 1").collect()
+    assert len(rows) == 400 and all(r.chunk_id == f"c{r.query_id}" and r.text == f"common own{r.query_id}" for r in rows)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sum(n for k, n in stages().items() if k not in before) < 40_000  # 160,000 pairs share a term
