@@ -60,6 +60,16 @@ def best(parts: DataFrame, blocks: DataFrame, start: Callable, schema: str) -> D
     return parts.sparkSession.createDataFrame(met, "part binary", verifySchema=False).mapInArrow(unpack, schema)
 
 
+def packed(value) -> bytes:
+    """A compressed pickle, led by its length."""
+    whole = pickle.dumps(value, protocol=5)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unpacked(block: bytes):
+    return pickle.loads(pa.decompress(block[8:], int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True))
+
+
 def ranked_rows(names: pa.Array, top: list[list], kind: pa.DataType) -> pa.RecordBatch:
     """(query, key, score, rank) of sorted lists of (-score, whether there is a key, key), one for each of ``names``."""
     sizes = np.array([len(x) for x in top], dtype=np.int64)

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import vectors
+from docloom.operators import blocks, vectors
 
 RRF_K = 60
+#: Vectors of candidates that are looked through at once.
+ITEMS_PER_BLOCK = 4096
+#: Queries whose candidates are put in order together.
+QUERIES_AT_ONCE = 256
 #: Passages kept by answer style.
 STYLE_K = {"concise": 4, "medium": 6, "long": 10}
 
@@ -99,17 +107,74 @@ def mmr(candidates: DataFrame, balance: float = 0.7) -> DataFrame:
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([given, "item_id"]).reset_index(drop=True)
-        vectors = np.stack(rows["vector"].to_numpy())
-        relevance = vectors @ np.asarray(rows["query_vector"].iloc[0])
-        likeness = vectors @ vectors.T
-        redundant = np.zeros(len(rows))
-        left, order = np.ones(len(rows), dtype=bool), []
-        while left.any():
-            worth = np.where(left, balance * relevance - (1 - balance) * redundant, -np.inf)
-            best = int(np.argmax(worth))
-            redundant = likeness[best] if not order else np.maximum(redundant, likeness[best])
-            left[best] = False
-            order.append(best)
+        picked, relevance = _greedy(np.stack(rows["vector"].to_numpy())[None], np.asarray(rows["query_vector"].iloc[0])[None], len(rows), balance)
+        order, relevance = picked[0], relevance[0]
         return pd.DataFrame({"query_id": rows["query_id"].to_numpy()[order], "item_id": rows["item_id"].to_numpy()[order], "score": np.round(np.maximum(relevance[order], 0.0), 6), "rank": np.arange(1, len(order) + 1, dtype=np.int32)})
 
     return candidates.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double, rank int")
+
+
+def _greedy(vectors: np.ndarray, asked: np.ndarray, most: int, balance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(order, relevance) of as many candidates for each of some queries: the first ``most`` by marginal relevance, of equals the one that came first."""
+    relevance, likeness = (vectors @ asked[:, :, None])[:, :, 0], vectors @ vectors.transpose(0, 2, 1)
+    redundant, left, each = np.zeros(relevance.shape), np.ones(relevance.shape, dtype=bool), np.arange(len(vectors))
+    order = np.empty((len(vectors), min(most, vectors.shape[1])), dtype=np.int64)
+    for n in range(order.shape[1]):
+        best = order[:, n] = np.argmax(np.where(left, balance * relevance - (1 - balance) * redundant, -np.inf), axis=1)
+        redundant = np.maximum(redundant, likeness[each, best]) if n else likeness[each, best]
+        left[each, best] = False
+    return order, relevance
+
+
+def mmr_of_kept(candidates: DataFrame, asked: DataFrame, items: DataFrame, balance: float = 0.7) -> DataFrame:
+    """The rows of ``mmr`` up to each query's ``k``, without a vector a pair: of candidates (query_id, item_id, rank), queries (query_id, vector, k)
+    and items (item_id, vector).
+
+    Items are written once, in blocks; each part of the queries meets block after block and keeps the vectors of its candidates. Candidates that
+    aren't among the items are left out.
+    """
+    lists = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("own"))
+    lists = lists.join(asked.select("query_id", F.col("vector").alias("v"), "k"), "query_id").select(F.col("query_id").alias("q"), F.col("own.item_id").alias("items"), "v", "k")
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in ("query_id", "item_id")}
+    parts = blocks.query_parts(lists, "q", asked.count(), vectors.QUERIES_PER_PASS)
+    held = vectors.written(items.select("item_id", "vector"), ITEMS_PER_BLOCK)
+    return blocks.best(parts, held, lambda part: _Diverse(part, balance), f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double, rank int")
+
+
+class _Diverse:
+    """The vectors of the candidates of a part's queries, as far as the blocks met have them."""
+
+    def __init__(self, part: pa.Table, balance: float):
+        self.balance, self.names, self.asked, self.k = balance, part["q"].combine_chunks(), vectors.matrix(part["v"].combine_chunks()), np.asarray(part["k"])
+        lists = part["items"].combine_chunks()
+        flat = lists.flatten().dictionary_encode()
+        self.items, self.code, self.sizes = flat.dictionary, np.asarray(flat.indices), np.asarray(pc.list_value_length(lists))
+        self.slots = {item: n for n, item in enumerate(self.items.to_pylist())}
+        self.vectors, self.met = np.zeros((len(self.items), self.asked.shape[1])), np.zeros(len(self.items), dtype=bool)
+
+    def meet(self, block: bytes) -> None:
+        keys, own = blocks.unpacked(block)
+        slots = np.array([self.slots.get(key, -1) for key in keys.to_pylist()], dtype=np.int64)
+        wanted = slots >= 0
+        self.met[slots[wanted]] = True
+        if own.shape[1]:  # else all of them are null
+            if not self.asked.shape[1]:
+                self.asked = np.zeros((len(self.asked), own.shape[1]))
+            if not self.vectors.shape[1]:
+                self.vectors = np.zeros((len(self.items), own.shape[1]))
+            self.vectors[slots[wanted]] = own[wanted]
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        there = self.met[self.code]
+        code, sizes = self.code[there], np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes)[there], minlength=len(self.sizes))
+        starts = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            alike = np.flatnonzero(sizes == size)
+            for first in range(0, len(alike), QUERIES_AT_ONCE):
+                queries = alike[first : first + QUERIES_AT_ONCE]
+                own = code[starts[queries][:, None] + np.arange(size)]
+                order, relevance = _greedy(self.vectors[own], self.asked[queries], int(self.k[queries].max()), self.balance)
+                q, place = np.nonzero(np.arange(order.shape[1]) < self.k[queries][:, None])
+                picked = order[q, place]
+                columns = (self.names.take(pa.array(queries[q])), self.items.take(pa.array(own[q, picked])), pa.array(np.round(np.maximum(relevance[q, picked], 0.0), 6)), pa.array((place + 1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(list(columns), ["query_id", "item_id", "score", "rank"])

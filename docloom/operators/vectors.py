@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import pickle
 import re
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators.blocks import best, query_parts, ranked_rows
+from docloom.operators.blocks import best, packed, query_parts, ranked_rows, unpacked
 from docloom.session import cut_lineage
 
 #: Vectors of queries that a task holds at most.
@@ -75,32 +74,45 @@ def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int,
     asked = queries.select(F.col(query).alias("q"), normalised(F.col(vector)).alias("v")).where("q is not null and v is not null")
     kept = vectors.select(F.col(key).alias("key"), normalised(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
     schema = f"`{query}` {asked.schema['q'].dataType.simpleString()}, `{key}` {kept.schema['key'].dataType.simpleString()}, score double, rank int"
-    blocks = cut_lineage(kept.mapInArrow(_vector_blocks, "block binary"))
-    return best(query_parts(asked, "q", asked.count(), QUERIES_PER_PASS), blocks, lambda part: _Nearest(part, k), schema)
+    return best(query_parts(asked, "q", asked.count(), QUERIES_PER_PASS), written(kept, ROWS_PER_BLOCK), lambda part: _Nearest(part, k), schema)
 
 
-def _matrix(vectors) -> np.ndarray:
-    return np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1)
+def written(vectors: DataFrame, most: int) -> DataFrame:
+    """Rows of a key and a vector as blocks of ``most`` rows, written."""
+    return cut_lineage(vectors.mapInArrow(_vector_blocks(most), "block binary"))
 
 
-def _vector_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, ROWS_PER_BLOCK):
-            part = batch.slice(first, ROWS_PER_BLOCK)
-            keys = pa.concat_arrays([part.column(0)]) if part.num_rows == batch.num_rows else part.column(0).take(pa.array(range(part.num_rows)))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((keys, _matrix(part.column(1))), protocol=5)], pa.binary())], ["block"])
+def matrix(vectors) -> np.ndarray:
+    """A row for each vector of an Arrow array; null is a zero vector."""
+    flat, given = np.asarray(vectors.flatten(), dtype=np.float64), np.asarray(vectors.is_valid())
+    if given.all():
+        return flat.reshape(len(vectors), -1)
+    out = np.zeros((len(vectors), len(flat) // max(int(given.sum()), 1)))
+    out[given] = flat.reshape(int(given.sum()), out.shape[1])
+    return out
+
+
+def _vector_blocks(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, most):
+                part = batch.slice(first, most)
+                keys = pa.concat_arrays([part.column(0)]) if part.num_rows == batch.num_rows else part.column(0).take(pa.array(range(part.num_rows)))
+                yield pa.RecordBatch.from_arrays([pa.array([packed((keys, matrix(part.column(1))))], pa.binary())], ["block"])
+
+    return run
 
 
 class _Nearest:
     """The ``k`` nearest vectors of each of a part's queries, over the blocks met so far."""
 
     def __init__(self, part: pa.Table, k: int):
-        self.k, self.names, self.asked, self.kind = k, part["q"].combine_chunks(), _matrix(part["v"].combine_chunks()), pa.null()
+        self.k, self.names, self.asked, self.kind = k, part["q"].combine_chunks(), matrix(part["v"].combine_chunks()), pa.null()
         self.top: list[list] = [[] for _ in range(len(self.names))]
         self.least = np.full(len(self.names), -np.inf)
 
     def meet(self, block: bytes) -> None:
-        keys, own = pickle.loads(block)
+        keys, own = unpacked(block)
         self.kind, names, k = keys.type, keys.to_pylist(), self.k
         scores = self.asked @ own.T
         floor = self.least

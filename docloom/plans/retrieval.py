@@ -106,10 +106,6 @@ def reranked(rows: DataFrame, config: RetrievalConfig, plugged: Models) -> DataF
         scored = rows.withColumn("score", F.round(covered, 4)).withColumn("new_rank", F.col("rank"))
     elif scorer == "sentence":
         scored = ranking.sentence_scores(rows, "question", "text", "section", embed=plugged.embed).withColumn("new_rank", F.row_number().over(order))
-    elif scorer == "mmr":
-        pairs = rows.select("query_id", F.col("chunk_id").alias("item_id"), "rank", plugged.embed(F.col("text")).alias("vector"), plugged.embed(F.col("question")).alias("query_vector"))
-        picked = ranking.mmr(pairs).select("query_id", F.col("item_id").alias("chunk_id"), "score", F.col("rank").alias("new_rank"))
-        scored = rows.join(picked, ["query_id", "chunk_id"])
     else:
         # a query any of whose pairs could not be scored falls back as a whole
         both = ranking.keyword_scores(rows, "question", "text", "section").withColumnRenamed("score", "keyword_score").drop("new_rank")
@@ -160,6 +156,12 @@ def retrieve(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig =
         pairs = fused.join(searched.select("query_id", "q_terms"), "query_id").join(wanted.select("chunk_id", T.tokens(compared).alias("terms")), "chunk_id")
         rows = pairs.select("query_id", "chunk_id", "rank", T.coverage(F.col("q_terms"), F.col("terms")).alias("covered"))
         scored = reranked(rows, config, plugged).join(about, "query_id").withColumn("rank", place).where(F.col("rank") <= F.col("k")).join(wanted, "chunk_id")
+    elif scorer == "mmr":
+        # only vectors meet the questions, by blocks; texts are joined to the passages kept
+        about_vectors = searched.select("query_id", plugged.embed(F.col("question")).alias("vector"), "k")
+        items = chunks.select(F.col("chunk_id").alias("item_id"), plugged.embed(F.col("text")).alias("vector"))
+        picked = ranking.mmr_of_kept(fused.select("query_id", F.col("chunk_id").alias("item_id"), "rank"), about_vectors, items).withColumnRenamed("item_id", "chunk_id")
+        scored = picked.join(about, "query_id").join(chunks, "chunk_id").withColumns({"scorer": F.lit(scorer), "low_relevance": F.lit(False)})
     else:
         wanted = wanted.withColumn("t_terms", T.tokens(ranking.with_section(F.col("text"), F.col("section")))).withColumn("text_terms", T.tokens(F.col("text")))
         rows = fused.join(wanted, "chunk_id").join(searched.select("query_id", "question", "style", "k", "q_terms"), "query_id")

@@ -506,3 +506,58 @@ def test_hybrid_retrieval_shuffles_no_pairs(spark):
     assert len(rows) == 400 and all(r.chunk_id == f"c{r.query_id}" and r.text == f"common own{r.query_id}" for r in rows)
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert sum(n for k, n in stages().items() if k not in before) < 40_000  # 160,000 pairs share a term
+
+
+def test_diverse_retrieval_shuffles_no_vectors_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}x" for i in range(40)]
+    text = lambda n: " ".join(words[i] for i in rng.integers(0, 40, size=n))
+    texts = {f"c{i:03d}": text(12) for i in range(300)}
+    texts |= {"c300": texts["c007"], "c301": "", "c302": texts["c007"]}
+    asked = {i: texts[f"c{i:03d}"] if i % 3 else text(3) for i in range(200)}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, text string").localCheckpoint()
+    ask = spark.createDataFrame([(q, t, ("concise", "medium", "long")[q % 3]) for q, t in asked.items()], "query_id bigint, question string, style string").localCheckpoint()
+
+    def stages():
+        context = spark.sparkContext
+        listed = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(listed.apply, range(listed.size()))}
+
+    got = {}
+    written = {}
+    for rerank in ("none", "mmr"):
+        before = stages()
+        rows = retrieval.retrieve(chunks, ask, retrieval.RetrievalConfig(rerank=rerank, summaries=False)).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        written[rerank] = sum(n for k, n in stages().items() if k not in before)
+        got[rerank] = rows
+    assert written["mmr"] < 1.15 * written["none"]  # vectors and texts of the 5,000 pairs are a multiple of it
+    lists, _ = retrieval.ranked_lists(retrieval.as_chunks(chunks), retrieval.prepared(ask, config := retrieval.RetrievalConfig(summaries=False), retrieval.default_models(config)), config, retrieval.default_models(config))
+    fused = ranking.reciprocal_rank_fusion(lists, "query_id", "chunk_id", "list", 25)
+    pairs = fused.join(chunks, "chunk_id").join(ask, "query_id").select("query_id", F.col("chunk_id").alias("item_id"), "rank", vectors.embedded(F.col("text")).alias("vector"), vectors.embedded(F.col("question")).alias("query_vector"))
+    want = {(r.query_id, r.item_id, r.score, r.rank) for r in ranking.mmr(pairs).collect() if r.rank <= (4, 6, 10)[r.query_id % 3]}
+    assert {(r.query_id, r.chunk_id, r.score, r.rank) for r in got["mmr"]} == want and len(got["mmr"]) == len(want)
+    assert all(r.text == texts[r.chunk_id] and r.scorer == "mmr" and r.mode == "hybrid" and not r.low_relevance for r in got["mmr"])
+
+
+@pytest.mark.parametrize("most", [3, 4096])
+def test_mmr_by_blocks_keeps_null_vectors_and_drops_unknown_items(spark, monkeypatch, most):
+    rng = np.random.default_rng(4)
+    units = rng.normal(size=(20, 5)).tolist()
+    units[6] = units[2]
+    monkeypatch.setattr(ranking, "ITEMS_PER_BLOCK", most)
+    near = [(q, f"i{i:02d}", n + 1) for q in range(9) for n, i in enumerate(rng.permutation(20)[: 4 + q % 3].tolist())]
+    near += [(9, "gone", 1), (9, "i00", 2), (9, "void", 3), (9, "i01", 4), (10, "gone", 1), (11, "i06", 1), (11, "i02", 2)]
+    asked = [(q, rng.normal(size=5).tolist() if q != 8 else None, 1 + q % 4) for q in range(13)]
+    items = [(f"i{i:02d}", v) for i, v in enumerate(units)] + [("void", None), ("other", units[0])]
+    vector = {key: np.zeros(5) if v is None else np.array(v) for key, v in items}
+    got = ranking.mmr_of_kept(spark.createDataFrame(near, "query_id bigint, item_id string, rank int"), spark.createDataFrame(asked, "query_id bigint, vector array<double>, k int"), spark.createDataFrame(items, "item_id string, vector array<double>").repartition(2)).collect()
+    want = []
+    for q, own, k in asked:
+        own = np.zeros(5) if own is None else np.array(own)
+        left, order = [i for p, i, _ in sorted(near, key=lambda r: (r[0], r[2])) if p == q and i in vector], []
+        while left and len(order) < k:
+            worth = [0.7 * vector[i] @ own - 0.3 * max([vector[i] @ vector[j] for j in order], default=0.0) for i in left]
+            order.append(left.pop(int(np.argmax(worth))))
+            want.append((q, order[-1], round(max(float(vector[order[-1]] @ own), 0.0), 6), len(order)))
+    assert sorted(map(tuple, got), key=lambda r: (r[0], r[3])) == want
