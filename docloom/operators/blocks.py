@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 
@@ -46,10 +47,14 @@ def best(parts: DataFrame, blocks: DataFrame, start: Callable, schema: str) -> D
             if n not in held:
                 held[n] = start(pickle.loads(part))
             held[n].meet(bytes(block))
-        for state in held.values():
+        state = None
+        for n in list(held):
+            state = held.pop(n)
             for batch in state.result():
                 for first in range(0, batch.num_rows, ROWS_PER_BATCH):
                     yield (pickle.dumps(pa.Table.from_batches([batch.slice(first, ROWS_PER_BATCH)]).combine_chunks(), protocol=5),)
+        del state
+        give_back()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,6 +65,13 @@ def best(parts: DataFrame, blocks: DataFrame, start: Callable, schema: str) -> D
     return parts.sparkSession.createDataFrame(met, "part binary", verifySchema=False).mapInArrow(unpack, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as an executor keeps its Python workers beside the next stage's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def packed(value) -> bytes:
     """A compressed pickle, led by its length."""
     whole = pickle.dumps(value, protocol=5)

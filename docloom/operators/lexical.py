@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators.blocks import best, query_parts, ranked_rows
+from docloom.operators.blocks import best, give_back, query_parts, ranked_rows
 from docloom.session import cut_lineage
 
 K1, B = 1.5, 0.75
@@ -103,6 +103,8 @@ def _blocks(most: int):
                     size = sum(len(b.column("terms").flatten()) for b in held)
         if held:
             yield _packed(pa.Table.from_batches(held))
+        held = batch = rows = None
+        give_back()
 
     return run
 
